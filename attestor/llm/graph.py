@@ -47,39 +47,55 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
 
 def bucket_components(
-    buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str
+    buckets: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    name: str,
+    reach: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Groups of the ids that share a bucket and pass verification, without forming all pairs of a bucket.
 
-    buckets: (key, id), no repeats. verify: takes distinct pairs (a, b), a < b, returns the linked ones.
-    First each bucket's members are tried against the bucket's smallest id only. Then just the pairs that share a
-    bucket and are not yet in one group are tried, all of them, so no group is missed, and a bucket whose members
-    have met (a large group of copies) costs no pair at all. Returns (node, component) of linked ids and the links.
+    buckets: (key, id), no repeats. verify: takes distinct pairs (a, b), a < b, returns the linked ones. reach: for
+    the ids of a table (id), returns (id, size, most): the size of the thing and an upper bound of what it has in
+    common with any other one; a link at `verify` must need 1.8 * common >= 0.8 * (size + size of the other).
+
+    First each bucket's members are tried against its hub only, the member whose buckets are the fullest. What has
+    not met yet is tried pair by pair, but only across the groups of a bucket and only ids whose reach allows a link
+    to the smallest member, so that no link between groups is missed, while a bucket whose members have met (a large
+    group of copies) costs no pair. Returns (node, component) of the linked ids, and the links that were looked at.
     """
-    buckets = staged(buckets, f"{name}-buckets")
-    hubs = buckets.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    star = (
-        buckets.join(hubs, "key").where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    )
-    links = staged(verify(star), f"{name}-star")
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    crowded = staged(buckets.join(sizes, "key"), f"{name}-crowded")
+    score = crowded.groupBy("id").agg(F.sum("n").alias("score"))
+    scored = crowded.join(score, "id")
+    hubs = scored.groupBy("key").agg(F.max(F.struct("score", F.negate("id").alias("m"))).alias("x"))
+    hubs = hubs.select("key", F.negate("x.m").alias("hub"))
+    star = crowded.join(hubs, "key").where("id <> hub")
+    star = staged(star.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct(), f"{name}-star")
+    links = staged(verify(star), f"{name}-linked")
     groups = staged(connected_components(links), f"{name}-groups")
-    labelled = (
-        buckets.join(groups, buckets["id"] == groups["node"], "left")
-        .select("key", "id", F.coalesce("component", "id").alias("c"))
-    )
-    split = labelled.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-    open_ = staged(labelled.join(split, "key"), f"{name}-open")
-    x = open_.select("key", F.col("id").alias("a"), F.col("c").alias("ca"))
-    y = open_.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
-    rest = x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-    more = staged(verify(rest.join(star_pairs(open_), ["a", "b"], "left_anti")), f"{name}-rest")
+    met = groups.select(F.col("node").alias("id"), F.col("component").alias("c"))
+    labelled = crowded.join(met, "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
+    open_ = staged(_unmet(labelled), f"{name}-open")
+    if reach:
+        known = staged(reach(open_.select("id").distinct()), f"{name}-reach")
+        open_ = open_.join(known, "id")
+        least = open_.groupBy("key").agg(F.min("size").alias("least"))
+        open_ = open_.join(least, "key").where("18 * most >= 8 * (size + least)")
+        open_ = staged(_unmet(open_.select("key", "id", "c", "size", "most")), f"{name}-open")
+        fits = "and 18 * least(most_a, most_b) >= 8 * (size_a + size_b)"
+    else:
+        fits = ""
+    side = lambda k: [F.col(x).alias(k if x == "id" else f"{x}_{k}") for x in open_.columns if x != "key"]
+    rest = open_.select("key", *side("a")).join(open_.select("key", *side("b")), "key").where(f"a < b and c_a <> c_b {fits}")
+    rest = rest.select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+    more = staged(verify(rest), f"{name}-rest")
     links = links.unionByName(more)
     if more.limit(1).count():
         groups = connected_components(links)
     return groups, links
 
 
-def star_pairs(open_: DataFrame) -> DataFrame:
-    """The pairs that the first round has tried in these buckets (their smallest id is a member still)."""
-    hubs = open_.groupBy("key").agg(F.min("id").alias("hub"))
-    return open_.join(hubs, "key").where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+def _unmet(labelled: DataFrame) -> DataFrame:
+    """The buckets whose members are in more than one group."""
+    split = labelled.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
+    return labelled.join(split, "key")

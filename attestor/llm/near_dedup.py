@@ -169,24 +169,32 @@ def near_groups(docs: DataFrame, p: NearDup = PRODUCTION) -> DataFrame:
     first = named.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("id"))
     first = staged(first.join(of_set, ["s1", "s2", "n"]), "op10-first")
 
+    def full_sets(ids: DataFrame) -> DataFrame:
+        texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        return texts.mapInArrow(_sets(p), "id long, shingles array<long>")
+
+    def reach(ids: DataFrame) -> DataFrame:
+        """How many of a set's shingles stand in another set as well."""
+        parts = full_sets(ids.select(F.col("id").alias("doc_id"))).select("id", F.explode("shingles").alias("s"))
+        parts = staged(parts, "op10-parts")
+        common = parts.groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s")
+        most = parts.join(common, "s").groupBy("id").agg(F.count("*").alias("most"))
+        return ids.join(first.select("id", F.col("n").alias("size")), "id").join(most, "id")
+
     def verify(pairs: DataFrame) -> DataFrame:
         x = first.select(F.col("id").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
         y = first.select(F.col("id").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
         near = pairs.join(x, "a").join(y, "b").where(flips("sa", "sb", p.bits) <= p.most_flips())
         near = near.where(f"100 * least(na, nb) >= {p.percent} * greatest(na, nb)")
         near = staged(near.select("a", "b", "na", "nb"), "op10-near")
-        needed = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-        sets = staged(
-            docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(p), "id long, shingles array<long>"),
-            "op10-full",
-        )
+        sets = staged(full_sets(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()), "op10-full")
         full = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa")), "a")
         full = full.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb")), "b")
         full = full.withColumn("both", F.size(F.array_intersect("xa", "xb")).cast("long"))
         return full.where(f"100 * both >= {p.percent} * (na + nb - both)").select("a", "b")
 
     buckets = first.select(F.explode(F.array_distinct("keys")).alias("key"), "id")
-    groups, _ = bucket_components(buckets, verify, "op10")
+    groups, _ = bucket_components(buckets, verify, "op10", reach if p.percent == 80 else None)
     groups = first.select("s1", "s2", "n", "id").join(groups, F.col("id") == F.col("node"), "left")
     rep = groups.select("s1", "s2", "n", F.coalesce("component", "id").alias("component_id"))
     return named.join(rep, ["s1", "s2", "n"], "left").select(
