@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .near_dedup import op10_minhash
+from .substring_dedup import op3_substring
+from .suffix_dedup import op2_suffix
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op10_minhash": op10_minhash}
+    return {"op2_suffix": op2_suffix, "op3_substring": op3_substring, "op10_minhash": op10_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
