@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .near_dedup import op10_minhash
+from .pieces import op6_pieces
 from .quality import SQL as QUALITY_SQL
 from .quality import op5_quality
 from .sharding import op4_kd_shards
@@ -17,7 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_suffix": op2_suffix, "op3_substring": op3_substring, "op4_kd_shards": op4_kd_shards, "op5_quality": op5_quality, "op10_minhash": op10_minhash}
+    return {"op2_suffix": op2_suffix, "op3_substring": op3_substring, "op4_kd_shards": op4_kd_shards, "op5_quality": op5_quality, "op6_pieces": op6_pieces, "op10_minhash": op10_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
