@@ -10,7 +10,7 @@ from attestor.llm.suffix_dedup import remove_repeats
 
 def naive(strings, cap):
     """Sorted suffixes with end marks that follow the strings' order."""
-    rows = sorted(((tuple(s[j:]) + ((-1, i),)) if False else ([(1, c) for c in s[j:]] + [(0, i)]), i, j) for i, s in enumerate(strings) for j in range(len(s) + 1))
+    rows = sorted(([(1, c) for c in s[j:]] + [(0, i)], i, j) for i, s in enumerate(strings) for j in range(len(s) + 1))
     b = [strings[i][j - 1] + 1 if j else 0 for _, i, j in rows]
     lcp = [0]
     for x, y in zip(rows, rows[1:]):
