@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op8_decontaminate
+from .html_text import op9_html
 from .licenses import op7_licenses
+from .line_dedup import op1_lines
 from .near_dedup import op10_minhash
 from .pieces import op6_pieces
 from .quality import SQL as QUALITY_SQL
@@ -20,7 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_suffix": op2_suffix, "op3_substring": op3_substring, "op4_kd_shards": op4_kd_shards, "op5_quality": op5_quality, "op6_pieces": op6_pieces, "op7_licenses": op7_licenses, "op8_decontaminate": op8_decontaminate, "op10_minhash": op10_minhash}
+    return {"op1_lines": op1_lines, "op2_suffix": op2_suffix, "op3_substring": op3_substring, "op4_kd_shards": op4_kd_shards, "op5_quality": op5_quality, "op6_pieces": op6_pieces, "op7_licenses": op7_licenses, "op8_decontaminate": op8_decontaminate, "op9_html": op9_html, "op10_minhash": op10_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
