@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .catalog import retrieval
+from .catalog import evaluation, retrieval, service, text
 
 FLAGSHIP = "rrf_pinned_top5"
-_ALL = {**retrieval.QUERIES}
+_ALL = {**retrieval.QUERIES, **text.QUERIES, **service.QUERIES, **evaluation.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
