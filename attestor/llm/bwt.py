@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 #: Symbol of a row whose string has no further symbol.
 END = 0
 

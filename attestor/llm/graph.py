@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import only, staged
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -50,52 +50,50 @@ def bucket_components(
     buckets: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     name: str,
-    reach: Callable[[DataFrame], DataFrame] | None = None,
+    across: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Groups of the ids that share a bucket and pass verification, without forming all pairs of a bucket.
 
-    buckets: (key, id), no repeats. verify: takes distinct pairs (a, b), a < b, returns the linked ones. reach: for
-    the ids of a table (id), returns (id, size, most): the size of the thing and an upper bound of what it has in
-    common with any other one; a link at `verify` must need 1.8 * common >= 0.8 * (size + size of the other).
+    buckets: (key, id), no repeats. verify: takes distinct pairs (a, b), a < b, returns the linked ones.
 
-    First each bucket's members are tried against its hub only, the member whose buckets are the fullest. What has
-    not met yet is tried pair by pair, but only across the groups of a bucket and only ids whose reach allows a link
-    to the smallest member, so that no link between groups is missed, while a bucket whose members have met (a large
-    group of copies) costs no pair. Returns (node, component) of the linked ids, and the links that were looked at.
+    First each bucket's members are tried against its hub only, the member whose buckets are the fullest: every id
+    against the fullest of its hubs, then against the others that it has not met through that. After that the hub is
+    done with; of the other members only pairs across groups are open, so that a bucket whose members have
+    met (a large group of copies) costs no pair. across: takes the open members (hub, id, c: group), those of a
+    bucket under its hub, and returns the links (a, b), a < b, between different groups of a hub, all of them; by
+    default every pair across groups is verified. Returns (node, component) of the linked ids, and the links found.
     """
     sizes = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    crowded = staged(buckets.join(sizes, "key"), f"{name}-crowded")
+    crowded = staged(only(buckets, sizes, "key").join(sizes, "key"), f"{name}-crowded")
     score = crowded.groupBy("id").agg(F.sum("n").alias("score"))
     scored = crowded.join(score, "id")
     hubs = scored.groupBy("key").agg(F.max(F.struct("score", F.negate("id").alias("m"))).alias("x"))
-    hubs = hubs.select("key", F.negate("x.m").alias("hub"))
-    star = crowded.join(hubs, "key").where("id <> hub")
-    star = staged(star.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct(), f"{name}-star")
-    links = staged(verify(star), f"{name}-linked")
+    hubs = hubs.select("key", F.negate("x.m").alias("hub"), F.col("x.score").alias("full"))
+    spokes = staged(crowded.join(hubs, "key").where("id <> hub").select("key", "id", "hub", "full"), f"{name}-spokes")
+    pair = [F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")]
+    best = spokes.groupBy("id").agg(F.max(F.struct("full", F.negate("hub").alias("m"))).alias("x"))
+    first = staged(best.select("id", F.negate("x.m").alias("hub")).select(*pair).distinct(), f"{name}-first")
+    links = staged(verify(first), f"{name}-linked")
+    groups = staged(connected_components(links), f"{name}-groups")
+    of = lambda k: groups.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}"))
+    star = staged(spokes.select(*pair).distinct(), f"{name}-star")
+    apart = star.join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    apart = apart.where("coalesce(c_a, a) <> coalesce(c_b, b)").select("a", "b")
+    links = links.unionByName(staged(verify(apart), f"{name}-second"))
     groups = staged(connected_components(links), f"{name}-groups")
     met = groups.select(F.col("node").alias("id"), F.col("component").alias("c"))
-    labelled = crowded.join(met, "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
-    open_ = staged(_unmet(labelled), f"{name}-open")
-    if reach:
-        known = staged(reach(open_.select("id").distinct()), f"{name}-reach")
-        open_ = open_.join(known, "id")
-        least = open_.groupBy("key").agg(F.min("size").alias("least"))
-        open_ = open_.join(least, "key").where("18 * most >= 8 * (size + least)")
-        open_ = staged(_unmet(open_.select("key", "id", "c", "size", "most")), f"{name}-open")
-        fits = "and 18 * least(most_a, most_b) >= 8 * (size_a + size_b)"
-    else:
-        fits = ""
-    side = lambda k: [F.col(x).alias(k if x == "id" else f"{x}_{k}") for x in open_.columns if x != "key"]
-    rest = open_.select("key", *side("a")).join(open_.select("key", *side("b")), "key").where(f"a < b and c_a <> c_b {fits}")
-    rest = rest.select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = staged(verify(rest), f"{name}-rest")
+    labelled = spokes.join(met, "id", "left").select("key", "hub", "id", F.coalesce("c", "id").alias("c"))
+    split = labelled.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
+    open_ = staged(labelled.join(split, "key").select("hub", "id", "c").distinct(), f"{name}-open")
+    more = across(open_) if across else verify(across_groups(open_).join(star, ["a", "b"], "left_anti"))
+    more = staged(more, f"{name}-rest")
     links = links.unionByName(more)
     if more.limit(1).count():
         groups = connected_components(links)
     return groups, links
 
 
-def _unmet(labelled: DataFrame) -> DataFrame:
-    """The buckets whose members are in more than one group."""
-    split = labelled.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-    return labelled.join(split, "key")
+def across_groups(open_: DataFrame) -> DataFrame:
+    """The pairs of a hub's members that are in different groups."""
+    x, y = (open_.select("hub", F.col("id").alias(i), F.col("c").alias(c)) for i, c in (("a", "ca"), ("b", "cb")))
+    return x.join(y, "hub").where("a < b and ca <> cb").select("a", "b").distinct()

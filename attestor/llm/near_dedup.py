@@ -22,20 +22,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, as_bytes, chunks, documents, gram_hashes, joined, list_array, mix, signed, staged, word_hashes
+from .common import U64, as_bytes, chunks, documents, gram_hashes, joined, list_array, mix, only, signed, staged, word_hashes
 from .graph import bucket_components
 
 
 @dataclass(frozen=True)
 class NearDup:
     """shingle: words; percent: 100 * |A and B| >= percent * |A or B| links; bands x rows MinHash samples: a pair at
-    0.8 shares no band with probability (1 - 0.8**rows)**bands, 1.2e-7; bits: of the odd sketch; slack: how far below
+    0.8 shares no band with probability (1 - 0.8**rows)**bands, 1.4e-7; bits: of the odd sketch; slack: how far below
     the threshold, in standard errors, an estimate must be to spare a pair the full comparison."""
 
     shingle: int = 4
     percent: int = 80
-    bands: int = 40
-    rows: int = 5
+    bands: int = 52
+    rows: int = 6
     bits: int = 512
     slack: float = 7.0
 
@@ -52,6 +52,8 @@ class NearDup:
 
 
 PRODUCTION = NearDup()
+#: Bounds of a tile of sets that are compared in one task.
+TILE_SHINGLES, TILE_SETS, TILE_COLUMNS = 1_000_000, 2000, 4096
 
 
 def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
@@ -150,6 +152,37 @@ def _listed(ids: pa.Array, held: list[np.ndarray], counts: list[int]) -> pa.Reco
     )
 
 
+def _compare(p: NearDup) -> Callable:
+    """Two tiles of (id, c, tile, shingles) -> the pairs of different groups that are linked."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, group, tile = (table.column(x).to_numpy() for x in ("id", "c", "tile"))
+        lists = table.column("shingles").combine_chunks()
+        n = np.diff(lists.offsets.to_numpy())
+        row = np.repeat(np.arange(len(ids)), n)
+        _, column = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        shared = np.bincount(column) > 1
+        row, column = row[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        one = tile.min() == tile.max()
+        x, y = (np.arange(len(ids)),) * 2 if one else (np.flatnonzero(tile == tile.min()), np.flatnonzero(tile == tile.max()))
+        both = np.zeros((len(x), len(y)), np.float32)
+        for c in range(0, int(shared.sum()), TILE_COLUMNS):
+            a, b = np.searchsorted(column, (c, c + TILE_COLUMNS))
+            has = np.zeros((len(ids), TILE_COLUMNS), np.float32)
+            has[row[a:b], column[a:b] - c] = 1
+            both += has[x] @ has[y].T
+        both = both.astype(np.int64)
+        linked = (100 + p.percent) * both >= p.percent * (n[x][:, None] + n[y][None, :])
+        linked &= group[x][:, None] != group[y][None, :]
+        i, j = np.nonzero(linked)
+        i, j = ids[x[i]], ids[y[j]]
+        return pa.table({"a": np.minimum(i, j)[i != j], "b": np.maximum(i, j)[i != j]}).group_by(["a", "b"]).aggregate([])
+
+    return run
+
+
 def flips(a: str, b: str, bits: int):
     """Population count of the XOR of two sketches (binary columns)."""
     word = lambda c, i: F.conv(F.hex(F.substring(c, 4 * i + 1, 4)), 16, 10).cast("long")
@@ -170,16 +203,21 @@ def near_groups(docs: DataFrame, p: NearDup = PRODUCTION) -> DataFrame:
     first = staged(first.join(of_set, ["s1", "s2", "n"]), "op10-first")
 
     def full_sets(ids: DataFrame) -> DataFrame:
-        texts = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        texts = only(docs, ids, "doc_id").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
         return texts.mapInArrow(_sets(p), "id long, shingles array<long>")
 
-    def reach(ids: DataFrame) -> DataFrame:
-        """How many of a set's shingles stand in another set as well."""
-        parts = full_sets(ids.select(F.col("id").alias("doc_id"))).select("id", F.explode("shingles").alias("s"))
-        parts = staged(parts, "op10-parts")
-        common = parts.groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s")
-        most = parts.join(common, "s").groupBy("id").agg(F.count("*").alias("most"))
-        return ids.join(first.select("id", F.col("n").alias("size")), "id").join(most, "id")
+    def across(open_: DataFrame) -> DataFrame:
+        """The links between groups of a hub's members, by exact counts in tiles of bounded size: each two tiles of a
+        hub's members meet in one task, which counts common shingles by a matrix product and gives out links only."""
+        sized = open_.join(first.select("id", "n"), "id")
+        tiles = sized.groupBy("hub").agg(F.greatest(F.sum("n") / TILE_SHINGLES, F.count("*") / TILE_SETS).alias("t"))
+        sized = sized.join(tiles.select("hub", F.ceil("t").cast("int").alias("t")), "hub")
+        sized = sized.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("t")).cast("int"))
+        sized = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
+        sized = sized.select("hub", "id", "c", "tile", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"))
+        sets = full_sets(open_.select(F.col("id").alias("doc_id")).distinct())
+        met = sized.join(sets, "id").groupBy("hub", "p", "q").applyInArrow(_compare(p), "a long, b long")
+        return met.distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:
         x = first.select(F.col("id").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
@@ -194,7 +232,7 @@ def near_groups(docs: DataFrame, p: NearDup = PRODUCTION) -> DataFrame:
         return full.where(f"100 * both >= {p.percent} * (na + nb - both)").select("a", "b")
 
     buckets = first.select(F.explode(F.array_distinct("keys")).alias("key"), "id")
-    groups, _ = bucket_components(buckets, verify, "op10", reach if p.percent == 80 else None)
+    groups, _ = bucket_components(buckets, verify, "op10", across)
     groups = first.select("s1", "s2", "n", "id").join(groups, F.col("id") == F.col("node"), "left")
     rep = groups.select("s1", "s2", "n", F.coalesce("component", "id").alias("component_id"))
     return named.join(rep, ["s1", "s2", "n"], "left").select(

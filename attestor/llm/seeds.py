@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, U64, staged
+from .common import CHUNK_BYTES, U64, only, staged
 
 _STEP = 1 << 18
 
@@ -74,5 +74,5 @@ def hits_by_document(anchors: DataFrame, repeated: DataFrame, name: str) -> Data
     """(doc_id, hs): the anchors of each document that repeat. Both sides are joined on the anchor's hash, which is
     pre-aggregated on one side and can be split on the other, so that an anchor in a third of all documents is no
     task of its own; a document's list is bounded by its text."""
-    hits = anchors.join(repeated, "h").groupBy("doc_id").agg(F.collect_list("h").alias("hs"))
+    hits = only(anchors, repeated, "h").join(repeated, "h").groupBy("doc_id").agg(F.collect_list("h").alias("hs"))
     return staged(hits, name)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, documents, gram_hashes, joined, list_array, mix, signed, staged, word_hashes, word_spans
+from .common import as_bytes, chunks, documents, gram_hashes, joined, list_array, mix, only, signed, staged, word_hashes, word_spans
 from .seeds import hits_by_document, window_starts, winnow
 
 WINDOW, SEED = 13, 4
@@ -56,9 +56,10 @@ def _anchors(window: int, seed: int) -> Callable:
     return run
 
 
-def _occurrences(window: int, seed: int) -> Callable:
-    """(doc_id, text, hs) -> (h, c, doc_id, pos, exts): the repeated anchors, where they stand, their context's name
-    and the hash of each window around them (0: there is none)."""
+def _occurrences(window: int, seed: int, full: bool) -> Callable:
+    """(doc_id, text, hs, at) -> the repeated anchors: (h, c, doc_id, pos, fits) with their context's name and a bit
+    for each way in which a window fits around them; or, if full, only those that stand at the places `at`, as
+    (h, c, exts) with the hash of each of these windows (0: there is none)."""
     width = window - seed + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,13 +69,14 @@ def _occurrences(window: int, seed: int) -> Callable:
             for a, b in chunks(texts):
                 hashes, first, grams, at = _layout(texts[a:b], window, seed)
                 doc = np.searchsorted(first, at, "right") - 1
-                repeated = np.zeros(len(at), bool)
+                chosen = np.zeros(len(at), bool)
                 edge = np.searchsorted(doc, np.arange(b - a + 1))
                 for i in range(b - a):
-                    if edge[i] < edge[i + 1]:
+                    x, y = edge[i], edge[i + 1]
+                    if x < y:
                         own = np.asarray(wanted[a + i].values)
-                        repeated[edge[i] : edge[i + 1]] = np.isin(signed(grams[at[edge[i] : edge[i + 1]]]), own)
-                at, doc = at[repeated], doc[repeated]
+                        chosen[x:y] = np.isin(at[x:y] - first[i] if full else signed(grams[at[x:y]]), own)
+                at, doc = at[chosen], doc[chosen]
                 if not len(at):
                     continue
                 whole = np.append(gram_hashes(hashes, window), np.zeros(1, np.uint64))
@@ -86,16 +88,14 @@ def _occurrences(window: int, seed: int) -> Callable:
                 name = exts[:, 0].copy()
                 for j in range(1, width):
                     name = mix(name + np.uint64(j)) ^ exts[:, j]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(signed(grams[at])),
-                        pa.array(signed(mix(name))),
-                        pa.array(ids[a:b][doc]),
-                        pa.array((at - first[doc]).astype(np.int32)),
-                        list_array(pa.array(signed(exts.reshape(-1))), np.full(len(at), width)),
-                    ],
-                    ["h", "c", "doc_id", "pos", "exts"],
-                )
+                h, c = pa.array(signed(grams[at])), pa.array(signed(mix(name)))
+                if full:
+                    lists = list_array(pa.array(signed(exts.reshape(-1))), np.full(len(at), width))
+                    yield pa.RecordBatch.from_arrays([h, c, lists], ["h", "c", "exts"])
+                else:
+                    bits = ((exts != 0) * (1 << np.arange(width))).sum(axis=1).astype(np.int32)
+                    pos = pa.array((at - first[doc]).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([h, c, pa.array(ids[a:b][doc]), pos, pa.array(bits)], ["h", "c", "doc_id", "pos", "fits"])
 
     return run
 
@@ -149,19 +149,21 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
     anchors = docs.mapInArrow(_anchors(window, seed), "h long, doc_id long")
     repeated = anchors.groupBy("h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("h")
     hits = hits_by_document(anchors, repeated, "op3-hits")
-    found = docs.join(hits, "doc_id").select("doc_id", "text", "hs")
-    found = staged(
-        found.mapInArrow(_occurrences(window, seed), "h long, c long, doc_id long, pos int, exts array<long>"), "op3-seen"
-    )
-    contexts = staged(found.groupBy("h", "c").agg(F.min("doc_id").alias("x"), F.first("exts").alias("exts")), "op3-contexts")
-    seeds = contexts.groupBy("h").agg(F.count("*").alias("ways"))
-    contexts = contexts.join(seeds, "h")
-    mixed = contexts.where("ways > 1").select("h", "c", "x", F.posexplode("exts").alias("j", "w")).where("w <> 0")
+    found = only(docs, hits, "doc_id").join(hits, "doc_id").select("doc_id", "text", "hs")
+    found = staged(found.mapInArrow(_occurrences(window, seed, False), "h long, c long, doc_id long, pos int, fits int"), "op3-seen")
+    contexts = found.groupBy("h", "c").agg(F.min(F.struct("doc_id", "pos", "fits")).alias("x"))
+    contexts = staged(contexts.select("h", "c", F.col("x.doc_id").alias("x"), "x.pos", "x.fits"), "op3-contexts")
+    contexts = contexts.join(contexts.groupBy("h").agg(F.count("*").alias("ways")), "h")
+    places = contexts.where("ways > 1").groupBy(F.col("x").alias("doc_id")).agg(F.collect_list("pos").alias("at"))
+    named = only(docs, places, "doc_id").join(places, "doc_id").select("doc_id", "text", "at")
+    named = named.mapInArrow(_occurrences(window, seed, True), "h long, c long, exts array<long>").dropDuplicates(["h", "c"])
+    mixed = contexts.where("ways > 1").select("h", "c", "x").join(named, ["h", "c"])
+    mixed = staged(mixed.select("h", "c", "x", F.posexplode("exts").alias("j", "w")).where("w <> 0"), "op3-mixed")
     lowest = mixed.groupBy("h", "w").agg(F.min("x").alias("low"))
     lows = [F.max(F.when(F.col("j") == j, F.col("low"))).alias(f"m{j}") for j in range(width)]
     met = mixed.join(lowest, ["h", "w"]).groupBy("h", "c").agg(*lows)
     alone = contexts.where("ways = 1").select(
-        "h", "c", *[F.when(F.col("exts")[j] != 0, F.col("x")).alias(f"m{j}") for j in range(width)]
+        "h", "c", *[F.when(F.col("fits").bitwiseAND(1 << j) != 0, F.col("x")).alias(f"m{j}") for j in range(width)]
     )
     decided = staged(met.unionByName(alone), "op3-decided")
     mask = F.lit(0)

@@ -1,6 +1,6 @@
 """Removal of repeated byte strings with a column-wise suffix order, and the query op2.
 
-Winnowed anchors of 128 bytes find, over the whole collection, the places at which a 200-byte string can repeat. An
+Winnowed anchors of 144 bytes find, over the whole collection, the places at which a 200-byte string can repeat. An
 anchor's occurrences with equal surroundings are one context: a context that occurs twice repeats as a whole. The
 other contexts of a repeated anchor go to a task by the anchor's hash, where their right sides and then their left
 sides are inserted column by column into the collection's Burrows-Wheeler transform, whose common prefixes tell how
@@ -23,10 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bwt import build, range_min
-from .common import U64, as_bytes, documents, joined, mix, prefix_hash, signed, span_hash, staged
+from .common import U64, as_bytes, documents, joined, mix, only, prefix_hash, signed, span_hash, staged
 from .seeds import hits_by_document, slices, window_starts, winnow
 
-LENGTH, ANCHOR = 200, 128
+LENGTH, ANCHOR = 200, 144
+#: Bytes of text a vectorised step works on here: its arrays stay in the processor's cache.
+SLICE = 1 << 16
 
 
 def _layout(group, length: int, anchor: int):
@@ -53,7 +55,7 @@ def _anchors(length: int, anchor: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, ids = as_bytes(batch.column(1)), np.asarray(batch.column(0))
-            for group in slices(texts, 2 * length):
+            for group in slices(texts, 2 * length, SLICE):
                 _, _, _, at, part, h = _layout(group, length, anchor)
                 if not len(at):
                     continue
@@ -77,7 +79,7 @@ def _contexts(length: int, anchor: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, ids, wanted = as_bytes(batch.column(1)), np.asarray(batch.column(0)), batch.column(2)
-            for group in slices(texts, 2 * length):
+            for group in slices(texts, 2 * length, SLICE):
                 buf, begin, sums, at, part, h = _layout(group, length, anchor)
                 row = np.array([x[0] for x in group])[part]
                 keep = np.zeros(len(at), bool)
@@ -217,7 +219,7 @@ def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFr
     anchors = docs.mapInArrow(_anchors(length, anchor), "h long, doc_id long, n int")
     repeated = anchors.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
     hits = hits_by_document(anchors.select("h", "doc_id"), repeated, "op2-hits")
-    seen = docs.join(hits, "doc_id").select("doc_id", "text", "hs")
+    seen = only(docs, hits, "doc_id").join(hits, "doc_id").select("doc_id", "text", "hs")
     schema = "h long, c long, doc_id long, pos long, before int, behind int"
     seen = staged(seen.mapInArrow(_contexts(length, anchor), schema), "op2-seen")
     one = F.min(F.struct("doc_id", "pos", "before", "behind")).alias("x")
@@ -228,7 +230,7 @@ def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFr
     ways = contexts.groupBy("h").agg(F.count("*").alias("ways")).where("ways > 1")
     mixed = contexts.join(ways.select("h"), "h").select("h", "c", "x.*")
     places = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("h", "c", "pos", "before", "behind")).alias("places"))
-    cut = docs.join(places, "doc_id").select("doc_id", "text", "places")
+    cut = only(docs, places, "doc_id").join(places, "doc_id").select("doc_id", "text", "places")
     cut = cut.mapInArrow(_cut(anchor), "h long, c long, left binary, right binary").dropDuplicates(["h", "c"])
     partial = cut.repartition("h").mapInArrow(_ordered(length, anchor), "h long, c long, far int, near int")
     single = contexts.where("n = 1").select("h", "c")

@@ -70,7 +70,7 @@ def corpus(seed, n=60, size=200):
     return rows
 
 
-@pytest.mark.parametrize("length,anchor", [(200, 128), (30, 20)])
+@pytest.mark.parametrize("length,anchor", [(200, 144), (30, 20)])
 def test_equals_brute_force(spark, length, anchor):
     rows = corpus(length, size=length)
     got = remove_repeats(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, spans string"), length, anchor).collect()
