@@ -17,8 +17,8 @@ def tokenize_counts(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
 
 
-def index_of(spark: SparkSession, d: str) -> ix.LexicalIndex:
-    return ix.LexicalIndex.build(read(spark, d, "documents"))
+def index_of(spark: SparkSession, d: str, asked: DataFrame | None = None) -> ix.LexicalIndex:
+    return ix.LexicalIndex.build(read(spark, d, "documents"), terms=None if asked is None else se.terms_of(asked))
 
 
 def queries_of(spark: SparkSession, d: str) -> DataFrame:
@@ -41,14 +41,14 @@ def term_idf(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_top5(spark: SparkSession, d: str) -> DataFrame:
-    scored = index_of(spark, d).scores(se.terms_of(queries_of(spark, d)))
+    scored = index_of(spark, d, queries_of(spark, d)).scores(se.terms_of(queries_of(spark, d)))
     return se.top(scored, "score", 5).select("qid", F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), "score")
 
 
 def number_match_rare(spark: SparkSession, d: str) -> DataFrame:
     """The figures of conversation turns looked for in the documents."""
     asked = read(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("qid"), "text")
-    scored = index_of(spark, d).figure_scores(se.terms_of(asked))
+    scored = index_of(spark, d, asked).figure_scores(se.terms_of(asked))
     return scored.select("qid", F.col("id").alias("doc_id"), "weight", "rare")
 
 
@@ -73,7 +73,7 @@ def dense_filtered_top5(spark: SparkSession, d: str) -> DataFrame:
 
 def _lists(spark: SparkSession, d: str):
     docs, asked = read(spark, d, "documents"), queries_of(spark, d)
-    index = ix.LexicalIndex.build(docs)
+    index = index_of(spark, d, asked)
     vectors, qv = ix.embed(docs), ix.embed(asked, "qid")
     terms = se.terms_of(asked)
     return se.dense_scores(vectors, qv), index.scores(terms), index.figure_scores(terms)
@@ -110,7 +110,7 @@ def ablation_overlap(spark: SparkSession, d: str) -> DataFrame:
 def routed_gather(spark: SparkSession, d: str) -> DataFrame:
     """Documents play chunks, their source the section, the item's number the kind of claim."""
     docs = read(spark, d, "documents")
-    scored = index_of(spark, d).scores(se.terms_of(queries_of(spark, d)))
+    scored = index_of(spark, d, queries_of(spark, d)).scores(se.terms_of(queries_of(spark, d)))
     codes = F.element_at(F.array(*[F.lit(c) for c in sorted({c for v in se.ROUTES.values() for c in v})]), (F.col("doc_id") % 7 + 1).cast("int"))
     of = docs.select(F.col("doc_id").alias("id"), codes.alias("code"))
     hits = se.top(scored, "score", 5)
@@ -126,7 +126,7 @@ def hit_at_k_mrr(spark: SparkSession, d: str) -> DataFrame:
     """Items that stand word for word in a document are the relevant pairs; the lexical ranks are scored."""
     docs, asked = read(spark, d, "documents"), queries_of(spark, d)
     truth = relevant_pairs(docs, asked)
-    ranked = se.top(index_of(spark, d).scores(se.terms_of(asked)), "score", se.DEPTH)
+    ranked = se.top(index_of(spark, d, queries_of(spark, d)).scores(se.terms_of(asked)), "score", se.DEPTH)
     return retrieval_metrics(ranked, truth)
 
 

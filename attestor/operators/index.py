@@ -21,15 +21,19 @@ class LexicalIndex:
     corpus: DataFrame
 
     @classmethod
-    def build(cls, docs: DataFrame, key: str = "doc_id", text: str = "text") -> LexicalIndex:
-        """Statistics are those of the whole corpus: filters of a search never reach them."""
+    def build(cls, docs: DataFrame, key: str = "doc_id", text: str = "text", terms: DataFrame | None = None) -> LexicalIndex:
+        """Statistics are those of the whole corpus: filters of a search never reach them. With terms (term) the
+        postings hold only these, for a search that is run once: other tokens go before they are shuffled."""
         tokens = docs.select(F.col(key).alias("id"), tokenize(F.col(text)).alias("tokens"))
         tokens = tokens.withColumn("doc_len", F.size("tokens"))
         corpus = tokens.agg(F.count("*").alias("n_docs"), F.coalesce(F.nullif(F.avg("doc_len"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
-        postings = tokens.select("id", "doc_len", F.explode("tokens").alias("term")).groupBy("term", "id", "doc_len").agg(F.count("*").alias("tf"))
-        terms = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(corpus.select("n_docs")))
-        terms = terms.select("term", "df", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-        return cls(postings, terms, corpus)
+        every = tokens.select("id", "doc_len", F.explode("tokens").alias("term"))
+        if terms is not None:
+            every = every.join(terms.select("term").distinct(), "term", "left_semi")
+        postings = every.groupBy("term", "id", "doc_len").agg(F.count("*").alias("tf"))
+        known = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(corpus.select("n_docs")))
+        known = known.select("term", "df", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+        return cls(postings, known, corpus)
 
     def save(self, path: str) -> None:
         for name in ("postings", "terms", "corpus"):
