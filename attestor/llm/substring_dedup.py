@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, chunks, documents, gram_hashes, joined, list_array, mix, only, signed, staged, word_hashes, word_spans
@@ -59,7 +59,7 @@ def _anchors(window: int, seed: int) -> Callable:
 def _occurrences(window: int, seed: int, full: bool) -> Callable:
     """(doc_id, text, hs, at) -> the repeated anchors: (h, c, doc_id, pos, fits) with their context's name and a bit
     for each way in which a window fits around them; or, if full, only those that stand at the places `at`, as
-    (h, c, exts) with the hash of each of these windows (0: there is none)."""
+    (h, c, x, exts) with their document and the hash of each of these windows (0: there is none)."""
     width = window - seed + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +91,7 @@ def _occurrences(window: int, seed: int, full: bool) -> Callable:
                 h, c = pa.array(signed(grams[at])), pa.array(signed(mix(name)))
                 if full:
                     lists = list_array(pa.array(signed(exts.reshape(-1))), np.full(len(at), width))
-                    yield pa.RecordBatch.from_arrays([h, c, lists], ["h", "c", "exts"])
+                    yield pa.RecordBatch.from_arrays([h, c, pa.array(ids[a:b][doc]), lists], ["h", "c", "x", "exts"])
                 else:
                     bits = ((exts != 0) * (1 << np.arange(width))).sum(axis=1).astype(np.int32)
                     pos = pa.array((at - first[doc]).astype(np.int32))
@@ -156,12 +156,11 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
     contexts = contexts.join(contexts.groupBy("h").agg(F.count("*").alias("ways")), "h")
     places = contexts.where("ways > 1").groupBy(F.col("x").alias("doc_id")).agg(F.collect_list("pos").alias("at"))
     named = only(docs, places, "doc_id").join(places, "doc_id").select("doc_id", "text", "at")
-    named = named.mapInArrow(_occurrences(window, seed, True), "h long, c long, exts array<long>").dropDuplicates(["h", "c"])
-    mixed = contexts.where("ways > 1").select("h", "c", "x").join(named, ["h", "c"])
-    mixed = staged(mixed.select("h", "c", "x", F.posexplode("exts").alias("j", "w")).where("w <> 0"), "op3-mixed")
-    lowest = mixed.groupBy("h", "w").agg(F.min("x").alias("low"))
-    lows = [F.max(F.when(F.col("j") == j, F.col("low"))).alias(f"m{j}") for j in range(width)]
-    met = mixed.join(lowest, ["h", "w"]).groupBy("h", "c").agg(*lows)
+    named = named.mapInArrow(_occurrences(window, seed, True), "h long, c long, x long, exts array<long>")
+    # one shuffle by the seed serves both groupings; what a seed has here are its distinct contexts, not its copies
+    mixed = named.select("h", "c", "x", F.posexplode("exts").alias("j", "w")).where("w <> 0").repartition("h")
+    mixed = mixed.withColumn("low", F.min("x").over(Window.partitionBy("h", "w")))
+    met = mixed.groupBy("h", "c").agg(*[F.max(F.when(F.col("j") == j, F.col("low"))).alias(f"m{j}") for j in range(width)])
     alone = contexts.where("ways = 1").select(
         "h", "c", *[F.when(F.col("fits").bitwiseAND(1 << j) != 0, F.col("x")).alias(f"m{j}") for j in range(width)]
     )

@@ -8,7 +8,7 @@ far each context agrees with its nearest neighbours (bwt.py). Only distinct cont
 however many, cost a count.
 
 Defined cases: null is empty; a text shorter than the string length loses nothing; a string that overlaps its own
-repeat counts. Rows that repeat a doc_id are one document and must repeat its text; one row is returned for it. An
+repeat counts. A row that repeats a doc_id and its text is one more copy of it, and one row is returned for the id. An
 empty table gives no rows. Only the id and the text are read.
 """
 
@@ -231,7 +231,7 @@ def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFr
     mixed = contexts.join(ways.select("h"), "h").select("h", "c", "x.*")
     places = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("h", "c", "pos", "before", "behind")).alias("places"))
     cut = only(docs, places, "doc_id").join(places, "doc_id").select("doc_id", "text", "places")
-    cut = cut.mapInArrow(_cut(anchor), "h long, c long, left binary, right binary").dropDuplicates(["h", "c"])
+    cut = cut.mapInArrow(_cut(anchor), "h long, c long, left binary, right binary")
     partial = cut.repartition("h").mapInArrow(_ordered(length, anchor), "h long, c long, far int, near int")
     single = contexts.where("n = 1").select("h", "c")
     partial = partial.join(single, ["h", "c"], "left_semi")
