@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-BLOCK = 1 << 17
+BLOCK = 1 << 18
 #: Symbol of a row whose string has no further symbol.
 END = 0
 
@@ -36,6 +36,7 @@ class Columns:
         np.minimum(depths, cap).astype(np.uint16).tofile(self._path + ".l")
         self.size = self.m
         self.symbols = first.astype(np.int64)
+        self.totals = np.bincount(self.symbols, minlength=258)
 
     def close(self) -> None:
         self.dir.cleanup()
@@ -52,14 +53,11 @@ class Columns:
         live = np.flatnonzero(self.symbols)
         order = live[np.argsort(self.rows[live], kind="stable")]
         at, sym = self.rows[order], self.symbols[order]
-        totals = np.zeros(258, np.int64)
-        for b in self._blocks(".b"):
-            totals += np.bincount(b, minlength=258)
-        base = self.m + np.concatenate(([0], np.cumsum(totals[1:])))  # first row of symbol 1, 2, ...
+        base = self.m + np.concatenate(([0], np.cumsum(self.totals[1:])))  # first row of symbol 1, 2, ...
         rank, before = np.empty(len(order), np.int64), np.zeros(len(order), np.int64)
         after_row, after_val = [], []  # rows of the old transform's images whose prefix changes, and the new values
         seen = np.zeros(258, np.int64)
-        carry = np.zeros(258, np.int64)  # least common prefix since a symbol was last seen; 0: not seen
+        carry = np.zeros(258, np.int64)  # least common prefix since a symbol was last seen
         was_open = np.zeros(258, bool)  # whether that last one got a suffix in this round
         offset = 0
         for b, depth in zip(self._blocks(".b"), self._blocks(".l")):
@@ -67,33 +65,37 @@ class Columns:
             lo, hi = np.searchsorted(at, (offset, offset + n))
             is_open = np.zeros(n, bool)
             is_open[at[lo:hi] - offset] = True
-            by = np.argsort(b.astype(np.uint8) if b.max() < 256 else b, kind="stable")
-            s = b[by].astype(np.int64)
-            head = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-            nth = np.arange(n) - np.repeat(head, np.diff(np.append(head, n)))
-            prior = np.empty(n, np.int64)
-            prior[1:], prior[head] = by[:-1], -1
-            need = np.flatnonzero((is_open[by] | np.where(prior >= 0, is_open[prior], was_open[s])) & (s != END))
-            row, prev, c = by[need], prior[need], s[need]
+            counts = np.bincount(b, minlength=258)
+            present = np.flatnonzero(counts)
+            head = np.cumsum(counts[present]) - counts[present]
+            by = np.argsort(b.astype(np.uint8) if present[-1] < 256 else b, kind="stable")
+            mine = is_open[by]
+            after_open = np.empty(n, bool)
+            after_open[1:] = mine[:-1]
+            after_open[head] = was_open[present]
+            mine |= after_open
+            need = np.flatnonzero(mine[counts[END] :]) + counts[END]
+            group = np.searchsorted(head, need, "right") - 1
+            row, c = by[need], present[group]
+            prev = np.where(need > head[group], by[need - 1], -1)
             least = range_min(depth, prev + 1, row)
             crossing = prev < 0
             least[crossing] = np.where(seen[c[crossing]] > 0, np.minimum(least[crossing], carry[c[crossing]]), -1)
             value = np.minimum(least + 1, self.cap)
-            image = base[c - 1] + seen[c] + nth[need]
-            mine = is_open[row]
-            where = np.searchsorted(at[lo:hi], row[mine] + offset) + lo
-            rank[where], before[where] = image[mine], value[mine]
-            after_row.append(image[~mine])
-            after_val.append(value[~mine])
-            tails = np.append(head[1:], n) - 1
-            present = s[head]
-            low_since = np.minimum.accumulate(depth[::-1])[::-1].astype(np.int64)
-            carry = np.minimum(carry, depth.min() if n else self.cap)
-            last = by[tails]
-            carry[present] = np.where(last + 1 < n, low_since[np.minimum(last + 1, n - 1)], self.cap)
-            was_open[present] = is_open[last]
-            seen += np.bincount(b, minlength=258)
+            image = base[c - 1] + seen[c] + need - head[group]
+            own = is_open[row]
+            where = np.searchsorted(at[lo:hi], row[own] + offset) + lo
+            rank[where], before[where] = image[own], value[own]
+            after_row.append(image[~own])
+            after_val.append(value[~own])
+            seen += counts
             offset += n
+            if offset < self.size:
+                low_since = np.append(np.minimum.accumulate(depth[::-1])[::-1], depth.dtype.type(self.cap))
+                carry = np.minimum(carry, int(depth.min()))
+                last = by[head + counts[present] - 1]
+                carry[present] = low_since[last + 1]
+                was_open[present] = is_open[last]
         ended = np.flatnonzero(self.symbols == END)  # their rows move down by the new rows above them
         above = np.sort(rank) - np.arange(len(rank))
         self.rows[ended] += np.searchsorted(above, self.rows[ended], "right")
@@ -101,6 +103,7 @@ class Columns:
         self.rows[order] = rank
         self.symbols[:] = END
         self.symbols[order] = following[order]
+        self.totals += np.bincount(following[order], minlength=258)
         return order, before, self._after(rank)
 
     def _write(self, order, rank, before, following, changed, values) -> None:

@@ -152,6 +152,27 @@ def _listed(ids: pa.Array, held: list[np.ndarray], counts: list[int]) -> pa.Reco
     )
 
 
+def _hopeful(p: NearDup) -> Callable:
+    """Two tiles of (hub, id, c, tile, sketch) -> the (hub, id) whose sketch is near that of one of another group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, group, tile = (table.column(x).to_numpy() for x in ("id", "c", "tile"))
+        words = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
+        one = tile.min() == tile.max()
+        x, y = (np.arange(len(ids)),) * 2 if one else (np.flatnonzero(tile == tile.min()), np.flatnonzero(tile == tile.max()))
+        hit = np.zeros(len(ids), bool)
+        for i in range(0, len(x), 128):
+            part = x[i : i + 128]
+            flips_ = np.bitwise_count(words[part][:, None, :] ^ words[y][None, :, :]).sum(axis=2, dtype=np.int32)
+            near = (flips_ <= p.most_flips()) & (group[part][:, None] != group[y][None, :])
+            hit[part] |= near.any(axis=1)
+            hit[y] |= near.any(axis=0)
+        hub = table.column("hub").to_numpy()
+        return pa.table({"hub": hub[hit], "id": ids[hit]})
+
+    return run
+
+
 def _compare(p: NearDup) -> Callable:
     """Two tiles of (id, c, tile, shingles) -> the pairs of different groups that are linked."""
 
@@ -215,7 +236,11 @@ def near_groups(docs: DataFrame, p: NearDup = PRODUCTION) -> DataFrame:
         sized = sized.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("t")).cast("int"))
         sized = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
         sized = sized.select("hub", "id", "c", "tile", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"))
-        sets = full_sets(open_.select(F.col("id").alias("doc_id")).distinct())
+        drawn = sized.join(first.select("id", "sketch"), "id")
+        hopeful = drawn.groupBy("hub", "p", "q").applyInArrow(_hopeful(p), "hub long, id long").distinct()
+        hopeful = staged(hopeful, "op10-hopeful")  # others have no estimate near the threshold: their sets stay at home
+        sized = sized.join(hopeful, ["hub", "id"], "left_semi")
+        sets = full_sets(hopeful.select(F.col("id").alias("doc_id")).distinct())
         met = sized.join(sets, "id").groupBy("hub", "p", "q").applyInArrow(_compare(p), "a long, b long")
         return met.distinct()
 
