@@ -67,12 +67,33 @@ def only(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     The ids are hashed into a bitmap of fixed size, which is broadcast. Rows whose bit is not set go before the
     shuffle; the exact join that follows removes those that share a bit by chance. With very many ids the bitmap fills
     up and the prefilter lets more through, but the result is the same."""
+    return _marked(table, ids, key).where("_hit").select(*table.columns)
+
+
+def _marked(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """table with _hit: whether the key's bit is set in the bitmap of ids."""
     bit = F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS)) + 1
     maps = ids.groupBy(F.bitmap_bucket_number(bit).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_map"))
     at = F.bitmap_bit_position(bit)
     byte = F.conv(F.hex(F.substring("_map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    met = table.join(F.broadcast(maps), F.bitmap_bucket_number(bit) == F.col("_bucket"))
-    return met.where((F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2) == 1).select(*table.columns)
+    met = table.join(F.broadcast(maps), F.bitmap_bucket_number(bit) == F.col("_bucket"), "left")
+    return met.withColumn("_hit", F.coalesce((F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2) == 1, F.lit(False)))
+
+
+def left_join_some(table: DataFrame, some: DataFrame, key: str) -> DataFrame:
+    """table.join(some, key, "left") for a wide table of which some rows have a partner: the others, as far as the
+    bitmap tells, are not shuffled."""
+    marked, others = _marked(table, some, key), [c for c in some.columns if c != key]
+    near = marked.where("_hit").select(*table.columns).join(some, key, "left").select(*table.columns, *others)
+    nulls = [F.lit(None).cast(some.schema[c].dataType).alias(c) for c in others]
+    return near.unionByName(marked.where("not _hit").select(*table.columns, *nulls))
+
+
+def anti_join_some(table: DataFrame, going: DataFrame, key: str) -> DataFrame:
+    """table.join(going, key, "left_anti"), with only the rows shuffled that the bitmap does not clear."""
+    marked = _marked(table, going, key)
+    near = marked.where("_hit").select(*table.columns).join(going.select(key), key, "left_anti").select(*table.columns)
+    return near.unionByName(marked.where("not _hit").select(*table.columns))
 
 
 def release(spark: SparkSession) -> None:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, chunks, documents, gram_hashes, joined, list_array, mix, only, signed, staged, word_hashes, word_spans
+from .common import as_bytes, chunks, documents, gram_hashes, joined, left_join_some, list_array, mix, only, signed, staged, word_hashes, word_spans
 from .seeds import hits_by_document, window_starts, winnow
 
 WINDOW, SEED = 13, 4
@@ -178,7 +178,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = repeats(docs, window, seed)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    out = docs.join(marks, "doc_id", "left").select("doc_id", "text", "pos", "mask").mapInArrow(_removed(window), schema)
+    out = left_join_some(docs, marks, "doc_id").select("doc_id", "text", "pos", "mask").mapInArrow(_removed(window), schema)
     return out.dropDuplicates(["doc_id"])
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bwt import build, range_min
-from .common import U64, as_bytes, documents, joined, mix, only, prefix_hash, signed, span_hash, staged
+from .common import U64, as_bytes, documents, joined, left_join_some, mix, only, prefix_hash, signed, span_hash, staged
 from .seeds import hits_by_document, slices, window_starts, winnow
 
 LENGTH, ANCHOR = 200, 144
@@ -246,7 +246,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = spans(docs, length, anchor)
-    out = docs.join(found, "doc_id", "left").select("doc_id", "text", "spans")
+    out = left_join_some(docs, found, "doc_id").select("doc_id", "text", "spans")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return out.mapInArrow(_removed, schema).dropDuplicates(["doc_id"])
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import documents, staged
+from attestor.llm.common import anti_join_some, documents, staged
 from attestor.llm.decontaminate import leaks
 from attestor.llm.line_dedup import dedup_lines
 from attestor.llm.near_dedup import near_groups
@@ -35,14 +35,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*docs.columns)
 
 
+def _without(docs: DataFrame, going: DataFrame) -> DataFrame:
+    going = staged(going.select(F.col("doc_id").alias("_id")).distinct(), "pipeline-going")
+    return anti_join_some(docs.withColumn("_id", F.col("doc_id").cast("long")), going, "_id").select(*docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    going = near_groups(docs).where("not kept").select(F.col("doc_id").alias("_going"))
-    return docs.join(going, F.col("doc_id").cast("long") == F.col("_going"), "left_anti")
+    return _without(docs, near_groups(docs).where("not kept"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    going = leaks(docs, documents(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_going")).distinct()
-    return docs.join(going, F.col("doc_id").cast("long") == F.col("_going"), "left_anti")
+    return _without(docs, leaks(docs, documents(spark, sf_dir, "benchmark")))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
