@@ -9,7 +9,8 @@ earlier and is larger or ranks before it. Overlaps are resolved by running maxim
 of their starts, one window per priority, so that a text with very many detections takes no more than a sort.
 
 Defined cases: null is empty; a text without words has no detections, no labels and the score 0; rows that repeat a
-doc_id are one document (the row of the largest text counts); an empty table gives no rows; only id and text are read.
+doc_id are read together (places add up, n_words is the largest); an empty table gives no rows; only id and text are
+read.
 """
 
 from __future__ import annotations
