@@ -3,7 +3,9 @@
 A line is normalised to its words: A-Z lower-cased, digits to 0, ASCII punctuation to spaces. Equal normal forms are
 one line with a count. Distinct lines get a 64-bit SimHash of their distinct words; lines whose SimHashes differ in at most
 `flips` bits agree in all of some `blocks - flips` blocks (pigeonhole), so the join keys are those combinations of
-blocks. Candidates are confirmed by edit similarity of the normal forms, linked lines form groups, and of each group
+blocks. A SimHash of a line of ordinary length moves by more bits for one changed word, so the queries (`WHOLE`) take
+MinHash bands as join keys instead, of the words of short lines and of the word pairs of longer ones, and ask of the
+SimHash only what edit similarity nearly implies. Candidates are confirmed by edit similarity of the normal forms, linked lines form groups, and of each group
 the occurrence with the smallest (doc_id, line number) stays.
 
 Choose blocks so that a key has about as many bits as the corpus has lines in binary digits: 4 blocks and 2 flips give
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, as_bytes, chunks, documents, joined, left_join_some, mix, only, signed, staged, word_hashes
+from .common import U64, as_bytes, chunks, documents, gram_hashes, joined, left_join_some, list_array, mix, only, signed, staged, word_hashes
 from .graph import bucket_components
 
 
@@ -35,9 +37,17 @@ class Lines:
     flips: int = 2
     blocks: int = 4
     percent: int = 80
+    #: MinHash bands of 4 words and of 3 word pairs; none: SimHash blocks are the keys.
+    singles: int = 0
+    pairs: int = 0
 
 
 PRODUCTION = Lines()
+#: What op1 and the pipeline run. At edit similarity 0.8 by scattered replaced words, words have a Jaccard similarity of
+#: about 2/3 and word pairs of 0.43: 1 - (1 - (2/3)**4)**14 = 0.95 and 1 - (1 - 0.43**3)**28 = 0.90 share a band.
+WHOLE = Lines(flips=24, singles=14, pairs=28)
+#: Lines of up to so many words have bands of words, lines of at least so many have bands of word pairs.
+MOST_SINGLES, LEAST_PAIRS = 16, 12
 
 _NORMAL = np.arange(256, dtype=np.uint8)
 _NORMAL[65:91] += 32
@@ -52,6 +62,12 @@ def normal(line: bytes) -> str:
 
 def line_figures(texts: list[bytes]):
     """(text, line number, words, key, simhash) of each line of the texts."""
+    text, number, first, _, key, sim = _figures(texts)
+    return text, number, np.diff(first), key, sim
+
+
+def _figures(texts: list[bytes]):
+    """(text, line number, first word and one more, hashes of the words, key, simhash)."""
     buf, begin = joined([*texts, b""], b"\n")
     begin = begin[:-1]
     end = np.flatnonzero(buf == 10)
@@ -81,7 +97,44 @@ def line_figures(texts: list[bytes]):
             ones = _bit_sums(words[edge[i] : edge[j]], edge[i:j] - edge[i])
             bits = 2 * ones > np.diff(edge[i : j + 1])[:, None]
             sim[has[i:j]] = np.packbits(bits, axis=1, bitorder="little").view(U64)[:, 0]
-    return text, number, n, key, sim
+    return text, number, first, hashes, key, sim
+
+
+_DRAWS = mix(np.arange(1, 257, dtype=U64)) | U64(1)
+
+
+def _drawn(hashes: np.ndarray, starts: np.ndarray, bands: int, rows: int, last: np.ndarray | None, base: int) -> np.ndarray:
+    """MinHash band keys, one row for the hashes from each start to the next: the band's number over 32 bits. The
+    hashes at `last` are left out."""
+    keys = np.empty((len(starts), bands), U64)
+    for t in range(bands):
+        key = np.full(len(starts), base + t, U64)
+        for r in range(rows):
+            x = hashes * _DRAWS[base + t * rows + r]
+            x ^= x >> U64(32)
+            if last is not None:
+                x[last] = U64(0xFFFFFFFFFFFFFFFF)
+            key = mix(key * _LINE_BASE + np.minimum.reduceat(x, starts))
+        keys[:, t] = U64((base + t) << 32) | (key >> U64(32))
+    return keys
+
+
+def band_keys(first: np.ndarray, hashes: np.ndarray, p: Lines) -> pa.ListArray:
+    """The MinHash band keys of each line; none for lines with fewer than `least` words."""
+    n = np.diff(first)
+    short, long = (n >= p.least) & (n <= MOST_SINGLES), (n >= p.least) & (n >= LEAST_PAIRS)
+    counts = short * p.singles + long * p.pairs
+    at, flat = np.cumsum(counts) - counts, np.empty(counts.sum(), U64)
+    for on, bands, rows, skip in ((short, p.singles, 4, 0), (long, p.pairs, 3, short * p.singles)):
+        if on.any() and bands:
+            own = hashes[np.repeat(on, n)]
+            ends = np.cumsum(n[on])
+            pairs = on is long
+            if pairs:
+                own = np.append(gram_hashes(own, 2), U64(0))
+            keys = _drawn(own, ends - n[on], bands, rows, ends - 1 if pairs else None, 64 if pairs else 0)
+            flat[((at + skip)[on])[:, None] + np.arange(bands)] = keys
+    return list_array(pa.array(signed(flat)), counts)
 
 
 def _bit_sums(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -98,17 +151,20 @@ def _bit_sums(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _read(p: Lines) -> Callable:
-    """(doc_id, text) -> (doc_id, line, n, key, sim) of the lines with enough words."""
+    """(doc_id, text) -> (doc_id, line, key, sim, bands) of the lines with enough words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, ids = as_bytes(batch.column(1)), np.asarray(batch.column(0))
             for a, b in chunks(texts):
-                text, number, n, key, sim = line_figures(texts[a:b])
-                on = n >= p.least
+                text, number, first, hashes, key, sim = _figures(texts[a:b])
+                on = np.diff(first) >= p.least
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (ids[a:b][text[on]], number[on].astype(np.int32), signed(key[on]), signed(sim[on]))],
-                    ["doc_id", "line", "key", "sim"],
+                    [
+                        *(pa.array(x) for x in (ids[a:b][text[on]], number[on].astype(np.int32), signed(key[on]), signed(sim[on]))),
+                        band_keys(first, hashes, p).filter(pa.array(on)),
+                    ],
+                    ["doc_id", "line", "key", "sim", "bands"],
                 )
 
     return run
@@ -147,10 +203,11 @@ def similar(a: str, b: str, percent: int):
 def repeated_lines(docs: DataFrame, p: Lines = PRODUCTION) -> DataFrame:
     """(doc_id, lines): the numbers of the lines that go from each document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = staged(docs.mapInArrow(_read(p), "doc_id long, line int, key long, sim long"), "op1-lines")
+    seen = staged(docs.mapInArrow(_read(p), "doc_id long, line int, key long, sim long, bands array<long>"), "op1-lines")
     place = F.struct("doc_id", "line")
-    lines = staged(seen.groupBy("key", "sim").agg(F.min(place).alias("at"), F.max(place).alias("last")), "op1-distinct")
-    buckets = lines.select(F.explode(block_keys("sim", p)).alias("key"), F.col("key").alias("id"))
+    lines = staged(seen.groupBy("key", "sim").agg(F.min(place).alias("at"), F.max(place).alias("last"), F.first("bands").alias("bands")), "op1-distinct")
+    keys = F.col("bands") if p.singles or p.pairs else block_keys("sim", p)
+    buckets = lines.select(F.explode(keys).alias("key"), F.col("key").alias("id"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         x, y = (lines.select(F.col("key").alias(k), F.col("sim").alias(f"s{k}")) for k in ("a", "b"))
@@ -165,7 +222,7 @@ def repeated_lines(docs: DataFrame, p: Lines = PRODUCTION) -> DataFrame:
         return both.where(similar("fa", "fb", p.percent)).select("a", "b")
 
     groups, _ = bucket_components(buckets, verify, "op1")
-    lines = lines.join(groups, F.col("key") == F.col("node"), "left").withColumn("group", F.coalesce("component", "key"))
+    lines = lines.drop("bands").join(groups, F.col("key") == F.col("node"), "left").withColumn("group", F.coalesce("component", "key"))
     kept = lines.groupBy("group").agg(F.min("at").alias("keep"), F.max("last").alias("last")).where("keep < last")
     going = lines.join(kept.select("group", "keep"), "group").select("key", "sim", "keep")
     gone = seen.join(going, ["key", "sim"]).where(F.struct("doc_id", "line") != F.col("keep"))
@@ -195,5 +252,5 @@ def dedup_lines(docs: DataFrame, p: Lines = PRODUCTION) -> DataFrame:
 
 
 def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    out = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), WHOLE)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from attestor.llm.common import anti_join_some, documents, staged
 from attestor.llm.decontaminate import leaks
-from attestor.llm.line_dedup import dedup_lines
+from attestor.llm.line_dedup import WHOLE, dedup_lines
 from attestor.llm.near_dedup import near_groups
 from attestor.llm.pieces import encode
 from attestor.llm.quality import judged
@@ -28,7 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = dedup_lines(docs).where("n_removed = 0 or text rlike '[^ \\\\t-\\\\r]'")
+    out = dedup_lines(docs, WHOLE).where("n_removed = 0 or text rlike '[^ \\\\t-\\\\r]'")
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from attestor.llm.line_dedup import PRODUCTION, dedup_lines, line_figures, normal
+from attestor.llm.line_dedup import PRODUCTION, WHOLE, dedup_lines, line_figures, normal
 
 
 def distance(a, b):
@@ -67,3 +67,36 @@ def test_empty_table_and_long_lines(spark):
     one = ("w " * 70000).encode()
     _, _, n, _, sim = line_figures([one, b"w w w"])
     assert n.tolist() == [70000, 3] and sim[0] == sim[1] != np.uint64(0)
+
+
+def variant(r, vocab, words):
+    """A line with replaced, deleted and added words, as many as edit similarity 0.8 allows."""
+    out, line = list(words), " ".join(words)
+    for _ in range(200):
+        w, k = list(out), r.randrange(len(out))
+        w[k : k + 1] = r.choice(([r.choice(vocab)], [], [w[k], r.choice(vocab)]))
+        if not w or distance(line, " ".join(w)) > 0.2 * max(len(line), len(" ".join(w))):
+            break
+        out = w
+    return None if out == words else out
+
+
+def test_recall_at_edit_similarity_alone(spark):
+    """Lines as near to edit similarity 0.8 as word edits bring them: their SimHashes are mostly over 2 bits apart."""
+    r = random.Random(80)
+    vocab = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    rows = []
+    for n in (6, 8, 12, 16, 20, 40):
+        for _ in range(60):
+            words = [r.choice(vocab) for _ in range(n)]
+            other = variant(r, vocab, words)
+            if other and len(other) >= 5:
+                rows.append((len(rows), " ".join(words), n))
+                rows.append((len(rows), " ".join(other), n))
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    gone = {x.doc_id for x in dedup_lines(df, WHOLE).where("n_removed > 0").collect()}
+    assert not any(i % 2 == 0 for i in gone)
+    for n in (6, 8, 12, 16, 20, 40):
+        of = [i for i, _, k in rows if k == n and i % 2]
+        assert len(of) > 30 and sum(i in gone for i in of) >= 0.85 * len(of), n
+    assert len(gone) >= 0.9 * len(rows) / 2
