@@ -9,7 +9,8 @@ SimHash only what edit similarity nearly implies. Candidates are confirmed by ed
 the occurrence with the smallest (doc_id, line number) stays.
 
 Choose blocks so that a key has about as many bits as the corpus has lines in binary digits: 4 blocks and 2 flips give
-6 keys of 32 bits, 5 blocks 10 keys of 38 bits. Lines with fewer than `least` words are left alone.
+6 keys of 32 bits, 5 blocks 10 keys of 38 bits. Lines with fewer than `least` words have no
+fuzzy links, and lines with fewer than `exact` words are left alone: in the queries only lines without a word.
 
 Defined cases: a null text stays null; empty texts and texts whose lines all go are left empty; rows that repeat a
 doc_id are one document and must repeat its text, and each is returned; an empty table gives no rows; columns but the
@@ -37,6 +38,8 @@ class Lines:
     flips: int = 2
     blocks: int = 4
     percent: int = 80
+    #: Words of a line from which equal normal forms are one line.
+    exact: int = 5
     #: MinHash bands of 4 words and of 3 word pairs; none: SimHash blocks are the keys.
     singles: int = 0
     pairs: int = 0
@@ -45,7 +48,7 @@ class Lines:
 PRODUCTION = Lines()
 #: What op1 and the pipeline run. At edit similarity 0.8 by scattered replaced words, words have a Jaccard similarity of
 #: about 2/3 and word pairs of 0.43: 1 - (1 - (2/3)**4)**14 = 0.95 and 1 - (1 - 0.43**3)**28 = 0.90 share a band.
-WHOLE = Lines(flips=24, singles=14, pairs=28)
+WHOLE = Lines(flips=24, exact=1, singles=14, pairs=28)
 #: Lines of up to so many words have bands of words, lines of at least so many have bands of word pairs.
 MOST_SINGLES, LEAST_PAIRS = 16, 12
 
@@ -151,20 +154,21 @@ def _bit_sums(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _read(p: Lines) -> Callable:
-    """(doc_id, text) -> (doc_id, line, key, sim, bands) of the lines with enough words."""
+    """(doc_id, text) -> (doc_id, line, n, key, sim, bands) of the lines with enough words; n: words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, ids = as_bytes(batch.column(1)), np.asarray(batch.column(0))
             for a, b in chunks(texts):
                 text, number, first, hashes, key, sim = _figures(texts[a:b])
-                on = np.diff(first) >= p.least
+                n = np.diff(first)
+                on = n >= p.exact
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(pa.array(x) for x in (ids[a:b][text[on]], number[on].astype(np.int32), signed(key[on]), signed(sim[on]))),
+                        *(pa.array(x) for x in (ids[a:b][text[on]], number[on].astype(np.int32), n[on].astype(np.int32), signed(key[on]), signed(sim[on]))),
                         band_keys(first, hashes, p).filter(pa.array(on)),
                     ],
-                    ["doc_id", "line", "key", "sim", "bands"],
+                    ["doc_id", "line", "n", "key", "sim", "bands"],
                 )
 
     return run
@@ -203,11 +207,11 @@ def similar(a: str, b: str, percent: int):
 def repeated_lines(docs: DataFrame, p: Lines = PRODUCTION) -> DataFrame:
     """(doc_id, lines): the numbers of the lines that go from each document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = staged(docs.mapInArrow(_read(p), "doc_id long, line int, key long, sim long, bands array<long>"), "op1-lines")
+    seen = staged(docs.mapInArrow(_read(p), "doc_id long, line int, n int, key long, sim long, bands array<long>"), "op1-lines")
     place = F.struct("doc_id", "line")
-    lines = staged(seen.groupBy("key", "sim").agg(F.min(place).alias("at"), F.max(place).alias("last"), F.first("bands").alias("bands")), "op1-distinct")
+    lines = staged(seen.groupBy("key", "sim").agg(F.min(place).alias("at"), F.max(place).alias("last"), F.first("n").alias("n"), F.first("bands").alias("bands")), "op1-distinct")
     keys = F.col("bands") if p.singles or p.pairs else block_keys("sim", p)
-    buckets = lines.select(F.explode(keys).alias("key"), F.col("key").alias("id"))
+    buckets = lines.where(F.col("n") >= p.least).select(F.explode(keys).alias("key"), F.col("key").alias("id"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         x, y = (lines.select(F.col("key").alias(k), F.col("sim").alias(f"s{k}")) for k in ("a", "b"))
@@ -222,7 +226,7 @@ def repeated_lines(docs: DataFrame, p: Lines = PRODUCTION) -> DataFrame:
         return both.where(similar("fa", "fb", p.percent)).select("a", "b")
 
     groups, _ = bucket_components(buckets, verify, "op1")
-    lines = lines.drop("bands").join(groups, F.col("key") == F.col("node"), "left").withColumn("group", F.coalesce("component", "key"))
+    lines = lines.drop("n", "bands").join(groups, F.col("key") == F.col("node"), "left").withColumn("group", F.coalesce("component", "key"))
     kept = lines.groupBy("group").agg(F.min("at").alias("keep"), F.max("last").alias("last")).where("keep < last")
     going = lines.join(kept.select("group", "keep"), "group").select("key", "sim", "keep")
     gone = seen.join(going, ["key", "sim"]).where(F.struct("doc_id", "line") != F.col("keep"))

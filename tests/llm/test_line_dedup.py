@@ -100,3 +100,9 @@ def test_recall_at_edit_similarity_alone(spark):
         of = [i for i, _, k in rows if k == n and i % 2]
         assert len(of) > 30 and sum(i in gone for i in of) >= 0.85 * len(of), n
     assert len(gone) >= 0.9 * len(rows) / 2
+
+
+def test_equal_short_lines_are_one(spark):
+    rows = [(1, "Menu\nhome\n\n漢字の行\n..."), (2, "\nmenu!\nShare this\n漢字の行\n..."), (3, "share THIS\nshare that")]
+    got = {x.doc_id: x.text for x in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), WHOLE).collect()}
+    assert got == {1: rows[0][1], 2: "\nShare this\n...", 3: "share that"}
