@@ -54,7 +54,7 @@ def _versioned(name: str, title: str, short: str, versions: tuple[str, ...], key
         label = f"{name}-{v}"
         out += [
             Rule(label, keyword, f"{title} (?:v|version |v ){{0,1}}{number}", 2, 0.95),
-            Rule(label, short, f"{short} (?:v|version |v ){{0,1}}{number}", 2, 0.9),
+            Rule(label, short, f"{short}(?: (?:v|version |v )?|v ?){number}", 2, 0.9),
             Rule(label, short, f"spdx license identifier {short} {digits}(?: only)?", 3, 1.0),
             Rule(label, short, f"{short} {digits}(?: only)", 3, 0.95),
             Rule(label, keyword, f"version {number} of the {title}", 3, 1.0),
@@ -63,8 +63,8 @@ def _versioned(name: str, title: str, short: str, versions: tuple[str, ...], key
         if later:
             more = f"{label}-or-later"
             out += [
-                Rule(more, short, f"{short} {digits} or later", 4, 1.0),
-                Rule(more, keyword, f"{title} (?:v|version |v ){{0,1}}{number} or (?:\\(at your option\\) )?(?:any )?later(?: version)?", 4, 1.0),
+                Rule(more, short, f"{short}(?: (?:v|version |v )?|v ?){number} or (?:any )?later(?: version)?", 4, 1.0),
+                Rule(more, keyword, f"{title} (?:v|version |v ){{0,1}}{number} or (?:at your option )?(?:any )?later(?: version)?", 4, 1.0),
                 Rule(more, keyword, f"either version {number} of the (?:{title}|license) or at your option any later version", 4, 1.0),
             ]
     return out
@@ -81,7 +81,7 @@ def rules() -> tuple[Rule, ...]:
         ("apache", "apache (?:software )?license", "apache", ("1.0", "1.1", "2.0"), "apache", False),
         ("mpl", "mozilla public license", "mpl", ("1.0", "1.1", "2.0"), "mozilla", False),
         ("epl", "eclipse public license", "epl", ("1.0", "2.0"), "eclipse", False),
-        ("cddl", "common development and distribution license", "cddl", ("1.0", "1.1"), "cddl", False),
+        ("cddl", "common development and distribution license", "cddl", ("1.0", "1.1"), "distribution", False),
         ("eupl", "european union public licen[cs]e", "eupl", ("1.0", "1.1", "1.2"), "european", False),
         ("osl", "open software license", "osl", ("1.0", "2.0", "2.1", "3.0"), "software", True),
         ("afl", "academic free license", "afl", ("1.1", "1.2", "2.0", "2.1", "3.0"), "academic", False),
@@ -136,7 +136,8 @@ def rules() -> tuple[Rule, ...]:
         ("json", "evil", ("shall be used for good not evil",)),
         ("gpl", "gnu", ("licensed under (?:the )?gnu gpl", "gnu gpl")),
         ("lgpl", "lgpl", ("licensed under (?:the )?(?:gnu )?lgpl",)),
-        ("apache", "apache", ("licensed under (?:the )?apache", "asl 2 0", "apache software foundation asf under one or more contributor license agreements")),
+        ("apache", "apache", ("licensed under (?:the )?apache", "apache software foundation asf under one or more contributor license agreements")),
+        ("apache", "asl", ("asl 2 0",)),
     ):
         out += [Rule(label, keyword, form, 2 if len(form) < 40 else 3, 0.9 if len(form) < 40 else 1.0) for form in forms]
     return tuple(out)

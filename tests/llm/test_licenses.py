@@ -50,3 +50,24 @@ def test_equals_brute_force(spark):
 def test_rules_and_empty_table(spark):
     assert len(rules()) > 300 and all(re.compile(r.pattern) for r in rules())
     assert scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_usual_forms_are_reached(spark):
+    texts = {
+        "Common Development and Distribution License, version 1.0": "cddl-1.0",
+        "under GPLv2.": "gpl-2.0",
+        "GPLv3 applies": "gpl-3.0",
+        "LGPLv2.1": "lgpl-2.1",
+        "GPLv2 or later": "gpl-2.0-or-later",
+        "GNU General Public License version 2 or (at your option) any later version": "gpl,gpl-2.0-or-later",
+        "ASL 2.0": "apache",
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {list(texts)[r.doc_id]: r.labels for r in scan(df).collect()} == texts
+
+
+def test_keywords_stand_in_their_patterns():
+    """But for "either version N of the license", where the keyword tells the family."""
+    for r in rules():
+        if not r.pattern.startswith("either version"):
+            assert r.keyword in re.sub(r"\(\?:[^()]*\)\??", "", r.pattern), r
