@@ -7,6 +7,7 @@ found and hashed without a loop over words, and buffers are cut so that a worker
 from __future__ import annotations
 
 import gc
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -36,17 +37,15 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees. Only where the session names none (tests) a local one is set."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not set_dir:
-        current = spark.sparkContext.getCheckpointDir()
-        if not current:
-            import tempfile
-
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="attestor-"))
-            current = spark.sparkContext.getCheckpointDir()
-        set_dir = current
-    return set_dir.rstrip("/")
+    """The folder that every executor sees. Only on a local master (tests), where there is one machine, may the session
+    name none; elsewhere that is an error, as tables in an executor's own folder would be lost."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="attestor-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -54,25 +53,35 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/attestor/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     release(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that no later plan reads."""
+    for table in tables:
+        jvm = table.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table.staged_at)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Bits of the prefilter of `only`: 1024 bitmaps of 4 KB, 4 MB whatever the data are.
 FILTER_BITS = 1 << 25
 
 
-def only(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows of a table whose key may be in ids; a prefilter for a join that would shuffle all of a large table.
+def only(table: DataFrame, ids: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a table whose keys may be in ids; a prefilter for a join that would shuffle all of a large table.
 
     The ids are hashed into a bitmap of fixed size, which is broadcast. Rows whose bit is not set go before the
     shuffle; the exact join that follows removes those that share a bit by chance. With very many ids the bitmap fills
     up and the prefilter lets more through, but the result is the same."""
-    return _marked(table, ids, key).where("_hit").select(*table.columns)
+    return _marked(table, ids, *keys).where("_hit").select(*table.columns)
 
 
-def _marked(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """table with _hit: whether the key's bit is set in the bitmap of ids."""
-    bit = F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS)) + 1
+def _marked(table: DataFrame, ids: DataFrame, *keys: str) -> DataFrame:
+    """table with _hit: whether the keys' bit is set in the bitmap of ids."""
+    bit = F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS)) + 1
     maps = ids.groupBy(F.bitmap_bucket_number(bit).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_map"))
     at = F.bitmap_bit_position(bit)
     byte = F.conv(F.hex(F.substring("_map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
@@ -80,22 +89,27 @@ def _marked(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return met.withColumn("_hit", F.coalesce((F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2) == 1, F.lit(False)))
 
 
-def left_join_some(table: DataFrame, some: DataFrame, key: str) -> DataFrame:
-    """table.join(some, key, "left") for a wide table of which some rows have a partner: the others, as far as the
+def left_join_some(table: DataFrame, some: DataFrame, *keys: str) -> DataFrame:
+    """table.join(some, keys, "left") for a wide table of which some rows have a partner: the others, as far as the
     bitmap tells, are not shuffled."""
-    marked, others = _marked(table, some, key), [c for c in some.columns if c != key]
-    near = marked.where("_hit").select(*table.columns).join(some, key, "left").select(*table.columns, *others)
+    marked, others = _marked(table, some, *keys), [c for c in some.columns if c not in keys]
+    near = marked.where("_hit").select(*table.columns).join(some, list(keys), "left").select(*table.columns, *others)
     nulls = [F.lit(None).cast(some.schema[c].dataType).alias(c) for c in others]
     return near.unionByName(marked.where("not _hit").select(*table.columns, *nulls))
 
 
-def anti_join_some(table: DataFrame, going: DataFrame, key: str) -> DataFrame:
-    """table.join(going, key, "left_anti"), with only the rows shuffled that the bitmap does not clear."""
-    marked = _marked(table, going, key)
-    near = marked.where("_hit").select(*table.columns).join(going.select(key), key, "left_anti").select(*table.columns)
+def anti_join_some(table: DataFrame, going: DataFrame, *keys: str) -> DataFrame:
+    """table.join(going, keys, "left_anti"), with only the rows shuffled that the bitmap does not clear."""
+    marked = _marked(table, going, *keys)
+    near = marked.where("_hit").select(*table.columns).join(going.select(*keys), list(keys), "left_anti").select(*table.columns)
     return near.unionByName(marked.where("not _hit").select(*table.columns))
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The same rows with columns c0, c1, ...: names that cannot clash with those of an operator."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished jobs: Spark deletes them once the driver has dropped the plans, and a
     driver with little garbage would keep those of every step until the end."""

@@ -1,35 +1,38 @@
-"""Links and connected groups over distributed tables; nothing is collected but a few counters a round."""
+"""Links and connected groups over distributed tables; nothing is collected but an answer a round."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, staged
+from .common import discard, only, staged
 
 
-def _state(edges: DataFrame) -> tuple:
-    """Row count and an order-free checksum: equal states mean that a round changed nothing."""
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _stars(links: DataFrame) -> bool:
+    """Whether each node has one link down and none that leads to a node with a link down itself."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+    ends = ends.unionByName(links.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or (down = 1 and up = 1)").isEmpty()
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) with the smallest reachable node as component, for every node that has an edge.
 
-    Alternates large-star and small-star (Kiveris et al., 2014): each round is two aggregations with map-side
-    combination and joins on node ids, so a hub with many links is pre-aggregated and its join can be split.
-    Each round is a written table. An edge from a node to itself counts as no edge; an empty table gives none.
+    Alternates large-star and small-star (Kiveris et al., 2014) until only stars are left: each round is two
+    aggregations with map-side combination and joins on node ids, so a hub with many links is pre-aggregated and its
+    join can be split. Each round is a written table, which replaces the one before. An edge from a node to itself
+    counts as no edge; an empty table gives none.
     """
     links = staged(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links"
     )
-    state = _state(links)
-    while state[0]:
+    while not _stars(links):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = (
@@ -38,62 +41,91 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .unionByName(low.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        links = staged(small, "links")
-        before, state = state, _state(links)
-        if state == before:
-            break
+        before, links = links, staged(small, "links")
+        discard(before)
     leaves = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return leaves.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = staged(leaves.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "groups")
+    discard(links)
+    return out
 
 
 def bucket_components(
     buckets: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
+    across: Callable[[DataFrame], DataFrame],
     name: str,
-    across: Callable[[DataFrame], DataFrame] | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Groups of the ids that share a bucket and pass verification, without forming all pairs of a bucket.
-
-    buckets: (key, id), no repeats. verify: takes distinct pairs (a, b), a < b, returns the linked ones.
-
-    First each bucket's members are tried against its hub only, the member whose buckets are the fullest: every id
-    against the fullest of its hubs, then against the others that it has not met through that. After that the hub is
-    done with; of the other members only pairs across groups are open, so that a bucket whose members have
-    met (a large group of copies) costs no pair. across: takes the open members (hub, id, c: group), those of a
-    bucket under its hub, and returns the links (a, b), a < b, between different groups of a hub, all of them; by
-    default every pair across groups is verified. Returns (node, component) of the linked ids, and the links found.
+) -> DataFrame:
+    """Groups of the ids that share a bucket and pass verification, without forming all pairs of a bucket:
+    (node, component) of the linked ids.
+
+    buckets: (key, id, info), where an id has one info and may repeat in a bucket. Whether a key has two ids is told by
+    15 bits hashed from key and id, so that a pair alone in a bucket is overlooked there once in 32,768 times.
+    verify: takes distinct pairs (a, b, ia, ib), the infos as ia and ib, and returns the linked ones (a, b).
+
+    First each bucket's members are tried against its hub only, the smallest id. After that the hub is done with; of the
+    other members only pairs across groups are open, so that a bucket whose members have met (a large group of copies)
+    costs no pair. across: takes the open members (hub, id, c: group, info), those of a
+    bucket under its hub, and returns (a, b) that connect all that is linked across groups of a hub.
     """
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    crowded = staged(only(buckets, sizes, "key").join(sizes, "key"), f"{name}-crowded")
-    score = crowded.groupBy("id").agg(F.sum("n").alias("score"))
-    scored = crowded.join(score, "id")
-    hubs = scored.groupBy("key").agg(F.max(F.struct("score", F.negate("id").alias("m"))).alias("x"))
-    hubs = hubs.select("key", F.negate("x.m").alias("hub"), F.col("x.score").alias("full"))
-    spokes = staged(crowded.join(hubs, "key").where("id <> hub").select("key", "id", "hub", "full"), f"{name}-spokes")
-    pair = [F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")]
-    best = spokes.groupBy("id").agg(F.max(F.struct("full", F.negate("hub").alias("m"))).alias("x"))
-    first = staged(best.select("id", F.negate("x.m").alias("hub")).select(*pair).distinct(), f"{name}-first")
-    links = staged(verify(first), f"{name}-linked")
-    groups = staged(connected_components(links), f"{name}-groups")
-    of = lambda k: groups.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}"))
-    star = staged(spokes.select(*pair).distinct(), f"{name}-star")
-    apart = star.join(first, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    apart = apart.where("coalesce(c_a, a) <> coalesce(c_b, b)").select("a", "b")
-    links = links.unionByName(staged(verify(apart), f"{name}-second"))
-    groups = staged(connected_components(links), f"{name}-groups")
-    met = groups.select(F.col("node").alias("id"), F.col("component").alias("c"))
-    labelled = spokes.join(met, "id", "left").select("key", "hub", "id", F.coalesce("c", "id").alias("c"))
-    split = labelled.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("key")
-    open_ = staged(labelled.join(split, "key").select("hub", "id", "c").distinct(), f"{name}-open")
-    more = across(open_) if across else verify(across_groups(open_).join(star, ["a", "b"], "left_anti"))
-    more = staged(more, f"{name}-rest")
-    links = links.unionByName(more)
-    if more.limit(1).count():
-        groups = connected_components(links)
-    return groups, links
-
-
-def across_groups(open_: DataFrame) -> DataFrame:
-    """The pairs of a hub's members that are in different groups."""
-    x, y = (open_.select("hub", F.col("id").alias(i), F.col("c").alias(c)) for i, c in (("a", "ca"), ("b", "cb")))
-    return x.join(y, "hub").where("a < b and ca <> cb").select("a", "b").distinct()
+    tag = F.xxhash64("key", "id").bitwiseAND(F.lit(0x7FFF)).cast("smallint")
+    shared = buckets.select("key", tag.alias("tag")).groupBy("key").agg(F.min("tag").alias("low"), F.max("tag").alias("high"))
+    shared = staged(shared.where("low < high").select("key"), f"{name}-shared")
+    crowded = staged(only(buckets, shared, "key").join(shared, "key", "left_semi"), f"{name}-crowded")
+    discard(shared)
+    hubs = crowded.groupBy("key").agg(F.min(F.struct("id", "info")).alias("hub"))
+    star = crowded.join(hubs, "key").where("id <> hub.id")
+    star = staged(star.select(F.col("hub.id").alias("a"), F.col("id").alias("b"), F.col("hub.info").alias("ia"), F.col("info").alias("ib")).distinct(), f"{name}-star")
+    discard(crowded)
+    links = staged(verify(star), f"{name}-links")
+    groups = connected_components(links)
+    discard(links)
+    met = star.select(F.col("a").alias("hub"), F.col("b").alias("id"), F.col("ib").alias("info")).join(
+        groups.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left"
+    ).withColumn("c", F.coalesce("c", "id"))
+    split = met.groupBy("hub").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("hub")
+    open_ = staged(met.join(split, "hub", "left_semi").select("hub", "id", "c", "info"), f"{name}-open")
+    discard(star)
+    more = staged(across(open_), f"{name}-more")
+    discard(open_)
+    if more.isEmpty():
+        return groups
+    edges = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b"))
+    out = connected_components(edges)
+    discard(groups, more)
+    return out
+
+
+def tiles(members: DataFrame, size: Column, most: int, rows: int) -> DataFrame:
+    """members (hub, id, ...) of each hub in tiles of a bounded total size and count, repeated for each other tile of the
+    hub: rows of equal (hub, p, q) hold the tiles p and q, so that each two members of a hub meet in one task of bounded
+    size."""
+    n = members.groupBy("hub").agg(F.ceil(F.greatest(F.sum(size) / most, F.count("*") / rows, F.lit(1))).cast("int").alias("_t"))
+    out = members.join(n, "hub").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("_t")).cast("int"))
+    out = out.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_t") - 1)))
+    return out.withColumn("p", F.least("tile", "_o")).withColumn("q", F.greatest("tile", "_o")).drop("_t", "_o")
+
+
+def sides(tile: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the two tiles of a task; the same twice if there is one tile."""
+    low, high = tile.min(), tile.max()
+    x = np.flatnonzero(tile == low)
+    return (x, x) if low == high else (x, np.flatnonzero(tile == high))
+
+
+def spanning(n: int, a: Iterable[int], b: Iterable[int], linked: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """Of the candidates (a, b) among n members those that are linked and connect what was apart, in turn; candidates
+    that are connected already are not asked."""
+    root, out = list(range(n)), []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, j in zip(a, b):
+        x, y = find(i), find(j)
+        if x != y and linked(i, j):
+            root[max(x, y)] = min(x, y)
+            out.append((i, j))
+    return out

@@ -1,20 +1,22 @@
 """Fuzzy line removal over a corpus, and the query op1.
 
 A line is normalised to its words: A-Z lower-cased, digits to 0, ASCII punctuation to spaces. Equal normal forms are
-one line with a count. Distinct lines get a 64-bit SimHash of their distinct words; lines whose SimHashes differ in at most
-`flips` bits agree in all of some `blocks - flips` blocks (pigeonhole), so the join keys are those combinations of
-blocks. A SimHash of a line of ordinary length moves by more bits for one changed word, so the queries (`WHOLE`) take
-MinHash bands as join keys instead, of the words of short lines and of the word pairs of longer ones, and ask of the
-SimHash only what edit similarity nearly implies. Candidates are confirmed by edit similarity of the normal forms, linked lines form groups, and of each group
-the occurrence with the smallest (doc_id, line number) stays.
+one line. Distinct lines get a 64-bit SimHash of their distinct words; lines whose SimHashes differ in at most `flips`
+bits agree in all of some `blocks - flips` blocks (pigeonhole), so the join keys are those combinations of blocks. A
+SimHash of a line of ordinary length moves by more bits for one changed word, so the queries (`WHOLE`) take MinHash
+bands as join keys instead, of the words of short lines and of the word pairs of longer ones, and ask of the SimHash
+only what edit similarity nearly implies. A bucket's lines are confirmed against its hub by edit similarity of the
+normal forms; those still apart meet in tiles of bounded size, which give out spanning links only. Linked lines form
+groups, and of each group the occurrence with the smallest (doc_id, text hash, line number) stays.
 
 Choose blocks so that a key has about as many bits as the corpus has lines in binary digits: 4 blocks and 2 flips give
 6 keys of 32 bits, 5 blocks 10 keys of 38 bits. Lines with fewer than `least` words have no
 fuzzy links, and lines with fewer than `exact` words are left alone: in the queries only lines without a word.
 
 Defined cases: a null text stays null; empty texts and texts whose lines all go are left empty; rows that repeat a
-doc_id are one document and must repeat its text, and each is returned; an empty table gives no rows; columns but the
-text pass through untouched.
+doc_id and its text are one document, and each is returned; rows with one doc_id and different texts are documents of
+their own; an empty table gives no rows; columns but the text pass through untouched, whatever their names, but for
+columns named n_lines or n_removed, which are replaced.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, as_bytes, chunks, documents, gram_hashes, joined, left_join_some, list_array, mix, only, signed, staged, word_hashes
-from .graph import bucket_components
+from .common import U64, as_bytes, chunks, discard, documents, gram_hashes, joined, left_join_some, list_array, mix, numbered, only, signed, staged, word_hashes
+from .graph import bucket_components, sides, spanning, tiles
 
 
 @dataclass(frozen=True)
@@ -65,20 +67,27 @@ def normal(line: bytes) -> str:
 
 def line_figures(texts: list[bytes]):
     """(text, line number, words, key, simhash) of each line of the texts."""
-    text, number, first, _, key, sim = _figures(texts)
+    text, number, first, _, key, sim, _ = _figures(texts)
     return text, number, np.diff(first), key, sim
 
 
+#: Bounds of a tile of lines that are compared in one task: by SimHash, and by edit similarity.
+SKETCH_LINES, TILE_CHARS, TILE_LINES = 4096, 1_000_000, 256
+
+
 def _figures(texts: list[bytes]):
-    """(text, line number, first word and one more, hashes of the words, key, simhash)."""
+    """(text, line number, first word and one more, hashes of the words, key, simhash, characters of the normal form)."""
     buf, begin = joined([*texts, b""], b"\n")
     begin = begin[:-1]
     end = np.flatnonzero(buf == 10)
     start = np.concatenate(([0], end[:-1] + 1)) if len(end) else end
     plain = _NORMAL[buf]
-    words, _, hashes = word_hashes(plain)
+    words, word_ends, hashes = word_hashes(plain)
     first = np.searchsorted(words, np.append(start, len(buf)))
     n = np.diff(first)
+    letters = np.concatenate(([0], np.cumsum((plain & 0xC0) != 0x80)))
+    letters = np.concatenate(([0], np.cumsum(letters[word_ends] - letters[words] + 1)))
+    size = np.maximum(letters[first[1:]] - letters[first[:-1]] - 1, 0)
     text = np.searchsorted(begin, start, "right") - 1
     number = np.arange(len(start)) - np.searchsorted(start, begin)[text]
     key, sim = np.zeros(len(start), U64), np.zeros(len(start), U64)
@@ -100,14 +109,14 @@ def _figures(texts: list[bytes]):
             ones = _bit_sums(words[edge[i] : edge[j]], edge[i:j] - edge[i])
             bits = 2 * ones > np.diff(edge[i : j + 1])[:, None]
             sim[has[i:j]] = np.packbits(bits, axis=1, bitorder="little").view(U64)[:, 0]
-    return text, number, first, hashes, key, sim
+    return text, number, first, hashes, key, sim, size
 
 
 _DRAWS = mix(np.arange(1, 257, dtype=U64)) | U64(1)
 
 
 def _drawn(hashes: np.ndarray, starts: np.ndarray, bands: int, rows: int, last: np.ndarray | None, base: int) -> np.ndarray:
-    """MinHash band keys, one row for the hashes from each start to the next: the band's number over 32 bits. The
+    """MinHash band keys, one row for the hashes from each start to the next: the band's number over 40 bits. The
     hashes at `last` are left out."""
     keys = np.empty((len(starts), bands), U64)
     for t in range(bands):
@@ -118,7 +127,7 @@ def _drawn(hashes: np.ndarray, starts: np.ndarray, bands: int, rows: int, last:
             if last is not None:
                 x[last] = U64(0xFFFFFFFFFFFFFFFF)
             key = mix(key * _LINE_BASE + np.minimum.reduceat(x, starts))
-        keys[:, t] = U64((base + t) << 32) | (key >> U64(32))
+        keys[:, t] = U64((base + t) << 40) | (key >> U64(24))
     return keys
 
 
@@ -154,22 +163,33 @@ def _bit_sums(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _read(p: Lines) -> Callable:
-    """(doc_id, text) -> (doc_id, line, n, key, sim, bands) of the lines with enough words; n: words."""
+    """(doc_id, of, text) -> (doc_id, of, line, key, sim) of the lines with enough words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = as_bytes(batch.column(1)), np.asarray(batch.column(0))
+            ids, of, texts = np.asarray(batch.column(0)), np.asarray(batch.column(1)), as_bytes(batch.column(2))
             for a, b in chunks(texts):
-                text, number, first, hashes, key, sim = _figures(texts[a:b])
-                n = np.diff(first)
-                on = n >= p.exact
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(pa.array(x) for x in (ids[a:b][text[on]], number[on].astype(np.int32), n[on].astype(np.int32), signed(key[on]), signed(sim[on]))),
-                        band_keys(first, hashes, p).filter(pa.array(on)),
-                    ],
-                    ["doc_id", "line", "n", "key", "sim", "bands"],
-                )
+                text, number, first, _, key, sim, _ = _figures(texts[a:b])
+                on = np.diff(first) >= p.exact
+                columns = (ids[a:b][text[on]], of[a:b][text[on]], number[on].astype(np.int32), signed(key[on]), signed(sim[on]))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc_id", "of", "line", "key", "sim"])
+
+    return run
+
+
+def _bands(p: Lines) -> Callable:
+    """(doc_id, of, text) -> (id, sim, size, bands) of the distinct lines of some documents that have keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = as_bytes(batch.column(2))
+            for a, b in chunks(texts):
+                _, _, first, hashes, key, sim, size = _figures(texts[a:b])
+                keep = np.zeros(len(key), bool)
+                keep[np.unique(key, return_index=True)[1]] = True
+                keep &= np.diff(first) >= p.least
+                columns = [pa.array(x) for x in (signed(key), signed(sim), size.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*columns, band_keys(first, hashes, p)], ["id", "sim", "size", "bands"]).filter(pa.array(keep))
 
     return run
 
@@ -204,41 +224,133 @@ def similar(a: str, b: str, percent: int):
     return F.expr(f"CASE {steps} ELSE levenshtein({a}, {b}, {most}) >= 0 END")
 
 
+def within(a: str, b: str, most: int) -> bool:
+    """Whether the edit distance of two strings is at most `most`: the columns of the distance table as bits of integers
+    (Myers, 1999), given up as soon as the rest cannot make good for it."""
+    start, end = 0, 0
+    while start < min(len(a), len(b)) and a[start] == b[start]:
+        start += 1
+    while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    if not a or not b:
+        return max(len(a), len(b)) <= most
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, score = full, 0, len(a)
+    for left, c in zip(range(len(b) - 1, -1, -1), b):
+        x = places.get(c, 0) | down
+        same = ((x & up) + up ^ up) | x
+        more, less = down | full & ~(same | up), up & same
+        score += 1 if more & top else -1 if less & top else 0
+        if score - left > most:
+            return False
+        more = more << 1 | 1
+        up, down = less << 1 & full | full & ~(same | more), more & same
+    return score <= most
+
+
+def _near(info: np.ndarray, size: np.ndarray, group: np.ndarray, x: np.ndarray, y: np.ndarray, p: Lines):
+    """Which pairs of lines of two tiles are of different groups and may be similar, by SimHash and size."""
+    near = np.bitwise_count(info[x][:, None] ^ info[y][None, :]) <= p.flips
+    near &= group[x][:, None] != group[y][None, :]
+    longer = np.maximum(size[x][:, None], size[y][None, :])
+    return near & (100 * np.minimum(size[x][:, None], size[y][None, :]) >= p.percent * longer)
+
+
+def _hopeful(p: Lines) -> Callable:
+    """Two tiles of (hub, id, c, sim, size, tile) -> the (hub, id) that may be similar to one of another group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        hub, ids, group, sim, size, tile = (table.column(x).to_numpy() for x in ("hub", "id", "c", "sim", "size", "tile"))
+        x, y = sides(tile)
+        hit = np.zeros(len(ids), bool)
+        for i in range(0, len(x), 256):
+            near = _near(sim.view(U64), size.astype(np.int64), group, x[i : i + 256], y, p)
+            hit[x[i : i + 256]] |= near.any(axis=1)
+            hit[y] |= near.any(axis=0)
+        return pa.table({"hub": hub[hit], "id": ids[hit]})
+
+    return run
+
+
+def _compare(p: Lines) -> Callable:
+    """Two tiles of (id, c, sim, size, form, tile) -> (a, b): links that connect all similar lines of different groups."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, group, sim, size, tile = (table.column(x).to_numpy() for x in ("id", "c", "sim", "size", "tile"))
+        forms, size = table.column("form").to_pylist(), size.astype(np.int64)
+        x, y = sides(tile)
+        i, j = np.nonzero(_near(sim.view(U64), size, group, x, y, p))
+        i, j = x[i], y[j]
+        once = i < j if len(x) and x is y else np.ones(len(i), bool)
+        order = np.argsort(np.bitwise_count(sim[i[once]] ^ sim[j[once]]), kind="stable")
+        i, j = i[once][order].tolist(), j[once][order].tolist()
+        most = lambda a, b: (100 - p.percent) * max(len(forms[a]), len(forms[b])) // 100
+        found = spanning(len(ids), i, j, lambda a, b: within(forms[a], forms[b], most(a, b)))
+        ends = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": ids[ends[:, 0]], "b": ids[ends[:, 1]]})
+
+    return run
+
+
 def repeated_lines(docs: DataFrame, p: Lines = PRODUCTION) -> DataFrame:
-    """(doc_id, lines): the numbers of the lines that go from each document."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = staged(docs.mapInArrow(_read(p), "doc_id long, line int, n int, key long, sim long, bands array<long>"), "op1-lines")
-    place = F.struct("doc_id", "line")
-    lines = staged(seen.groupBy("key", "sim").agg(F.min(place).alias("at"), F.max(place).alias("last"), F.first("n").alias("n"), F.first("bands").alias("bands")), "op1-distinct")
+    """(doc_id, of, lines): the numbers of the lines that go from each document; of: hash of its text.
+
+    docs: (doc_id, of, text)."""
+    seen = staged(docs.mapInArrow(_read(p), "doc_id long, of long, line int, key long, sim long"), "op1-lines")
+    place = F.struct("doc_id", "of", "line")
+    lines = staged(seen.groupBy("key", "sim").agg(F.min(place).alias("at"), F.max(place).alias("last")), "op1-distinct")
+    drawn = docs.mapInArrow(_bands(p), "id long, sim long, size int, bands array<long>")
     keys = F.col("bands") if p.singles or p.pairs else block_keys("sim", p)
-    buckets = lines.where(F.col("n") >= p.least).select(F.explode(keys).alias("key"), F.col("key").alias("id"))
+    buckets = drawn.select(F.explode(keys).alias("key"), "id", F.struct("sim", "size").alias("info"))
+
+    def forms(ids: DataFrame) -> DataFrame:
+        wanted = only(lines, ids.withColumnRenamed("id", "key"), "key").join(ids, F.col("key") == F.col("id"))
+        wanted = wanted.groupBy("at.doc_id", "at.of").agg(F.collect_list(F.struct("at.line", "key")).alias("wanted"))
+        near = only(docs, wanted, "doc_id", "of").join(wanted, ["doc_id", "of"]).select("doc_id", "text", "wanted")
+        return staged(near.mapInArrow(_forms, "id long, form string").dropDuplicates(["id"]), "op1-forms")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        x, y = (lines.select(F.col("key").alias(k), F.col("sim").alias(f"s{k}")) for k in ("a", "b"))
-        near = pairs.join(x, "a").join(y, "b").where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= p.flips)
-        near = staged(near.select("a", "b"), "op1-near")
-        ids = near.select(F.col("a").alias("key")).union(near.select("b")).distinct()
-        wanted = lines.join(ids, "key").groupBy("at.doc_id").agg(F.collect_list(F.struct("at.line", "key")).alias("wanted"))
-        forms = only(docs, wanted, "doc_id").join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_forms, "id long, form string")
-        forms = staged(forms.dropDuplicates(["id"]), "op1-forms")
-        both = near.join(forms.select(F.col("id").alias("a"), F.col("form").alias("fa")), "a")
-        both = both.join(forms.select(F.col("id").alias("b"), F.col("form").alias("fb")), "b")
+        alike = F.bit_count(F.col("ia.sim").bitwiseXOR(F.col("ib.sim"))) <= p.flips
+        sizes = F.expr(f"100 * least(ia.size, ib.size) >= {p.percent} * greatest(ia.size, ib.size)")
+        near = staged(pairs.where(alike & sizes).select("a", "b"), "op1-near")
+        form = forms(near.select(F.col("a").alias("id")).union(near.select("b")).distinct())
+        both = near.join(form.select(F.col("id").alias("a"), F.col("form").alias("fa")), "a")
+        both = both.join(form.select(F.col("id").alias("b"), F.col("form").alias("fb")), "b")
         return both.where(similar("fa", "fb", p.percent)).select("a", "b")
 
-    groups, _ = bucket_components(buckets, verify, "op1")
-    lines = lines.drop("n", "bands").join(groups, F.col("key") == F.col("node"), "left").withColumn("group", F.coalesce("component", "key"))
-    kept = lines.groupBy("group").agg(F.min("at").alias("keep"), F.max("last").alias("last")).where("keep < last")
-    going = lines.join(kept.select("group", "keep"), "group").select("key", "sim", "keep")
-    gone = seen.join(going, ["key", "sim"]).where(F.struct("doc_id", "line") != F.col("keep"))
-    return staged(gone.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "op1-gone")
+    def across(open_: DataFrame) -> DataFrame:
+        open_ = open_.select("hub", "id", "c", "info.sim", "info.size")
+        hopeful = tiles(open_, F.lit(1), SKETCH_LINES, SKETCH_LINES).groupBy("hub", "p", "q").applyInArrow(_hopeful(p), "hub long, id long")
+        hopeful = staged(hopeful.distinct(), "op1-hopeful")
+        form = forms(hopeful.select("id").distinct())
+        near = tiles(open_.join(hopeful, ["hub", "id"], "left_semi").join(form, "id"), F.col("size"), TILE_CHARS, TILE_LINES)
+        return near.groupBy("hub", "p", "q").applyInArrow(_compare(p), "a long, b long").distinct()
+
+    groups = bucket_components(buckets, verify, across, "op1")
+    members = only(lines, groups.withColumnRenamed("node", "key"), "key").join(groups, F.col("key") == F.col("node"))
+    keep = members.groupBy("component").agg(F.min("at").alias("keep"))
+    going = members.join(keep, "component").select("key", "sim", "keep")
+    alone = lines.where("at < last").join(groups, F.col("key") == F.col("node"), "left_anti")
+    going = staged(going.unionByName(alone.select("key", "sim", F.col("at").alias("keep"))), "op1-going")
+    gone = only(seen, going, "key").join(going, ["key", "sim"]).where(place != F.col("keep"))
+    out = staged(gone.groupBy("doc_id", "of").agg(F.collect_set("line").alias("lines")), "op1-gone")
+    discard(seen, lines, going)
+    return out
 
 
 def dedup_lines(docs: DataFrame, p: Lines = PRODUCTION) -> DataFrame:
     """docs with the repeated lines taken out of the text, and with the columns n_lines and n_removed at the end."""
-    gone = repeated_lines(docs, p).select(F.col("doc_id").alias("_of"), F.col("lines").alias("_gone"))
-    table = left_join_some(docs.withColumn("_of", F.col("doc_id").cast("long")), gone, "_of")
-    at, names = docs.columns.index("text"), docs.columns
-    fields = docs.withColumn("text", F.col("text").cast("string")).select("*", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed")).schema
+    docs = docs.select(*(F.col("text").cast("string").alias("text") if c == "text" else docs[c] for c in docs.columns if c not in ("n_lines", "n_removed")))
+    names, at = docs.columns, docs.columns.index("text")
+    one, text = F.col(f"c{names.index('doc_id')}").cast("long").alias("doc_id"), F.col(f"c{at}")
+    table = numbered(docs).select("*", one, F.xxhash64(text).alias("of"))
+    gone = repeated_lines(table.select("doc_id", "of", text.alias("text")), p)
+    table = left_join_some(table, gone, "doc_id", "of")
+    fields = numbered(docs).select("*", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,9 +362,9 @@ def dedup_lines(docs: DataFrame, p: Lines = PRODUCTION) -> DataFrame:
                 n_lines.append(len(parts))
                 n_removed.append(len(out))
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], [*names, "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], fields.names)
 
-    return table.select(*names, "_gone").mapInArrow(run, fields)
+    return table.select(*fields.names[:-2], "lines").mapInArrow(run, fields).toDF(*names, "n_lines", "n_removed")
 
 
 def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, as_bytes, chunks, documents, gram_hashes, joined, list_array, mix, only, signed, staged, word_hashes
-from .graph import bucket_components
+from .graph import bucket_components, sides, spanning, tiles
 
 
 @dataclass(frozen=True)
@@ -158,8 +158,7 @@ def _hopeful(p: NearDup) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         ids, group, tile = (table.column(x).to_numpy() for x in ("id", "c", "tile"))
         words = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
-        one = tile.min() == tile.max()
-        x, y = (np.arange(len(ids)),) * 2 if one else (np.flatnonzero(tile == tile.min()), np.flatnonzero(tile == tile.max()))
+        x, y = sides(tile)
         hit = np.zeros(len(ids), bool)
         for i in range(0, len(x), 128):
             part = x[i : i + 128]
@@ -174,7 +173,7 @@ def _hopeful(p: NearDup) -> Callable:
 
 
 def _compare(p: NearDup) -> Callable:
-    """Two tiles of (id, c, tile, shingles) -> the pairs of different groups that are linked."""
+    """Two tiles of (id, c, tile, shingles) -> (a, b): links that connect all linked sets of different groups."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, group, tile = (table.column(x).to_numpy() for x in ("id", "c", "tile"))
@@ -186,8 +185,7 @@ def _compare(p: NearDup) -> Callable:
         row, column = row[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
-        one = tile.min() == tile.max()
-        x, y = (np.arange(len(ids)),) * 2 if one else (np.flatnonzero(tile == tile.min()), np.flatnonzero(tile == tile.max()))
+        x, y = sides(tile)
         both = np.zeros((len(x), len(y)), np.float32)
         for c in range(0, int(shared.sum()), TILE_COLUMNS):
             a, b = np.searchsorted(column, (c, c + TILE_COLUMNS))
@@ -198,8 +196,9 @@ def _compare(p: NearDup) -> Callable:
         linked = (100 + p.percent) * both >= p.percent * (n[x][:, None] + n[y][None, :])
         linked &= group[x][:, None] != group[y][None, :]
         i, j = np.nonzero(linked)
-        i, j = ids[x[i]], ids[y[j]]
-        return pa.table({"a": np.minimum(i, j)[i != j], "b": np.maximum(i, j)[i != j]}).group_by(["a", "b"]).aggregate([])
+        found = spanning(len(ids), x[i].tolist(), y[j].tolist(), lambda i, j: True)
+        ends = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": ids[ends[:, 0]], "b": ids[ends[:, 1]]})
 
     return run
 
@@ -230,34 +229,28 @@ def near_groups(docs: DataFrame, p: NearDup = PRODUCTION) -> DataFrame:
     def across(open_: DataFrame) -> DataFrame:
         """The links between groups of a hub's members, by exact counts in tiles of bounded size: each two tiles of a
         hub's members meet in one task, which counts common shingles by a matrix product and gives out links only."""
-        sized = open_.join(first.select("id", "n"), "id")
-        tiles = sized.groupBy("hub").agg(F.greatest(F.sum("n") / TILE_SHINGLES, F.count("*") / TILE_SETS).alias("t"))
-        sized = sized.join(tiles.select("hub", F.ceil("t").cast("int").alias("t")), "hub")
-        sized = sized.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("t")).cast("int"))
-        sized = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
-        sized = sized.select("hub", "id", "c", "tile", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"))
-        drawn = sized.join(first.select("id", "sketch"), "id")
-        hopeful = drawn.groupBy("hub", "p", "q").applyInArrow(_hopeful(p), "hub long, id long").distinct()
+        open_ = open_.select("hub", "id", "c", F.col("info").alias("n"))
+        near = tiles(open_.join(first.select("id", "sketch"), "id"), F.lit(1), TILE_SETS, TILE_SETS)
+        hopeful = near.groupBy("hub", "p", "q").applyInArrow(_hopeful(p), "hub long, id long").distinct()
         hopeful = staged(hopeful, "op10-hopeful")  # others have no estimate near the threshold: their sets stay at home
-        sized = sized.join(hopeful, ["hub", "id"], "left_semi")
         sets = full_sets(hopeful.select(F.col("id").alias("doc_id")).distinct())
-        met = sized.join(sets, "id").groupBy("hub", "p", "q").applyInArrow(_compare(p), "a long, b long")
-        return met.distinct()
+        met = tiles(open_.join(hopeful, ["hub", "id"], "left_semi"), F.col("n"), TILE_SHINGLES, TILE_SETS).join(sets, "id")
+        return met.groupBy("hub", "p", "q").applyInArrow(_compare(p), "a long, b long").distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:
-        x = first.select(F.col("id").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
-        y = first.select(F.col("id").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
-        near = pairs.join(x, "a").join(y, "b").where(flips("sa", "sb", p.bits) <= p.most_flips())
-        near = near.where(f"100 * least(na, nb) >= {p.percent} * greatest(na, nb)")
-        near = staged(near.select("a", "b", "na", "nb"), "op10-near")
+        near = pairs.where(f"100 * least(ia, ib) >= {p.percent} * greatest(ia, ib)")
+        x = first.select(F.col("id").alias("a"), F.col("sketch").alias("sa"))
+        y = first.select(F.col("id").alias("b"), F.col("sketch").alias("sb"))
+        near = near.join(x, "a").join(y, "b").where(flips("sa", "sb", p.bits) <= p.most_flips())
+        near = staged(near.select("a", "b", F.col("ia").alias("na"), F.col("ib").alias("nb")), "op10-near")
         sets = staged(full_sets(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()), "op10-full")
         full = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa")), "a")
         full = full.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb")), "b")
         full = full.withColumn("both", F.size(F.array_intersect("xa", "xb")).cast("long"))
         return full.where(f"100 * both >= {p.percent} * (na + nb - both)").select("a", "b")
 
-    buckets = first.select(F.explode(F.array_distinct("keys")).alias("key"), "id")
-    groups, _ = bucket_components(buckets, verify, "op10", across)
+    buckets = first.select(F.explode(F.array_distinct("keys")).alias("key"), "id", F.col("n").alias("info"))
+    groups = bucket_components(buckets, verify, across, "op10")
     groups = first.select("s1", "s2", "n", "id").join(groups, F.col("id") == F.col("node"), "left")
     rep = groups.select("s1", "s2", "n", F.coalesce("component", "id").alias("component_id"))
     return named.join(rep, ["s1", "s2", "n"], "left").select(
