@@ -59,39 +59,71 @@ def bucket_components(
     (node, component) of the linked ids.
 
     buckets: (key, id, info), where an id has one info and may repeat in a bucket. Whether a key has two ids is told by
-    15 bits hashed from key and id, so that a pair alone in a bucket is overlooked there once in 32,768 times.
+    four bits of 32, one of each byte, set by a hash of key and id, so that a pair alone in a bucket is overlooked there
+    once in 4096 times.
     verify: takes distinct pairs (a, b, ia, ib), the infos as ia and ib, and returns the linked ones (a, b).
 
-    First each bucket's members are tried against its hub only, the smallest id. After that the hub is done with; of the
-    other members only pairs across groups are open, so that a bucket whose members have met (a large group of copies)
-    costs no pair. across: takes the open members (hub, id, c: group, info), those of a
-    bucket under its hub, and returns (a, b) that connect all that is linked across groups of a hub.
+    A bucket's hub is its smallest id. First each id is tried against the hub that it shares most buckets with, then
+    against its other hubs where that left them apart. After that the hubs are done with; of a hub's members only pairs
+    across groups are open, so that a bucket whose members have met (a large group of copies) costs no pair. Of a hub with
+    up to FEW open members the pairs across groups are verified. across: takes the open members (hub, id, c: group, info)
+    of the others, and returns (a, b) that connect all that is linked across groups of a hub.
     """
-    tag = F.xxhash64("key", "id").bitwiseAND(F.lit(0x7FFF)).cast("smallint")
-    shared = buckets.select("key", tag.alias("tag")).groupBy("key").agg(F.min("tag").alias("low"), F.max("tag").alias("high"))
-    shared = staged(shared.where("low < high").select("key"), f"{name}-shared")
+    marked = buckets.select("key", F.xxhash64("key", "id").alias("mark"))
+    one = " | ".join(f"shiftleft(1L, {8 * i} + cast(pmod(shiftright(mark, {16 * i}), 8) as int))" for i in range(4))
+    shared = marked.select("key", F.expr(one).alias("mark")).groupBy("key").agg(F.bit_or("mark").alias("marks"))
+    shared = staged(shared.where("bit_count(marks) > 4").select("key"), f"{name}-shared")
     crowded = staged(only(buckets, shared, "key").join(shared, "key", "left_semi"), f"{name}-crowded")
     discard(shared)
     hubs = crowded.groupBy("key").agg(F.min(F.struct("id", "info")).alias("hub"))
     star = crowded.join(hubs, "key").where("id <> hub.id")
-    star = staged(star.select(F.col("hub.id").alias("a"), F.col("id").alias("b"), F.col("hub.info").alias("ia"), F.col("info").alias("ib")).distinct(), f"{name}-star")
+    star = star.groupBy(F.col("hub.id").alias("a"), F.col("id").alias("b")).agg(F.min("hub.info").alias("ia"), F.min("info").alias("ib"), F.count("*").alias("n"))
+    star = staged(star, f"{name}-star")
     discard(crowded)
-    links = staged(verify(star), f"{name}-links")
+    best = star.groupBy("b").agg(F.max_by(F.struct("a", "ia", "ib"), F.struct("n", -F.col("a"))).alias("x"))
+    links = staged(verify(best.select("x.a", "b", "x.ia", "x.ib")), f"{name}-links")
     groups = connected_components(links)
+    apart = _across(star, groups)
+    more = staged(verify(apart), f"{name}-links")
+    discard(links)
+    groups = _merged(groups, more)
+    of = groups.select(F.col("node").alias("id"), F.col("component").alias("c"))
+    met = star.select(F.col("a").alias("hub"), F.col("b").alias("id"), F.col("ib").alias("info")).join(of, "id", "left")
+    met = met.withColumn("c", F.coalesce("c", "id"))
+    split = met.groupBy("hub").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 <> c1").select("hub", "n")
+    open_ = staged(met.join(split, "hub").select("hub", "id", "c", "info", "n"), f"{name}-open")
+    few, many = open_.where(F.col("n") <= FEW), open_.where(F.col("n") > FEW).drop("n")
+    x = few.select("hub", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("info").alias("ia"))
+    y = few.select("hub", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("info").alias("ib"))
+    pairs = x.join(y, "hub").where("a < b and ca <> cb").select("a", "b", "ia", "ib").distinct()
+    found = staged(verify(pairs), f"{name}-few")
+    groups = _merged(groups, found)
+    if not many.isEmpty():
+        found = staged(across(many), f"{name}-many")
+        groups = _merged(groups, found)
+    discard(star, open_)
+    return groups
+
+
+#: Open members of a hub up to which their pairs are formed by a join.
+FEW = 32
+
+
+def _across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (a, b, ia, ib) whose ends are in different groups."""
+    of = lambda k: groups.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
+    met = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return met.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", "ia", "ib")
+
+
+def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The groups with further links (a, b), staged; both are deleted."""
+    out = groups
+    if not links.isEmpty():
+        edges = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links.select("a", "b"))
+        out = connected_components(edges)
+        discard(groups)
     discard(links)
-    met = star.select(F.col("a").alias("hub"), F.col("b").alias("id"), F.col("ib").alias("info")).join(
-        groups.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left"
-    ).withColumn("c", F.coalesce("c", "id"))
-    split = met.groupBy("hub").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("hub")
-    open_ = staged(met.join(split, "hub", "left_semi").select("hub", "id", "c", "info"), f"{name}-open")
-    discard(star)
-    more = staged(across(open_), f"{name}-more")
-    discard(open_)
-    if more.isEmpty():
-        return groups
-    edges = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b"))
-    out = connected_components(edges)
-    discard(groups, more)
     return out
 
 

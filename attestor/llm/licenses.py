@@ -3,14 +3,15 @@
 A text is reduced to its words, lower-cased and joined by single spaces, so that a rule is a regular expression over
 words. Rules are made from families of licenses times the forms in which a license is named (identifier, title with
 version, "licensed under", "or later", body phrases); each has a label, a priority, a score and a keyword. A text is
-matched only against the rules whose keyword it holds. Of overlapping detections the one that contains the other
-wins, then the higher priority: a detection is suppressed if another with no lower priority starts no later, ends no
-earlier and is larger or ranks before it. Overlaps are resolved by running maxima over a text's detections in order
-of their starts, one window per priority, so that a text with very many detections takes no more than a sort.
+matched only against the rules whose keyword it holds. Of overlapping detections the higher priority wins, and at one
+priority the one that contains the other: a detection is suppressed if one of a higher priority shares a word with it, or
+one of its own priority starts no later, ends no earlier and is larger or ranks before it. Overlaps are resolved by
+running extremes over a text's detections in order of their starts, so that a text with very many detections takes no
+more than a sort.
 
 Defined cases: null is empty; a text without words has no detections, no labels and the score 0; rows that repeat a
-doc_id are read together (places add up, n_words is the largest); an empty table gives no rows; only id and text are
-read.
+doc_id and its text are one document; rows of one doc_id with different texts are scanned apart and reported together
+(places add up, n_words is the largest); an empty table gives no rows; only id and text are read.
 """
 
 from __future__ import annotations
@@ -144,45 +145,33 @@ def rules() -> tuple[Rule, ...]:
 
 
 PRIORITIES = (1, 2, 3, 4)
-
-
-def _spaces(c: Column) -> Column:
-    return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
+#: Characters that words cannot hold; they mark where a match starts and ends.
+OPEN, CLOSE = "\x01", "\x02"
 
 
 def matches(text: Column, rule: Column) -> Column:
-    """Detections of one rule in a text of the form " word word ", as structs with the word they start and end at.
-
-    Splitting by the pattern leaves what lies between its matches; counting spaces turns that into word numbers."""
-    pattern = F.concat(F.lit(" (?:"), rule["pattern"], F.lit(")(?= )"))
-    hits = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), _spaces)
-    zipped = F.arrays_zip(gaps.alias("gap"), F.transform(hits, _spaces).alias("size"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found"))
-    folded = F.aggregate(
-        F.filter(zipped, lambda z: z["size"].isNotNull()),
-        zero,
-        lambda acc, z: F.struct(
-            (acc["at"] + z["gap"] + z["size"]).cast("int").alias("at"),
-            F.concat(acc["found"], F.array(F.struct((acc["at"] + z["gap"]).cast("int").alias("start"), (acc["at"] + z["gap"] + z["size"]).cast("int").alias("end")))).alias("found"),
-        ),
-        lambda acc: acc["found"],
-    )
-    return folded
+    """Detections of one rule in a text of the form " word word ", as structs with the word they start at and the word
+    after them. Each match gets marks at its ends, and the words that bear marks are numbered: two passes over the text,
+    however many matches there are."""
+    marked = F.regexp_replace(text, F.concat(F.lit(" ("), rule["pattern"], F.lit(")(?= )")), F.lit(f" {OPEN}$1{CLOSE}"))
+    words = F.split(F.trim(marked), " ")
+    at = lambda mark: F.filter(F.transform(words, lambda w, i: F.when(mark(w), i)), lambda i: i.isNotNull())
+    starts, ends = at(lambda w: F.startswith(w, F.lit(OPEN))), at(lambda w: F.endswith(w, F.lit(CLOSE)))
+    return F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), (e + 1).alias("end")))
 
 
 def detections(docs: DataFrame, table: tuple[Rule, ...] | None = None) -> DataFrame:
-    """(doc_id, n_words, rule, label, priority, score, start, end, base) for each match before suppression; one row
+    """(doc_id, of: hash of the text, n_words, rule, label, priority, score, start, end, base) for each match before suppression; one row
     with nulls for a document without a match."""
     table = table or rules()
     low = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), low.alias("low"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("of"), low.alias("low"))
     n_words = F.regexp_count("low", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
     keywords = sorted({r.keyword for r in table})
     held = F.filter(F.array(*[F.when(F.contains("low", F.lit(k)), F.lit(k)) for k in keywords]), lambda k: k.isNotNull())
-    docs = docs.select("doc_id", "low", n_words.cast("long").alias("n_words"), held.alias("held"))
+    docs = docs.select("doc_id", "of", "low", n_words.cast("long").alias("n_words"), held.alias("held"))
     words = F.when(F.size("held") > 0, F.concat(F.lit(" "), F.trim(F.regexp_replace("low", NO_WORD, " ")), F.lit(" ")))
-    docs = docs.select("doc_id", "n_words", "held", words.alias("words"))
+    docs = docs.select("doc_id", "of", "n_words", "held", words.alias("words"))
     literal = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern")) for i, r in enumerate(table)])
     found = F.flatten(
         F.transform(
@@ -190,7 +179,7 @@ def detections(docs: DataFrame, table: tuple[Rule, ...] | None = None) -> DataFr
             lambda r: F.transform(matches(F.col("words"), r), lambda m: F.struct(r["rule"].alias("rule"), m["start"].alias("start"), m["end"].alias("end"))),
         )
     )
-    docs = docs.select("doc_id", "n_words", F.explode_outer(found).alias("m")).select("doc_id", "n_words", "m.*")
+    docs = docs.select("doc_id", "of", "n_words", F.explode_outer(found).alias("m")).select("doc_id", "of", "n_words", "m.*")
     pick = lambda f, kind: F.when(F.col("rule").isNotNull(), F.array(*[F.lit(f(r)) for r in table])[F.coalesce("rule", F.lit(0))]).cast(kind)
     return docs.select(
         "*", pick(lambda r: r.label, "string").alias("label"), pick(lambda r: r.priority, "int").alias("priority"),
@@ -200,13 +189,17 @@ def detections(docs: DataFrame, table: tuple[Rule, ...] | None = None) -> DataFr
 
 def scan(docs: DataFrame, table: tuple[Rule, ...] | None = None) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_detections, n_suppressed)."""
-    found = detections(docs, table)
-    before = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), F.desc("priority"), "rule").rowsBetween(Window.unboundedPreceding, -1)
-    ends = {p: F.max(F.when(F.col("priority") >= p, F.col("end"))).over(before) for p in PRIORITIES}
-    contained = F.lit(False)
+    found = detections(docs, table).repartition("doc_id").dropDuplicates(["doc_id", "of", "rule", "start", "end"])
+    text = Window.partitionBy("doc_id", "of")  # what follows is what precedes in the reverse order: a running extreme too
+    before = text.orderBy("start", F.desc("end"), F.desc("priority"), "rule").rowsBetween(Window.unboundedPreceding, -1)
+    after = text.orderBy(F.desc("start"), "end", "priority", F.desc("rule")).rowsBetween(Window.unboundedPreceding, -1)
+    loses = F.lit(False)
     for p in PRIORITIES:
-        contained = contained | ((F.col("priority") == p) & (F.coalesce(ends[p], F.lit(-1)) >= F.col("end")))
-    found = found.withColumn("suppressed", contained & F.col("rule").isNotNull())
+        higher, same = F.col("priority") > p, F.col("priority") == p
+        overlapped = (F.max(F.when(higher, F.col("end"))).over(before) > F.col("start")) | (F.min(F.when(higher, F.col("start"))).over(after) < F.col("end"))
+        contained = F.max(F.when(same, F.col("end"))).over(before) >= F.col("end")
+        loses = loses | (same & (F.coalesce(overlapped, F.lit(False)) | F.coalesce(contained, F.lit(False))))
+    found = found.withColumn("suppressed", loses & F.col("rule").isNotNull())
     names = lambda keep: F.array_join(F.array_sort(F.collect_set(F.when(keep, F.col("label")))), ",")
     base, stays = F.col("base"), ~F.col("suppressed")
     return found.groupBy("doc_id").agg(

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, as_bytes, chunks, discard, documents, gram_hashes, joined, left_join_some, list_array, mix, numbered, only, signed, staged, word_hashes
+from .common import U64, as_bytes, chunks, discard, documents, gram_hashes, joined, left_join_some, list_array, mix, numbered, only, signed, spread, staged, word_hashes
 from .graph import bucket_components, sides, spanning, tiles
 
 
@@ -49,8 +49,9 @@ class Lines:
 
 PRODUCTION = Lines()
 #: What op1 and the pipeline run. At edit similarity 0.8 by scattered replaced words, words have a Jaccard similarity of
-#: about 2/3 and word pairs of 0.43: 1 - (1 - (2/3)**4)**14 = 0.95 and 1 - (1 - 0.43**3)**28 = 0.90 share a band.
-WHOLE = Lines(flips=24, exact=1, singles=14, pairs=28)
+#: about 2/3 and word pairs of 0.43: 1 - (1 - (2/3)**4)**14 = 0.95 and 1 - (1 - 0.43**3)**24 = 0.86 share a band at that
+#: limit, most nearer ones do.
+WHOLE = Lines(flips=24, exact=1, singles=14, pairs=24)
 #: Lines of up to so many words have bands of words, lines of at least so many have bands of word pairs.
 MOST_SINGLES, LEAST_PAIRS = 16, 12
 
@@ -67,7 +68,7 @@ def normal(line: bytes) -> str:
 
 def line_figures(texts: list[bytes]):
     """(text, line number, words, key, simhash) of each line of the texts."""
-    text, number, first, _, key, sim, _ = _figures(texts)
+    text, number, first, _, key, _, sim, _ = _figures(texts)
     return text, number, np.diff(first), key, sim
 
 
@@ -76,7 +77,8 @@ SKETCH_LINES, TILE_CHARS, TILE_LINES = 4096, 1_000_000, 256
 
 
 def _figures(texts: list[bytes]):
-    """(text, line number, first word and one more, hashes of the words, key, simhash, characters of the normal form)."""
+    """(text, line number, first word and one more, hashes of the words, two hashes of the line, simhash, characters of
+    the normal form)."""
     buf, begin = joined([*texts, b""], b"\n")
     begin = begin[:-1]
     end = np.flatnonzero(buf == 10)
@@ -90,51 +92,69 @@ def _figures(texts: list[bytes]):
     size = np.maximum(letters[first[1:]] - letters[first[:-1]] - 1, 0)
     text = np.searchsorted(begin, start, "right") - 1
     number = np.arange(len(start)) - np.searchsorted(start, begin)[text]
-    key, sim = np.zeros(len(start), U64), np.zeros(len(start), U64)
+    key, check, sim = (np.zeros(len(start), U64) for _ in range(3))
     has = np.flatnonzero(n)
     if len(has):
-        power = np.multiply.accumulate(np.full(len(hashes) + 1, _LINE_BASE))
-        sums = np.concatenate((np.zeros(1, U64), np.cumsum(hashes * power[:-1])))
-        inverse = np.multiply.accumulate(np.full(len(hashes) + 1, U64(pow(int(_LINE_BASE), -1, 1 << 64))))
-        a, b = first[has], first[has + 1]
-        key[has] = mix((sums[b] - sums[a]) * inverse[a] + n[has].astype(U64))
+        key[has], check[has] = _sequence(hashes, first, has, n), _sequence(mix(hashes), first, has, n)
         # each word counts once in a line, or the most frequent words would make all lines alike
-        of = np.repeat(np.arange(len(start)), n)
-        order = np.lexsort((hashes, of))
-        fresh = np.concatenate(([True], (hashes[order][1:] != hashes[order][:-1]) | (of[order][1:] != of[order][:-1])))
-        words, of = hashes[order][fresh], of[order][fresh]
-        edge = np.searchsorted(of, np.append(has, len(start)))
-        for i in range(0, len(has), 4096):  # one byte a bit: bounded by the words of these lines
-            j = min(len(has), i + 4096)
-            ones = _bit_sums(words[edge[i] : edge[j]], edge[i:j] - edge[i])
-            bits = 2 * ones > np.diff(edge[i : j + 1])[:, None]
-            sim[has[i:j]] = np.packbits(bits, axis=1, bitorder="little").view(U64)[:, 0]
-    return text, number, first, hashes, key, sim, size
+        of = np.repeat(np.arange(len(start), dtype=U64), n)
+        once = np.sort(of << U64(40) | hashes >> U64(24))
+        once = once[np.concatenate(([True], once[1:] != once[:-1]))]
+        edge = np.searchsorted(once, np.append(has, len(start)).astype(U64) << U64(40))
+        ones = _bit_sums(mix(once & U64((1 << 40) - 1)), edge)
+        sim[has] = np.packbits(2 * ones > np.diff(edge)[:, None], axis=1, bitorder="little").view(U64)[:, 0]
+    return text, number, first, hashes, key, check, sim, size
 
 
-_DRAWS = mix(np.arange(1, 257, dtype=U64)) | U64(1)
+def _sequence(hashes: np.ndarray, first: np.ndarray, has: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of the words of each line that has some."""
+    power = np.multiply.accumulate(np.full(len(hashes) + 1, _LINE_BASE))
+    sums = np.concatenate((np.zeros(1, U64), np.cumsum(hashes * power[:-1])))
+    inverse = np.multiply.accumulate(np.full(len(hashes) + 1, U64(pow(int(_LINE_BASE), -1, 1 << 64))))
+    a, b = first[has], first[has + 1]
+    return mix((sums[b] - sums[a]) * inverse[a] + n[has].astype(U64))
+
+
+def _bit_sums(hashes: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """How often each bit is set, for the hashes from each edge to the next: bits k, k + 8, ... are counted in the bytes of
+    one integer, 255 hashes at a time."""
+    parts = [np.arange(a, b, 255) for a, b in zip(edge[:-1], edge[1:])] if np.diff(edge).max() > 255 else None
+    starts = edge[:-1] if parts is None else np.concatenate(parts)
+    out = np.empty((len(starts), 64), np.int64)
+    for k in range(8):
+        lanes = np.add.reduceat(hashes >> U64(k) & U64(0x0101010101010101), starts)
+        out[:, k::8] = lanes.view(np.uint8).reshape(-1, 8)
+    return out if parts is None else np.add.reduceat(out, np.cumsum([0, *map(len, parts[:-1])]), axis=0)
+
+
+_DRAWS = mix(np.arange(1, 257, dtype=U64)).astype(np.uint32) | np.uint32(1)
+_SHIFTS = mix(np.arange(1001, 1257, dtype=U64)).astype(np.uint32)
 
 
 def _drawn(hashes: np.ndarray, starts: np.ndarray, bands: int, rows: int, last: np.ndarray | None, base: int) -> np.ndarray:
     """MinHash band keys, one row for the hashes from each start to the next: the band's number over 40 bits. The
     hashes at `last` are left out."""
-    keys = np.empty((len(starts), bands), U64)
+    keys, high = np.empty((len(starts), bands), U64), (hashes >> U64(32)).astype(np.uint32)
     for t in range(bands):
         key = np.full(len(starts), base + t, U64)
         for r in range(rows):
-            x = hashes * _DRAWS[base + t * rows + r]
-            x ^= x >> U64(32)
+            x = high * _DRAWS[base + t * rows + r]
+            x += _SHIFTS[base + t * rows + r]
             if last is not None:
-                x[last] = U64(0xFFFFFFFFFFFFFFFF)
-            key = mix(key * _LINE_BASE + np.minimum.reduceat(x, starts))
+                x[last] = 0xFFFFFFFF
+            key = mix(key * _LINE_BASE + np.minimum.reduceat(x, starts).astype(U64))
         keys[:, t] = U64((base + t) << 40) | (key >> U64(24))
     return keys
 
 
-def band_keys(first: np.ndarray, hashes: np.ndarray, p: Lines) -> pa.ListArray:
-    """The MinHash band keys of each line; none for lines with fewer than `least` words."""
+def band_keys(first: np.ndarray, hashes: np.ndarray, p: Lines, wanted: np.ndarray) -> pa.ListArray:
+    """The MinHash band keys of each wanted line; none for lines with fewer than `least` words. Without bands a wanted
+    line has one empty key, as a mark."""
     n = np.diff(first)
-    short, long = (n >= p.least) & (n <= MOST_SINGLES), (n >= p.least) & (n >= LEAST_PAIRS)
+    on = wanted & (n >= p.least)
+    if not p.singles and not p.pairs:
+        return list_array(pa.array(np.zeros(on.sum(), np.int64)), on.astype(np.int64))
+    short, long = on & (n <= MOST_SINGLES), on & (n >= LEAST_PAIRS)
     counts = short * p.singles + long * p.pairs
     at, flat = np.cumsum(counts) - counts, np.empty(counts.sum(), U64)
     for on, bands, rows, skip in ((short, p.singles, 4, 0), (long, p.pairs, 3, short * p.singles)):
@@ -149,47 +169,22 @@ def band_keys(first: np.ndarray, hashes: np.ndarray, p: Lines) -> pa.ListArray:
     return list_array(pa.array(signed(flat)), counts)
 
 
-def _bit_sums(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """How often each bit is set, for the hashes from each start to the next."""
-    if len(hashes) <= 1 << 16:
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        return np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-    out = np.zeros((len(starts), 64), np.int64)
-    ends = np.append(starts[1:], len(hashes))
-    for k, (a, b) in enumerate(zip(starts, ends)):
-        for i in range(a, b, 1 << 16):
-            out[k] += np.unpackbits(hashes[i : min(b, i + (1 << 16))].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return out
-
-
 def _read(p: Lines) -> Callable:
-    """(doc_id, of, text) -> (doc_id, of, line, key, sim) of the lines with enough words."""
+    """(doc_id, of, text) -> (doc_id, of, line, key, check, sim, size, bands) of the lines with enough words: two hashes
+    of their words, SimHash, characters; bands at the first of some documents' equal lines only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, of, texts = np.asarray(batch.column(0)), np.asarray(batch.column(1)), as_bytes(batch.column(2))
             for a, b in chunks(texts):
-                text, number, first, _, key, sim, _ = _figures(texts[a:b])
-                on = np.diff(first) >= p.exact
-                columns = (ids[a:b][text[on]], of[a:b][text[on]], number[on].astype(np.int32), signed(key[on]), signed(sim[on]))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc_id", "of", "line", "key", "sim"])
-
-    return run
-
-
-def _bands(p: Lines) -> Callable:
-    """(doc_id, of, text) -> (id, sim, size, bands) of the distinct lines of some documents that have keys."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = as_bytes(batch.column(2))
-            for a, b in chunks(texts):
-                _, _, first, hashes, key, sim, size = _figures(texts[a:b])
-                keep = np.zeros(len(key), bool)
-                keep[np.unique(key, return_index=True)[1]] = True
-                keep &= np.diff(first) >= p.least
-                columns = [pa.array(x) for x in (signed(key), signed(sim), size.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*columns, band_keys(first, hashes, p)], ["id", "sim", "size", "bands"]).filter(pa.array(keep))
+                text, number, first, hashes, key, check, sim, size = _figures(texts[a:b])
+                n = np.diff(first)
+                fresh = np.zeros(len(key), bool)
+                fresh[np.unique(key, return_index=True)[1]] = True
+                columns = (ids[a:b][text], of[a:b][text], number.astype(np.int32), signed(key), signed(check), signed(sim), size.astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [*map(pa.array, columns), band_keys(first, hashes, p, fresh)], ["doc_id", "of", "line", "key", "check", "sim", "size", "bands"]
+                ).filter(pa.array(n >= p.exact))
 
     return run
 
@@ -217,11 +212,27 @@ def block_keys(sim: str, p: Lines):
     return F.array(*keys)
 
 
-def similar(a: str, b: str, percent: int):
-    """Whether 100 * (1 - distance / longer length) >= percent; the band of the edit distance is widened step by step."""
-    most = f"cast(floor((100 - {percent}) * greatest(length({a}), length({b})) / 100) as int)"
-    steps = " ".join(f"WHEN levenshtein({a}, {b}, least({t}, {most})) >= 0 THEN true WHEN {most} <= {t} THEN false" for t in (8, 64, 512))
-    return F.expr(f"CASE {steps} ELSE levenshtein({a}, {b}, {most}) >= 0 END")
+def similar(a: str, b: str, percent: int) -> bool:
+    """Whether 100 * (1 - distance / longer length) >= percent."""
+    return within(a, b, (100 - percent) * max(len(a), len(b)) // 100)
+
+
+def grams(form: str) -> np.ndarray:
+    """The runs of three characters with a number for each repeat, sorted. An edit changes three of them at most."""
+    x = np.frombuffer(form.encode("utf-32-le"), np.uint32).astype(np.int64)
+    x = np.sort(x[:-2] << 42 | x[1:-1] << 21 | x[2:]) if len(x) > 2 else x[:0]
+    return np.sort(mix(x.view(U64)) + (np.arange(len(x)) - np.searchsorted(x, x)).astype(U64))
+
+
+def _verified(p: Lines) -> Callable:
+    """(a, b, fa, fb) -> (a, b) of the similar forms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [similar(x, y, p.percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def within(a: str, b: str, most: int) -> bool:
@@ -288,8 +299,17 @@ def _compare(p: Lines) -> Callable:
         once = i < j if len(x) and x is y else np.ones(len(i), bool)
         order = np.argsort(np.bitwise_count(sim[i[once]] ^ sim[j[once]]), kind="stable")
         i, j = i[once][order].tolist(), j[once][order].tolist()
-        most = lambda a, b: (100 - p.percent) * max(len(forms[a]), len(forms[b])) // 100
-        found = spanning(len(ids), i, j, lambda a, b: within(forms[a], forms[b], most(a, b)))
+        held: dict[int, np.ndarray] = {}
+
+        def linked(a: int, b: int) -> bool:
+            ga, gb = (held.setdefault(k, grams(forms[k])) if k not in held else held[k] for k in (a, b))
+            longer = max(len(forms[a]), len(forms[b]))
+            least = longer - 2 - 3 * ((100 - p.percent) * longer // 100)
+            if least > 0 and len(np.intersect1d(ga, gb, assume_unique=True)) < least:
+                return False
+            return similar(forms[a], forms[b], p.percent)
+
+        found = spanning(len(ids), i, j, linked)
         ends = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"a": ids[ends[:, 0]], "b": ids[ends[:, 1]]})
 
@@ -300,12 +320,12 @@ def repeated_lines(docs: DataFrame, p: Lines = PRODUCTION) -> DataFrame:
     """(doc_id, of, lines): the numbers of the lines that go from each document; of: hash of its text.
 
     docs: (doc_id, of, text)."""
-    seen = staged(docs.mapInArrow(_read(p), "doc_id long, of long, line int, key long, sim long"), "op1-lines")
+    seen = staged(docs.mapInArrow(_read(p), "doc_id long, of long, line int, key long, check long, sim long, size int, bands array<long>"), "op1-lines")
     place = F.struct("doc_id", "of", "line")
-    lines = staged(seen.groupBy("key", "sim").agg(F.min(place).alias("at"), F.max(place).alias("last")), "op1-distinct")
-    drawn = docs.mapInArrow(_bands(p), "id long, sim long, size int, bands array<long>")
+    lines = staged(seen.groupBy("key", "check").agg(F.min(place).alias("at"), F.max(place).alias("last")), "op1-distinct")
+    drawn = seen.where("size(bands) > 0")
     keys = F.col("bands") if p.singles or p.pairs else block_keys("sim", p)
-    buckets = drawn.select(F.explode(keys).alias("key"), "id", F.struct("sim", "size").alias("info"))
+    buckets = drawn.select(F.explode(keys).alias("key"), F.col("key").alias("id"), F.struct("sim", "size").alias("info"))
 
     def forms(ids: DataFrame) -> DataFrame:
         wanted = only(lines, ids.withColumnRenamed("id", "key"), "key").join(ids, F.col("key") == F.col("id"))
@@ -320,23 +340,23 @@ def repeated_lines(docs: DataFrame, p: Lines = PRODUCTION) -> DataFrame:
         form = forms(near.select(F.col("a").alias("id")).union(near.select("b")).distinct())
         both = near.join(form.select(F.col("id").alias("a"), F.col("form").alias("fa")), "a")
         both = both.join(form.select(F.col("id").alias("b"), F.col("form").alias("fb")), "b")
-        return both.where(similar("fa", "fb", p.percent)).select("a", "b")
+        return spread(both.select("a", "b", "fa", "fb")).mapInArrow(_verified(p), "a long, b long")
 
     def across(open_: DataFrame) -> DataFrame:
         open_ = open_.select("hub", "id", "c", "info.sim", "info.size")
-        hopeful = tiles(open_, F.lit(1), SKETCH_LINES, SKETCH_LINES).groupBy("hub", "p", "q").applyInArrow(_hopeful(p), "hub long, id long")
+        hopeful = spread(tiles(open_, F.lit(1), SKETCH_LINES, SKETCH_LINES), "hub", "p", "q").groupBy("hub", "p", "q").applyInArrow(_hopeful(p), "hub long, id long")
         hopeful = staged(hopeful.distinct(), "op1-hopeful")
         form = forms(hopeful.select("id").distinct())
         near = tiles(open_.join(hopeful, ["hub", "id"], "left_semi").join(form, "id"), F.col("size"), TILE_CHARS, TILE_LINES)
-        return near.groupBy("hub", "p", "q").applyInArrow(_compare(p), "a long, b long").distinct()
+        return spread(near, "hub", "p", "q").groupBy("hub", "p", "q").applyInArrow(_compare(p), "a long, b long").distinct()
 
     groups = bucket_components(buckets, verify, across, "op1")
     members = only(lines, groups.withColumnRenamed("node", "key"), "key").join(groups, F.col("key") == F.col("node"))
     keep = members.groupBy("component").agg(F.min("at").alias("keep"))
-    going = members.join(keep, "component").select("key", "sim", "keep")
+    going = members.join(keep, "component").select("key", "check", "keep")
     alone = lines.where("at < last").join(groups, F.col("key") == F.col("node"), "left_anti")
-    going = staged(going.unionByName(alone.select("key", "sim", F.col("at").alias("keep"))), "op1-going")
-    gone = only(seen, going, "key").join(going, ["key", "sim"]).where(place != F.col("keep"))
+    going = staged(going.unionByName(alone.select("key", "check", F.col("at").alias("keep"))), "op1-going")
+    gone = only(seen, going, "key").join(going, ["key", "check"]).where(place != F.col("keep"))
     out = staged(gone.groupBy("doc_id", "of").agg(F.collect_set("line").alias("lines")), "op1-gone")
     discard(seen, lines, going)
     return out

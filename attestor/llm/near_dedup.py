@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, as_bytes, chunks, documents, gram_hashes, joined, list_array, mix, only, signed, staged, word_hashes
+from .common import U64, as_bytes, chunks, documents, gram_hashes, joined, list_array, mix, only, signed, spread, staged, word_hashes
 from .graph import bucket_components, sides, spanning, tiles
 
 
@@ -231,11 +231,11 @@ def near_groups(docs: DataFrame, p: NearDup = PRODUCTION) -> DataFrame:
         hub's members meet in one task, which counts common shingles by a matrix product and gives out links only."""
         open_ = open_.select("hub", "id", "c", F.col("info").alias("n"))
         near = tiles(open_.join(first.select("id", "sketch"), "id"), F.lit(1), TILE_SETS, TILE_SETS)
-        hopeful = near.groupBy("hub", "p", "q").applyInArrow(_hopeful(p), "hub long, id long").distinct()
+        hopeful = spread(near, "hub", "p", "q").groupBy("hub", "p", "q").applyInArrow(_hopeful(p), "hub long, id long").distinct()
         hopeful = staged(hopeful, "op10-hopeful")  # others have no estimate near the threshold: their sets stay at home
         sets = full_sets(hopeful.select(F.col("id").alias("doc_id")).distinct())
         met = tiles(open_.join(hopeful, ["hub", "id"], "left_semi"), F.col("n"), TILE_SHINGLES, TILE_SETS).join(sets, "id")
-        return met.groupBy("hub", "p", "q").applyInArrow(_compare(p), "a long, b long").distinct()
+        return spread(met, "hub", "p", "q").groupBy("hub", "p", "q").applyInArrow(_compare(p), "a long, b long").distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:
         near = pairs.where(f"100 * least(ia, ib) >= {p.percent} * greatest(ia, ib)")

@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, U64, as_bytes, chunks, documents, gram_hashes, joined, mix, prefix_hash, span_hash, word_hashes, word_spans
+from .common import CHUNK_BYTES, U64, as_bytes, chunks, documents, gram_hashes, joined, mix, numbered, prefix_hash, span_hash, word_hashes, word_spans
 
 SYMBOLS = b"#*$%&|<>"
-#: Documents the order is estimated on, and the share of the table they are drawn from.
+#: Documents the order is estimated on (on average), and the largest share of the table they are drawn with.
 SAMPLE_ROWS, SAMPLE_SHARE = 2000, 0.05
 
 _WHITE = np.isin(np.arange(256), (0x20, 9, 10, 11, 12, 13))
@@ -164,7 +164,8 @@ def estimate(docs: DataFrame, rules: tuple[Rule, ...], rows: int = SAMPLE_ROWS,
                     out["n"].append(b - a)
                 yield pa.RecordBatch.from_pydict(out)
 
-    sample = docs.select(F.col("text").cast("string").alias("text")).sample(fraction=share, seed=11).limit(rows)
+    share = min(share, rows / max(docs.count(), 1))  # a count reads no text
+    sample = docs.select(F.col("text").cast("string").alias("text")).sample(fraction=share, seed=11)
     seen = sample.mapInArrow(run, "rule long, s double, rejected long, n long")
     found = {r["rule"]: r for r in seen.groupBy("rule").agg(F.sum("s").alias("s"), F.sum("rejected").alias("rejected"), F.sum("n").alias("n")).collect()}
     return [
@@ -199,19 +200,19 @@ def cascade(texts: list[bytes], rules: tuple[Rule, ...]) -> list[str | None]:
 
 
 def judged(docs: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame:
-    """docs with a column kept_by_rules: all rows and columns stay; the cascade's verdict is added."""
+    """docs with a column kept_by_rules at the end: all rows and columns stay, but for one of that name; the cascade's
+    verdict is added."""
     order = BASE + (ordered(docs) if rules is None else rules)
-
-    names = docs.columns
-    schema = docs.select("*", F.lit(True).alias("kept_by_rules")).schema
+    docs = docs.select(*(docs[c] for c in docs.columns if c != "kept_by_rules"))
+    names, at = docs.columns, docs.columns.index("text")
+    schema = numbered(docs).select("*", F.lit(True).alias("kept_by_rules")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index("text")
         for batch in batches:
             kept = [x is None for x in cascade(as_bytes(batch.column(at)), order)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.bool_())], [*names, "kept_by_rules"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.bool_())], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return numbered(docs).mapInArrow(run, schema).toDF(*names, "kept_by_rules")
 
 
 def figures(docs: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame:

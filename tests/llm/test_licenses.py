@@ -13,6 +13,8 @@ TEXTS = [
     "GNU General Public License v2.0 or later, GPL-3.0-or-later",
     "the gnu general publicé license is not one",
     "mit license " * 400,
+    "Released under the MIT License version 2 of the Apache License, Version 2.0 or later",
+    "gnu gpl version 3.0 bsd license apache license mit licensed under bsd 3 clause license",
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
     "BSD 3-Clause; Mozilla Public License 2.0; no apache",
     "É mit licensed work — apache license",
@@ -31,7 +33,8 @@ def brute(text):
                 found.append((start, start + m[0].count(" "), r.priority, i, r))
     base = [f for f in found if f[3] < len(BASE)]
     order = sorted(found, key=lambda f: (f[0], -f[1], -f[2], f[3]))
-    stays = [f for k, f in enumerate(order) if not any(g[1] >= f[1] and g[2] >= f[2] for g in order[:k])]
+    beaten = lambda k, f: any(g[2] > f[2] and g[0] < f[1] and f[0] < g[1] for g in order) or any(g[2] == f[2] and g[1] >= f[1] for g in order[:k])
+    stays = [f for k, f in enumerate(order) if not beaten(k, f)]
     starts = [f[0] for f in base]
     return (
         len(words), len(base), min(starts, default=None), max(starts, default=None),
@@ -41,12 +44,19 @@ def brute(text):
 
 
 def test_equals_brute_force(spark):
-    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, label string")
+    rows = [(i, t, "x") for i, t in enumerate(TEXTS)]
+    df = spark.createDataFrame(rows + rows[4:7], "doc_id long, text string, label string")
     got = {r[0]: tuple(r)[1:] for r in scan(df).collect()}
     assert got == {i: brute(t) for i, t in enumerate(TEXTS)}
     assert got[4][5] == "cc-by,cc-by-nc-4.0" and got[5][5] == "gpl,gpl-3.0" and got[6][5] == "apache,apache-2.0"
 
 
+def test_many_matches_in_a_long_text(spark):
+    df = spark.createDataFrame([(1, "mit license " * 100_000)], "doc_id long, text string")
+    row = scan(df).first()
+    assert (row.n_words, row.n_base, row.first_word, row.last_word) == (200_000, 100_000, 0, 199_998)
+
+
 def test_rules_and_empty_table(spark):
     assert len(rules()) > 300 and all(re.compile(r.pattern) for r in rules())
     assert scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
