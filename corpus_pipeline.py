@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from attestor.llm.common import anti_join_some, documents, staged
 from attestor.llm.decontaminate import leaks
 from attestor.llm.line_dedup import WHOLE, dedup_lines
-from attestor.llm.near_dedup import near_groups
+from attestor.llm.near_dedup import NearDup, near_groups
 from attestor.llm.pieces import encode
 from attestor.llm.quality import judged
 
@@ -41,7 +41,7 @@ def _without(docs: DataFrame, going: DataFrame) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, near_groups(docs).where("not kept"))
+    return _without(docs, near_groups(docs, NearDup(shingle=5)).where("not kept"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
