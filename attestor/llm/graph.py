@@ -66,8 +66,8 @@ def bucket_components(
     A bucket's hub is its smallest id. First each id is tried against the hub that it shares most buckets with, then
     against its other hubs where that left them apart. After that the hubs are done with; of a hub's members only pairs
     across groups are open, so that a bucket whose members have met (a large group of copies) costs no pair. Of a hub with
-    up to FEW open members the pairs across groups are verified. across: takes the open members (hub, id, c: group, info)
-    of the others, and returns (a, b) that connect all that is linked across groups of a hub.
+    up to FEW open members the pairs across groups are verified. across: takes the open members (hub, id, c: group, info,
+    hubs: all that the id is a member of) of the others, and returns (a, b) that connect all that is linked across groups of a hub.
     """
     marked = buckets.select("key", F.xxhash64("key", "id").alias("mark"))
     one = " | ".join(f"shiftleft(1L, {8 * i} + cast(pmod(shiftright(mark, {16 * i}), 8) as int))" for i in range(4))
@@ -99,6 +99,7 @@ def bucket_components(
     found = staged(verify(pairs), f"{name}-few")
     groups = _merged(groups, found)
     if not many.isEmpty():
+        many = many.join(many.groupBy("id").agg(F.collect_set("hub").alias("hubs")), "id")
         found = staged(across(many), f"{name}-many")
         groups = _merged(groups, found)
     discard(star, open_)
@@ -144,10 +145,11 @@ def sides(tile: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (x, x) if low == high else (x, np.flatnonzero(tile == high))
 
 
-def spanning(n: int, a: Iterable[int], b: Iterable[int], linked: Callable[[int, int], bool]) -> list[tuple[int, int]]:
-    """Of the candidates (a, b) among n members those that are linked and connect what was apart, in turn; candidates
-    that are connected already are not asked."""
-    root, out = list(range(n)), []
+def spanning(groups: np.ndarray, a: Iterable[int], b: Iterable[int], linked: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """Of the candidates (a, b) among members of some groups those that are linked and connect what was apart, in turn;
+    candidates that are connected already, those of one group among them, are not asked."""
+    _, root = np.unique(groups, return_inverse=True)
+    own, root, out = root.tolist(), list(range(len(root))), []
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -156,7 +158,7 @@ def spanning(n: int, a: Iterable[int], b: Iterable[int], linked: Callable[[int,
         return i
 
     for i, j in zip(a, b):
-        x, y = find(i), find(j)
+        x, y = find(own[i]), find(own[j])
         if x != y and linked(i, j):
             root[max(x, y)] = min(x, y)
             out.append((i, j))

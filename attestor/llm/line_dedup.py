@@ -217,13 +217,6 @@ def similar(a: str, b: str, percent: int) -> bool:
     return within(a, b, (100 - percent) * max(len(a), len(b)) // 100)
 
 
-def grams(form: str) -> np.ndarray:
-    """The runs of three characters with a number for each repeat, sorted. An edit changes three of them at most."""
-    x = np.frombuffer(form.encode("utf-32-le"), np.uint32).astype(np.int64)
-    x = np.sort(x[:-2] << 42 | x[1:-1] << 21 | x[2:]) if len(x) > 2 else x[:0]
-    return np.sort(mix(x.view(U64)) + (np.arange(len(x)) - np.searchsorted(x, x)).astype(U64))
-
-
 def _verified(p: Lines) -> Callable:
     """(a, b, fa, fb) -> (a, b) of the similar forms."""
 
@@ -288,7 +281,7 @@ def _hopeful(p: Lines) -> Callable:
 
 
 def _compare(p: Lines) -> Callable:
-    """Two tiles of (id, c, sim, size, form, tile) -> (a, b): links that connect all similar lines of different groups."""
+    """Two tiles of (hub, id, c, sim, size, hubs, form, tile) -> (a, b): links that connect all similar lines of different groups."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, group, sim, size, tile = (table.column(x).to_numpy() for x in ("id", "c", "sim", "size", "tile"))
@@ -299,18 +292,13 @@ def _compare(p: Lines) -> Callable:
         once = i < j if len(x) and x is y else np.ones(len(i), bool)
         order = np.argsort(np.bitwise_count(sim[i[once]] ^ sim[j[once]]), kind="stable")
         i, j = i[once][order].tolist(), j[once][order].tolist()
-        held: dict[int, np.ndarray] = {}
+        hub, hubs = table.column("hub")[0].as_py(), [set(x) for x in table.column("hubs").to_pylist()]
 
         def linked(a: int, b: int) -> bool:
-            ga, gb = (held.setdefault(k, grams(forms[k])) if k not in held else held[k] for k in (a, b))
-            longer = max(len(forms[a]), len(forms[b]))
-            least = longer - 2 - 3 * ((100 - p.percent) * longer // 100)
-            if least > 0 and len(np.intersect1d(ga, gb, assume_unique=True)) < least:
-                return False
-            return similar(forms[a], forms[b], p.percent)
-
-        found = spanning(len(ids), i, j, linked)
-        ends = np.array(found, np.int64).reshape(-1, 2)
+            """A pair is decided at the first of the hubs that it has in common."""
+            return min(hubs[a] & hubs[b]) == hub and similar(forms[a], forms[b], p.percent)
+
+        ends = np.array(spanning(group, i, j, linked), np.int64).reshape(-1, 2)
         return pa.table({"a": ids[ends[:, 0]], "b": ids[ends[:, 1]]})
 
     return run
@@ -343,12 +331,12 @@ def repeated_lines(docs: DataFrame, p: Lines = PRODUCTION) -> DataFrame:
         return spread(both.select("a", "b", "fa", "fb")).mapInArrow(_verified(p), "a long, b long")
 
     def across(open_: DataFrame) -> DataFrame:
-        open_ = open_.select("hub", "id", "c", "info.sim", "info.size")
-        hopeful = spread(tiles(open_, F.lit(1), SKETCH_LINES, SKETCH_LINES), "hub", "p", "q").groupBy("hub", "p", "q").applyInArrow(_hopeful(p), "hub long, id long")
+        open_ = open_.select("hub", "id", "c", "info.sim", "info.size", "hubs")
+        hopeful = spread(tiles(open_.drop("hubs"), F.lit(1), SKETCH_LINES, SKETCH_LINES), "hub", "p", "q").groupBy("hub", "p", "q").applyInArrow(_hopeful(p), "hub long, id long")
         hopeful = staged(hopeful.distinct(), "op1-hopeful")
         form = forms(hopeful.select("id").distinct())
         near = tiles(open_.join(hopeful, ["hub", "id"], "left_semi").join(form, "id"), F.col("size"), TILE_CHARS, TILE_LINES)
-        return spread(near, "hub", "p", "q").groupBy("hub", "p", "q").applyInArrow(_compare(p), "a long, b long").distinct()
+        return spread(near, "hub", "p", "q").groupBy("hub", "p", "q").applyInArrow(_compare(p), "a long, b long")
 
     groups = bucket_components(buckets, verify, across, "op1")
     members = only(lines, groups.withColumnRenamed("node", "key"), "key").join(groups, F.col("key") == F.col("node"))
