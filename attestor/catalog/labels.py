@@ -79,7 +79,7 @@ def presented_evidence(spark: SparkSession, d: str) -> DataFrame:
     return pr.present(found.select("claim_id", "pos", "chunk_id", "match", "located", "start", "end", "parts"), chunks, meta).select("claim_id", F.col("pos").cast("long").alias("pos"), "chunk_id", "kind", "quote", "before", "after")
 
 
-CHANGES = [(1, "a b c", "a c d"), (2, "same words", "same words"), (3, "", "all new"), (4, None, None)]
+CHANGES = [(1, "a b c", "a c d"), (2, "same words", "same words"), (3, "", "all new"), (4, None, None), (5, "The Dose is low", "the dose IS 2 mg")]
 
 
 def word_diff(spark: SparkSession, d: str) -> DataFrame:
@@ -122,7 +122,7 @@ QUERIES = {
     "review_events": (review_events, None),
     "rewrites_wanted": (rewrites, None),
     "presented_evidence": (presented_evidence, None),
-    "word_diff": (word_diff, "SELECT * FROM (VALUES (1, 'same:a|removed:b|same:c|added:d'), (2, 'same:same words'), (3, 'added:all new'), (4, '')) AS t(id, changes)"),
+    "word_diff": (word_diff, "SELECT * FROM (VALUES (1, 'same:a|removed:b|same:c|added:d'), (2, 'same:same words'), (3, 'added:all new'), (4, ''), (5, 'same:the dose IS|removed:low|added:2 mg')) AS t(id, changes)"),
     "model_claims": (model_claims, None),
     "benchmark_build": (benchmark_build, "SELECT * FROM (VALUES ('c1-1', 'supported', 'dev', 'supported'), ('c2-1', 'contradicted', 'test', 'contradicted,unsupported')) AS t(id, gold, split, accept)"),
     "label_pick": (label_pick, "SELECT 'a' AS key, 's3' AS set_id, 3 AS spl_version"),

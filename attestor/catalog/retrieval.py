@@ -131,14 +131,25 @@ def hit_at_k_mrr(spark: SparkSession, d: str) -> DataFrame:
 
 
 def relevant_pairs(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(qid, id): a document that contains the item, found by the item's first eight tokens and then compared."""
-    key = lambda t: F.xxhash64(F.slice(t, 1, 8))
-    q = asked.select("qid", folded(F.col("text")).alias("item"), tokenize(F.col("text")).alias("t")).where(F.size("t") >= 8).select("qid", "item", key(F.col("t")).alias("k"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("t") - 7)), lambda i: F.xxhash64(F.slice("t", i, 8)))
-    seen = docs.select(F.col("doc_id").alias("id"), tokenize(F.col("text")).alias("t"))
-    seen = seen.select("id", F.explode(F.array_distinct(grams)).alias("k"))
-    pairs = seen.join(q, "k").select("id", "qid", "item").distinct()
-    return pairs.join(docs.select(F.col("doc_id").alias("id"), "text"), "id").where(F.contains(folded(F.col("text")), F.col("item"))).select("qid", "id")
+    """(qid, id): a document that contains the item. Found by up to eight tokens of the item, its first and last ones left
+    out, as they may be parts of a document's words, and then compared; items of fewer than three tokens are compared
+    with every document, as a stated set of queries."""
+    q = asked.select("qid", folded(F.col("text")).alias("item"), tokenize(F.col("text")).alias("t"))
+    q = q.select("qid", "item", F.slice("t", 2, F.least(F.lit(8), F.greatest(F.lit(0), F.size("t") - 2))).alias("t")).where("item <> ''")
+    q = q.select("qid", "item", F.size("t").alias("n"), F.xxhash64("t").alias("k"))
+    sizes = sorted(r[0] for r in q.select("n").distinct().collect())  # nine values at most
+    table = docs.select(F.col("doc_id").alias("id"), "text")
+    seen = table.select("id", tokenize(F.col("text")).alias("t"))
+    at = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("t") - n + 1)), lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice("t", i, n)).alias("k")))
+    grams = [at(n) for n in sizes if n]
+    wide = seen.select("id", F.explode(F.array_distinct(F.concat(*grams))).alias("g")).select("id", "g.*") if grams else None
+    held = F.contains(folded(F.col("text")), F.col("item"))
+    near = table.join(q.where("n = 0"), held).select("qid", "id")
+    if not grams:
+        return near
+    met = wide.join(q.where("n > 0"), ["n", "k"]).select("id", "qid", "item").distinct()
+    met = met.join(table, "id").where(held).select("qid", "id")
+    return near.unionByName(met) if 0 in sizes else met
 
 
 def retrieval_metrics(ranked: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
@@ -215,8 +226,9 @@ QUERIES = {
         "gov0 AS (SELECT qid, id, score, c[id % 7 + 1] AS code FROM bm, codes), "
         "gov AS (SELECT *, row_number() OVER (PARTITION BY qid, code ORDER BY score DESC, id) AS rank FROM gov0 QUALIFY rank <= 8), "
         "wanted AS (SELECT item_id AS qid, code, ord FROM benchmark, codes JOIN routes ON kind = k[item_id % 6 + 1]), "
-        "best AS (SELECT qid, id, score, ord, row_number() OVER (PARTITION BY qid, code ORDER BY rank, id) AS nth FROM gov JOIN wanted USING (qid, code) "
-        "  WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.qid = gov.qid AND h.id = gov.id AND h.rank <= 4) QUALIFY nth <= 3), "
+        "top3 AS (SELECT gov.*, ord FROM gov JOIN wanted USING (qid, code) WHERE rank <= 3), "
+        "best AS (SELECT qid, id, score, ord, row_number() OVER (PARTITION BY qid, code ORDER BY rank, id) AS nth FROM top3 "
+        "  WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.qid = top3.qid AND h.id = top3.id AND h.rank <= 4)), "
         "two AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN nth = 1 THEN 0 ELSE 1 END, CASE WHEN nth = 1 THEN ord END NULLS FIRST, score DESC, id) AS r FROM best QUALIFY r <= 2), "
         "every AS (SELECT qid, id, r, true AS routed FROM two UNION ALL SELECT qid, id, rank + 100, false FROM hits h WHERE NOT EXISTS (SELECT 1 FROM two t WHERE t.qid = h.qid AND t.id = h.id)) "
         "SELECT qid, id AS doc_id, row_number() OVER (PARTITION BY qid ORDER BY r, id) AS rank, routed FROM every "

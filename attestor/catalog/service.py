@@ -38,17 +38,17 @@ def delivery_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queue_position(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as jobs: created at their key, done five keys later, the last ones never."""
-    o = read(spark, d, "orders").select("o_orderkey").where("o_orderkey % 50 = 0")
-    jobs = o.select(F.col("o_orderkey").alias("job"), F.col("o_orderkey").alias("created"), F.when(F.col("o_orderkey") % 100 == 0, F.col("o_orderkey") + 225).alias("finished"))
+    """Orders as jobs: created at their key, those of even keys done 225 keys later, the others never."""
+    o = read(spark, d, "orders").select("o_orderkey")
+    jobs = o.select(F.col("o_orderkey").alias("job"), F.col("o_orderkey").alias("created"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") + 225).alias("finished"))
     return sv.queue_position(jobs, "job", "created", "finished").select("job", "ahead")
 
 
 def retention(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events").select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"))
-    jobs = e.select("event_id", "t", F.when(F.col("event_id") % 3 != 0, F.col("t") + 60).alias("fin")).withColumn("created", F.struct("t", "event_id"))
+    jobs = e.select("event_id", "t", F.when(F.col("event_id") % 3 != 0, F.col("t") + 60).alias("fin"))
     now = e.agg(F.max("t")).first()[0]
-    return sv.retained(jobs, "created", "fin", F.lit(now)).select("event_id")
+    return sv.retained(jobs, "t", "fin", F.lit(now), "event_id").select("event_id")
 
 
 def token_ledger_60s(spark: SparkSession, d: str) -> DataFrame:
@@ -135,14 +135,14 @@ def decision_log(spark: SparkSession, d: str) -> DataFrame:
     return sv.latest(e, ["user_id", "event_type"], "event_id", "choice")
 
 
-NAMES = [("ozempic", ["OZEMPIC", "OZEMPIC PEN"]), ("kwik", ["HUMALOG KWIKPEN", "HUMALOG", "LYUMJEV"]), ("lantus", ["TOUJEO", "LANTUS", "LANTUS SOLOSTAR"])]
+NAMES = [("ozempic", ["OZEMPIC", "OZEMPIC PEN"]), ("kwik", ["HUMALOG KWIKPEN", "HUMALOG", "LYUMJEV"]), ("lantus", ["TOUJEO", "LANTUS", "LANTUS SOLOSTAR"]), ("none", []), ("blank", [""])]
 
 
 def label_names(spark: SparkSession, d: str) -> DataFrame:
     return values(spark, NAMES, "key string, products array<string>").select("key", sv.label_name(F.col("products"), F.col("key")).alias("name"))
 
 
-PATHS = [(1, "5 WARNINGS > 5.1 RISK OF TUMORS", "20260618"), (2, "Indications", "20250102"), (3, "A > " + "long words " * 9, "19991231")]
+PATHS = [(1, "5 WARNINGS > 5.1 RISK OF TUMORS", "20260618"), (2, "Indications", "20250102"), (3, "A > " + "long words " * 9, "19991231"), (4, "5 WARNINGS > THE RISK OF THE HEART AND KIDNEY", "20200229"), (5, "12 > 12.1", "20200301")]
 
 
 def captions(spark: SparkSession, d: str) -> DataFrame:
@@ -188,8 +188,8 @@ QUERIES = {
     "event_log_resume": (event_log_resume, f"{_LOG} SELECT user_id, count(*) AS n, min(id) AS first_id FROM g WHERE id > 5 GROUP BY user_id"),
     "event_fold": (event_fold, f"{_LOG} SELECT user_id, CASE WHEN count(*) FILTER (event = 'error') > 0 THEN 'error' WHEN count(*) FILTER (event = 'done') > 0 THEN 'done' WHEN count(*) FILTER (event = 'start') > 0 THEN 'running' ELSE 'queued' END AS state, arg_max(event, id) AS last_event, max(id) AS last_id, count(*) FILTER (event = 'claim') AS n_claims, arg_min(data, id) FILTER (event = 'error') AS error FROM g GROUP BY user_id"),
     "delivery_dedupe": (delivery_dedupe, "SELECT user_id, count(DISTINCT event_id) AS n FROM events GROUP BY user_id"),
-    "queue_position": (queue_position, "WITH j AS (SELECT o_orderkey AS job, CASE WHEN o_orderkey % 100 = 0 THEN o_orderkey + 225 END AS fin FROM orders WHERE o_orderkey % 50 = 0) SELECT a.job, count(b.job) AS ahead FROM j a LEFT JOIN j b ON b.job < a.job AND (b.fin IS NULL OR b.fin > a.job) GROUP BY a.job"),
-    "retention": (retention, "WITH e AS (SELECT event_id, epoch(ts)::BIGINT AS t FROM events), j AS (SELECT event_id, t, CASE WHEN event_id % 3 <> 0 THEN t + 60 END AS fin FROM e) SELECT event_id FROM j WHERE fin IS NULL OR (SELECT max(t) FROM e) - fin <= 3600 ORDER BY t DESC, event_id DESC LIMIT 200"),
+    "queue_position": (queue_position, "WITH j AS (SELECT o_orderkey AS job, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey + 225 END AS fin FROM orders) SELECT a.job, count(b.job) AS ahead FROM j a LEFT JOIN j b ON b.job < a.job AND (b.fin IS NULL OR b.fin > a.job) GROUP BY a.job"),
+    "retention": (retention, "WITH e AS (SELECT event_id, epoch(ts)::BIGINT AS t FROM events), j AS (SELECT event_id, t, CASE WHEN event_id % 3 <> 0 THEN t + 60 END AS fin FROM e) SELECT event_id FROM j WHERE fin IS NULL OR (SELECT max(t) FROM e) - t <= 3600 ORDER BY t DESC, event_id DESC LIMIT 200"),
     "token_ledger_60s": (token_ledger_60s, "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY floor(epoch(ts))::BIGINT RANGE BETWEEN 59 PRECEDING AND CURRENT ROW) AS in_minute FROM events"),
     "rate_limit_1h": (rate_limit_1h, "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY floor(epoch(ts))::BIGINT RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS in_hour FROM events"),
     "daily_quota": (daily_quota, "SELECT ts::DATE::VARCHAR AS day, count(*) AS used, count(*) > 300 AS over FROM events GROUP BY 1"),
@@ -204,8 +204,8 @@ QUERIES = {
     "status_counts": (status_counts, "SELECT source, CASE WHEN quality IS NULL THEN 'checking' WHEN toxic = 1 THEN 'contradicted' WHEN quality = 1 THEN 'supported' ELSE 'unsupported' END AS status, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL"),
     "audit_json": (audit_json, None),
     "decision_log": (decision_log, "WITH e AS (SELECT user_id, event_type, event_id, CASE WHEN event_id % 4 <> 0 THEN event_id % 10 END AS choice FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1) SELECT user_id, event_type, choice FROM e WHERE choice IS NOT NULL"),
-    "label_names": (label_names, "SELECT * FROM (VALUES ('ozempic', 'Ozempic'), ('kwik', 'Humalog And Lyumjev'), ('lantus', 'Lantus And Toujeo')) AS t(key, name)"),
-    "captions": (captions, f"SELECT id, CASE WHEN length(c) > 64 THEN substring(c, 1, 63) || '…' ELSE c END AS caption, strftime(strptime(day, '%Y%m%d'), '%B %-d, %Y') AS day FROM (SELECT id, day, CASE id WHEN 1 THEN '5.1 Risk Of Tumors' ELSE trim(string_split(path, ' > ')[-1]) END AS c FROM {sql_values(PATHS, 'id, path, day')})"),
+    "label_names": (label_names, "SELECT * FROM (VALUES ('ozempic', 'OZEMPIC'), ('kwik', 'HUMALOG and LYUMJEV'), ('lantus', 'LANTUS and TOUJEO'), ('none', 'NONE'), ('blank', 'BLANK')) AS t(key, name)"),
+    "captions": (captions, f"SELECT id, CASE WHEN length(c) > 64 THEN rtrim(substring(c, 1, 63)) || '…' ELSE c END AS caption, strftime(strptime(day, '%Y%m%d'), '%B %-d, %Y') AS day FROM (SELECT id, day, CASE id WHEN 1 THEN '5.1 Risk of Tumors' WHEN 4 THEN 'The Risk of the Heart and Kidney' ELSE trim(string_split(path, ' > ')[-1]) END AS c FROM {sql_values(PATHS, 'id, path, day')})"),
     "next_claim": (next_claim, "SELECT a.conv_id, a.turn AS \"from\", coalesce(min(b.turn) FILTER (b.turn > a.turn), min(b.turn), a.turn) AS next FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.role = 'user' GROUP BY a.conv_id, a.turn"),
     "percents": (percents, "SELECT * FROM (VALUES (1, '50%'), (2, 'n/a'), (3, '13%'), (4, '100%')) AS t(id, p)"),
     "pick_hit": (pick_hit, "SELECT p_brand, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY starts_with(lower(p_name), lower(p_brand[1])) DESC, p_size DESC, p_partkey DESC) = 1"),

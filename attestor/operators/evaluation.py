@@ -126,9 +126,10 @@ def expected(spark) -> DataFrame:
 def build_benchmark(cards: DataFrame, claims: DataFrame) -> DataFrame:
     """claims (id, card, op, text) with what their construction makes of them and the split of their card's ingredient.
 
-    Refuses to build if an id repeats, an op is unknown or a card is missing, and names all of them."""
-    found = problems(cards, claims, list(EXPECTED)).limit(100).collect()
-    if found:
-        raise ValueError("; ".join(sorted(f"{r['problem']}: {r['id']}" for r in found)))
+    Refuses to build if an id repeats, an op is unknown or a card is missing: says how often and names a hundred."""
+    wrong = problems(cards, claims, list(EXPECTED))
+    if n := wrong.count():
+        named = sorted(f"{r['problem']}: {r['id']}" for r in wrong.orderBy("problem", "id").limit(100).collect())
+        raise ValueError(f"{n} problems: " + "; ".join(named))
     split = F.when(F.col("ingredient").isin(*DEV_INGREDIENTS), "dev").otherwise("test")
     return claims.join(F.broadcast(expected(claims.sparkSession)), "op").join(cards, "card").withColumn("split", split)

@@ -96,14 +96,14 @@ def gather(hits: DataFrame, governed: DataFrame, kinds: DataFrame, k: int = 5) -
     """(qid, id, rank, routed): excerpts of each claim. hits: (qid, id, rank); governed: (qid, id, code, rank, score) the
     ranked chunks of every section; kinds: (qid, kind).
 
-    For each section that governs the claim's kind the best chunk not among the first four hits is taken, in route
-    order, two at most before filling by score; then the hits; six in all. Claims of other kinds keep their k hits."""
+    For each section that governs the claim's kind its best three chunks are looked at, less those among the first four
+    hits: the best left is taken, in route order, two at most before filling by score; then the hits; six in all. Claims of other kinds keep their k hits."""
     routes = governed.sparkSession.createDataFrame([(kind, code, i) for kind, codes in ROUTES.items() for i, code in enumerate(codes)], "kind string, code string, ord int")
     wanted = kinds.join(F.broadcast(routes), "kind")
     shown = hits.where(F.col("rank") <= PRESENT).select("qid", "id")
-    best = governed.join(wanted, ["qid", "code"]).join(shown, ["qid", "id"], "left_anti")
     nth = F.row_number().over(Window.partitionBy("qid", "code").orderBy("rank", "id"))
-    best = best.withColumn("nth", nth).where("nth <= 3")
+    best = governed.join(wanted, ["qid", "code"]).withColumn("nth", nth).where(F.col("nth") <= ROUTED + 1)
+    best = best.join(shown, ["qid", "id"], "left_anti").withColumn("nth", nth)
     order = Window.partitionBy("qid").orderBy(F.when(F.col("nth") == 1, 0).otherwise(1), F.when(F.col("nth") == 1, F.col("ord")), F.desc("score"), "id")
     best = best.withColumn("r", F.row_number().over(order)).where(F.col("r") <= ROUTED).select("qid", "id", "r", F.lit(True).alias("routed"))
     rest = hits.join(best.select("qid", "id"), ["qid", "id"], "left_anti").select("qid", "id", (F.col("rank") + 100).alias("r"), F.lit(False).alias("routed"))

@@ -42,22 +42,31 @@ def latest(log: DataFrame, keys: list[str], order: str, value: str) -> DataFrame
     return log.groupBy(*keys).agg(F.max_by(value, order).alias(value)).where(F.col(value).isNotNull())
 
 
-def queue_position(jobs: DataFrame, job: str, created: str, finished: str) -> DataFrame:
+def queue_position(jobs: DataFrame, job: str, created: str, finished: str, blocks: int = 64) -> DataFrame:
     """jobs with ahead: how many earlier ones were not finished when it came. A single worker finishes in order, so
-    that the finish times rise with the creation times and earlier minus finished-by-then is the answer."""
+    that the finish times rise with the creation times and earlier minus finished-by-then is the answer.
+
+    Running sums over the whole log: blocks of time between quantiles are summed apart, each from the totals of the
+    blocks before it, which are as many rows as there are blocks."""
     marks = jobs.select(job, F.col(created).alias("at"), F.lit(1).alias("came"), F.lit(0).alias("left")).unionByName(
         jobs.where(F.col(finished).isNotNull()).select(F.lit(None).cast(jobs.schema[job].dataType).alias(job), F.col(finished).alias("at"), F.lit(0).alias("came"), F.lit(1).alias("left"))
     )
-    w = Window.partitionBy(F.lit(0)).orderBy("at", F.desc("left"), job)
-    ahead = F.sum("came").over(w) - F.sum("left").over(w) - 1
-    counted = marks.withColumn("ahead", ahead).where("came = 1").select(job, F.greatest(F.lit(0), "ahead").cast("long").alias("ahead"))
-    return jobs.join(counted, job)
+    cuts = marks.agg(F.percentile_approx(F.col("at").cast("double"), [(i + 1) / blocks for i in range(blocks - 1)]).alias("cuts"))
+    block = F.size(F.filter("cuts", lambda c: c < F.col("at").cast("double")))
+    marks = marks.join(F.broadcast(cuts)).withColumn("block", block).drop("cuts")
+    totals = marks.groupBy("block").agg(F.sum(F.col("came") - F.col("left")).alias("total"))
+    before = Window.partitionBy(F.lit(0)).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("before"))
+    w = Window.partitionBy("block").orderBy("at", F.desc("left"), job)
+    ahead = F.col("before") + F.sum(F.col("came") - F.col("left")).over(w) - 1
+    counted = marks.join(F.broadcast(totals), "block").withColumn("ahead", ahead)
+    return jobs.join(counted.where("came = 1").select(job, F.greatest(F.lit(0), "ahead").cast("long").alias("ahead")), job)
 
 
-def retained(jobs: DataFrame, created: str, finished: str, now: Column, keep: int = KEEP_JOBS) -> DataFrame:
-    """Jobs that stay: not finished longer than the time to live ago, and of those the newest."""
-    fresh = jobs.where(F.col(finished).isNull() | (now.cast("double") - F.col(finished).cast("double") <= TTL_SECONDS))
-    return fresh.orderBy(F.desc(created)).limit(keep)
+def retained(jobs: DataFrame, created: str, finished: str, now: Column, job: str, keep: int = KEEP_JOBS) -> DataFrame:
+    """Jobs that stay: not finished, or created no longer than the time to live ago, and of those the newest."""
+    fresh = jobs.where(F.col(finished).isNull() | (now.cast("double") - F.col(created).cast("double") <= TTL_SECONDS))
+    return fresh.orderBy(F.desc(created), F.desc(job)).limit(keep)
 
 
 def trailing(events: DataFrame, keys: list[str], seconds_of: Column, seconds: int, value: Column, closed: bool) -> DataFrame:
@@ -130,18 +139,26 @@ def audit(reviews: DataFrame, key: str) -> DataFrame:
 
 
 def label_name(products: Column, key: Column) -> Column:
-    """Brands without their presentations (X PEN where X is there), the key's own first, joined by "and"."""
-    names = F.array_distinct(products)
+    """Brands without their presentations (X PEN where X is there), the key's own first, joined by "and"; the key in
+    capitals where there are none."""
+    named = F.filter(products, lambda p: p != "")
+    names = F.when(F.size(named) > 0, named).otherwise(F.array(F.upper(key)))
     brands = F.filter(names, lambda p: ~F.exists(names, lambda q: (p != q) & F.startswith(p, F.concat(q, F.lit(" ")))))
     own = F.filter(brands, lambda p: F.lower(p) == F.lower(key))
-    return F.initcap(F.array_join(F.concat(own, F.filter(brands, lambda p: F.lower(p) != F.lower(key))), " and "))
+    return F.array_join(F.concat(own, F.filter(brands, lambda p: F.lower(p) != F.lower(key))), " and ")
+
+
+#: Words that stay small within a title.
+SMALL_WORDS = ("and", "or", "of", "in", "with", "for", "the", "to", "a", "an", "on", "at", "by")
 
 
 def caption(path: Column) -> Column:
     """Short name of a section: the last part of its path, title case if in capitals, at most 64 characters."""
     last = F.trim(F.element_at(F.split(path, " > "), -1))
-    cased = F.when(last == F.upper(last), F.initcap(F.lower(last))).otherwise(last)
-    return F.when(F.length(cased) > 64, F.concat(F.substring(cased, 1, 63), F.lit("…"))).otherwise(cased)
+    upper_first = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 10_000))
+    words = F.transform(F.split(F.lower(last), " "), lambda w, i: F.when((i > 0) & w.isin(*SMALL_WORDS), w).otherwise(upper_first(w)))
+    cased = F.when((last == F.upper(last)) & last.rlike("[A-Z]"), F.array_join(words, " ")).otherwise(last)
+    return F.when(F.length(cased) > 64, F.concat(F.rtrim(F.substring(cased, 1, 63)), F.lit("…"))).otherwise(cased)
 
 
 def long_date(day: Column) -> Column:

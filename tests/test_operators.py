@@ -162,7 +162,7 @@ def test_evidence_tables_and_clips(spark):
 
 def test_names_and_keys(spark):
     names = {r.key: r.name for r in texts_service(spark)}
-    assert names["lantus"] == "Lantus And Toujeo"
+    assert names["lantus"] == "LANTUS and TOUJEO"
     assert len(one(spark, sv.cache_key(F.lit("m"), F.col("x")), "p")) == 64
 
 
