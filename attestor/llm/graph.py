@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -145,11 +145,15 @@ def sides(tile: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (x, x) if low == high else (x, np.flatnonzero(tile == high))
 
 
-def spanning(groups: np.ndarray, a: Iterable[int], b: Iterable[int], linked: Callable[[int, int], bool]) -> list[tuple[int, int]]:
-    """Of the candidates (a, b) among members of some groups those that are linked and connect what was apart, in turn;
-    candidates that are connected already, those of one group among them, are not asked."""
-    _, root = np.unique(groups, return_inverse=True)
-    own, root, out = root.tolist(), list(range(len(root))), []
+#: Candidates of the first batch that `spanning` asks; each next one has twice as many, up to MOST_ASKED.
+FIRST_ASKED, MOST_ASKED = 256, 16384
+
+
+def spanning(groups: np.ndarray, a: np.ndarray, b: np.ndarray, linked: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Of the candidates (a, b) among members of some groups those that are linked and connect what was apart, as rows.
+    They are asked in turn, in growing batches; those that an earlier batch has connected, and those of one group, are not."""
+    names, own = np.unique(groups, return_inverse=True)
+    root, out, done, step = list(range(len(names))), [], 0, FIRST_ASKED
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -157,9 +161,16 @@ def spanning(groups: np.ndarray, a: Iterable[int], b: Iterable[int], linked: Cal
             i = root[i]
         return i
 
-    for i, j in zip(a, b):
-        x, y = find(own[i]), find(own[j])
-        if x != y and linked(i, j):
-            root[max(x, y)] = min(x, y)
-            out.append((i, j))
-    return out
+    while done < len(a):
+        now = np.array([find(k) for k in range(len(names))])[own]
+        x, y = a[done : done + step], b[done : done + step]
+        apart = now[x] != now[y]
+        x, y = x[apart], y[apart]
+        hit = linked(x, y)
+        for i, j in zip(x[hit].tolist(), y[hit].tolist()):
+            s, t = find(own[i]), find(own[j])
+            if s != t:
+                root[max(s, t)] = min(s, t)
+                out.append((i, j))
+        done, step = done + step, min(2 * step, MOST_ASKED)
+    return np.array(out, np.int64).reshape(-1, 2)

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, as_bytes, chunks, discard, documents, gram_hashes, joined, left_join_some, list_array, mix, numbered, only, signed, spread, staged, word_hashes
+from .edit import similar_pairs
 from .graph import bucket_components, sides, spanning, tiles
 
 
@@ -212,50 +213,19 @@ def block_keys(sim: str, p: Lines):
     return F.array(*keys)
 
 
-def similar(a: str, b: str, percent: int) -> bool:
-    """Whether 100 * (1 - distance / longer length) >= percent."""
-    return within(a, b, (100 - percent) * max(len(a), len(b)) // 100)
-
-
 def _verified(p: Lines) -> Callable:
     """(a, b, fa, fb) -> (a, b) of the similar forms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [similar(x, y, p.percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            n = batch.num_rows
+            forms = batch.column(2).to_pylist() + batch.column(3).to_pylist()
+            keep = similar_pairs(forms, np.arange(n), np.arange(n, 2 * n), p.percent)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
 
-def within(a: str, b: str, most: int) -> bool:
-    """Whether the edit distance of two strings is at most `most`: the columns of the distance table as bits of integers
-    (Myers, 1999), given up as soon as the rest cannot make good for it."""
-    start, end = 0, 0
-    while start < min(len(a), len(b)) and a[start] == b[start]:
-        start += 1
-    while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
-        end += 1
-    a, b = a[start : len(a) - end], b[start : len(b) - end]
-    if not a or not b:
-        return max(len(a), len(b)) <= most
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
-    up, down, score = full, 0, len(a)
-    for left, c in zip(range(len(b) - 1, -1, -1), b):
-        x = places.get(c, 0) | down
-        same = ((x & up) + up ^ up) | x
-        more, less = down | full & ~(same | up), up & same
-        score += 1 if more & top else -1 if less & top else 0
-        if score - left > most:
-            return False
-        more = more << 1 | 1
-        up, down = less << 1 & full | full & ~(same | more), more & same
-    return score <= most
-
-
 def _near(info: np.ndarray, size: np.ndarray, group: np.ndarray, x: np.ndarray, y: np.ndarray, p: Lines):
     """Which pairs of lines of two tiles are of different groups and may be similar, by SimHash and size."""
     near = np.bitwise_count(info[x][:, None] ^ info[y][None, :]) <= p.flips
@@ -291,14 +261,16 @@ def _compare(p: Lines) -> Callable:
         i, j = x[i], y[j]
         once = i < j if len(x) and x is y else np.ones(len(i), bool)
         order = np.argsort(np.bitwise_count(sim[i[once]] ^ sim[j[once]]), kind="stable")
-        i, j = i[once][order].tolist(), j[once][order].tolist()
+        i, j = i[once][order], j[once][order]
         hub, hubs = table.column("hub")[0].as_py(), [set(x) for x in table.column("hubs").to_pylist()]
 
-        def linked(a: int, b: int) -> bool:
+        def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             """A pair is decided at the first of the hubs that it has in common."""
-            return min(hubs[a] & hubs[b]) == hub and similar(forms[a], forms[b], p.percent)
+            here = np.array([min(hubs[x] & hubs[y]) == hub for x, y in zip(a.tolist(), b.tolist())], bool)
+            here[here] = similar_pairs(forms, a[here], b[here], p.percent)
+            return here
 
-        ends = np.array(spanning(group, i, j, linked), np.int64).reshape(-1, 2)
+        ends = spanning(group, i, j, linked)
         return pa.table({"a": ids[ends[:, 0]], "b": ids[ends[:, 1]]})
 
     return run

@@ -196,8 +196,7 @@ def _compare(p: NearDup) -> Callable:
         linked = (100 + p.percent) * both >= p.percent * (n[x][:, None] + n[y][None, :])
         linked &= group[x][:, None] != group[y][None, :]
         i, j = np.nonzero(linked)
-        found = spanning(group, x[i].tolist(), y[j].tolist(), lambda i, j: True)
-        ends = np.array(found, np.int64).reshape(-1, 2)
+        ends = spanning(group, x[i], y[j], lambda i, j: np.ones(len(i), bool))
         return pa.table({"a": ids[ends[:, 0]], "b": ids[ends[:, 1]]})
 
     return run
