@@ -95,43 +95,47 @@ def _table(codes: np.ndarray, begin: np.ndarray, n: np.ndarray, a: np.ndarray, l
 
 def _columns(table: np.ndarray, row: np.ndarray, na: np.ndarray, codes: np.ndarray, at: np.ndarray, nb: np.ndarray, most: np.ndarray) -> np.ndarray:
     """Whether the distances are at most `most`: column by column of the distance table in blocks of 64 rows (Hyyrö,
-    2003), one pair an element. Every 16 columns pairs go that cannot make good any more."""
+    2003), one pair an element. Only blocks that a distance of `most` can reach are computed: rows above and below count
+    as growing by one, which is no less than they do. Every 16 columns pairs go that cannot make good any more."""
     out = np.zeros(len(row), bool)
     order = np.argsort(-nb, kind="stable")  # those that end first stand last
-    row, at, nb, most, score = row[order], at[order], nb[order], most[order], na[order].copy()
-    last = ((na[order] - 1) % 64).astype(U64)
+    row, at, nb, most = row[order], at[order], nb[order], most[order]
+    last, rest, reach, top = ((na[order] - 1) % 64).astype(U64), (na[order] - 1) % 64 + 1, int(most.max()), len(table) - 1
+    low = 0  # the last block computed so far; score: the distance at its last row
     ups = [np.full(len(row), FULL) for _ in table]
     downs = [np.zeros(len(row), U64) for _ in table]
+    score = np.full(len(row), 64) if top else rest.copy()
     for k in range(int(nb[0])):
         live = int(np.searchsorted(-nb, -k, "left"))  # nb > k
         if live < len(row):
             out[order[live:]] = score[live:] <= most[live:]
         keep = np.arange(live)
-        if k % 16 == 15:
+        if k % 16 == 15 and low == top:
             hope = score[:live] - (nb[:live] - k) <= most[:live]
             keep = np.flatnonzero(hope) if hope.sum() < 0.8 * live else keep
         if len(keep) < len(row):
-            order, row, at, nb, most, score, last = (x[keep] for x in (order, row, at, nb, most, score, last))
+            order, row, at, nb, most, score, last, rest = (x[keep] for x in (order, row, at, nb, most, score, last, rest))
             ups, downs = [x[keep] for x in ups], [x[keep] for x in downs]
             if not len(row):
                 return out
         letter = row + codes[at + k]
         plus, minus = np.ones(len(row), U64), np.zeros(len(row), U64)
-        for w, (up, down) in enumerate(zip(ups, downs)):
+        while low < min(top, (k + 1 + reach) // 64):
+            low += 1
+            score = score + (rest if low == top else 64)
+        for w in range(max(0, (k - reach) // 64), low + 1):
+            up, down = ups[w], downs[w]
             eq = table[w][letter]
             vertical = eq | down
             eq |= minus
             across = ((eq & up) + up ^ up) | eq
             more, less = down | ~(across | up), up & across
-            if w == len(ups) - 1:
-                score += ((more >> last) & ONE).view(np.int64)
-                score -= ((less >> last) & ONE).view(np.int64)
-            else:
-                out_plus, out_minus = more >> TOP, less >> TOP
+            bottom = last if w == top else TOP
+            out_plus, out_minus = (more >> bottom) & ONE, (less >> bottom) & ONE
             more = more << ONE | plus
             ups[w] = (less << ONE | minus) | ~(vertical | more)
             downs[w] = more & vertical
-            if w < len(ups) - 1:
-                plus, minus = out_plus, out_minus
+            plus, minus = out_plus, out_minus
+        score = score + plus.view(np.int64) - minus.view(np.int64)
     out[order] = score <= most
     return out
