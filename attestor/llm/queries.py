@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op13_bpe
 from .decontaminate import op8_decontaminate
 from .html_text import op9_html
 from .licenses import op7_licenses
@@ -22,7 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_lines": op1_lines, "op2_suffix": op2_suffix, "op3_substring": op3_substring, "op4_kd_shards": op4_kd_shards, "op5_quality": op5_quality, "op6_pieces": op6_pieces, "op7_licenses": op7_licenses, "op8_decontaminate": op8_decontaminate, "op9_html": op9_html, "op10_minhash": op10_minhash}
+    return {"op1_lines": op1_lines, "op2_suffix": op2_suffix, "op3_substring": op3_substring, "op4_kd_shards": op4_kd_shards, "op5_quality": op5_quality, "op6_pieces": op6_pieces, "op7_licenses": op7_licenses, "op8_decontaminate": op8_decontaminate, "op9_html": op9_html, "op10_minhash": op10_minhash, "op13_bpe": op13_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
