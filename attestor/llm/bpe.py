@@ -1,10 +1,11 @@
-"""BPE encoding and decoding with word ends over a contiguous rank array, and the query op13.
+"""BPE encoding and decoding with word ends over contiguous rank arrays, and the query op13.
 
 A vocabulary and its merges are read from a public tokenizer file (its path is a parameter; nothing is trained). A text
-is normalised (NFC, white space, lower case) and cut into words; a word's parts are held by their boundaries, beside
-them the rank of each adjacent pair. The lowest rank, leftmost first, is scanned for again and again: its boundary goes
-and the two ranks beside it are looked up anew. Words over SHORT symbols, where the scan would be quadratic, keep a
-heap of pairs instead, with the same result. Stretches between white space are remembered in a bounded table.
+is normalised (NFC, white space, lower case) and cut into words; a word is a row of its parts, beside it the ranks of the
+adjacent pairs. The lowest rank, leftmost first, is scanned for again and again: the boundary in it is deleted from both
+rows and the two ranks beside it are looked up anew. Many words take each step side by side, as the rows of one matrix.
+Words over SHORT bytes, where the scan would be quadratic, keep a heap of pairs instead, with the same result. Words
+are remembered in a bounded table.
 
 Defined cases: null is empty; an empty text, or one of white space only, has no ids and decodes to the empty text;
 strings of the added tokens stand for these tokens before anything is normalised; repeated rows each get their row; an
@@ -13,11 +14,11 @@ empty table gives no rows; only the id and the text are read.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import json
 import re
 import unicodedata
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -29,10 +30,13 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-SHORT = 128
-REMEMBERED, REMEMBERED_CHARS = 100_000, 48
-#: Characters of the rows that one step encodes before it gives its batch out; a longer text is a batch of its own.
-STEP_CHARS = 1 << 19
+SHORT = 96
+#: Words that take their steps side by side.
+SIDE = 4096
+#: Words that a worker remembers, 200 bytes or so each, and the longest of them.
+REMEMBERED, REMEMBERED_CHARS = 250_000, 48
+#: Characters of the rows that are encoded and given out together; a longer text is a batch of its own.
+STEP_CHARS = 1 << 20
 
 # What the tokenizer's Unicode tables (letters and numbers of 16, capitals of 17, composition of 9) have
 # otherwise than those of Python 3.13 (15.1), as first and last code point --------------------------------------------
@@ -72,19 +76,20 @@ def _within(ranges) -> str:
 _NEW_LETTER, _NEW_NUMBER = re.compile(_within(NEW_LETTERS)), re.compile(_within(NEW_NUMBERS))
 _NEW_CAPITAL, _NEW_MARK = re.compile(_within(NEW_CAPITALS)), re.compile(f"({_within(NEW_MARKS)})")
 _SMALL = {c: small + c - first for first, last, small in NEW_CAPITALS for c in range(first, last + 1)} | {0x03A3: 0x03C3}
-#: The white space of Unicode; Python's has the four separators of files, groups, records and units besides.
-_WHITE, _SEPARATOR = re.compile(r"[^\S\x1c-\x1f]+"), re.compile(r"[\x1c-\x1f]")
-_WORD = re.compile(rf"{CONTRACTIONS}|[a-zA-Z]+|[0-9]|[^a-zA-Z0-9]+")
+_WORD = re.compile(rf"{CONTRACTIONS}|[a-zA-Z]+|[0-9]|[^a-zA-Z0-9 \t-\r]+")
 
 
 class _Shadow(dict):
-    """For str.translate: letters beyond ASCII become x, numbers 0 and all else !, so that one ASCII pattern cuts words."""
+    """For str.translate: letters beyond ASCII become x, numbers 0, white space a space and all else !, so that one ASCII
+    pattern cuts words."""
 
     def __missing__(self, code: int) -> str:
         char = chr(code)
         kind = unicodedata.category(char)[0]
         if code < 128:
             out = char
+        elif char.isspace():
+            out = " "
         elif kind == "L" or _NEW_LETTER.match(char):
             out = "x"
         else:
@@ -110,15 +115,17 @@ def lowered(text: str) -> str:
     return (text.translate(_SMALL) if "Σ" in text or _NEW_CAPITAL.search(text) else text).lower()
 
 
-def stretches(text: str) -> list[str]:
-    """What stands between white space."""
-    return [x for x in _WHITE.split(text) if x] if _SEPARATOR.search(text) else text.split()
+#: Letters without a gap in the code: texts of ASCII and these need no shadow.
+_LATIN = "À-ÖØ-öø-ɏ"
+_BEYOND, _LATIN_WORD = re.compile(rf"[^\x00-\x7f{_LATIN}]"), re.compile(_WORD.pattern.replace("a-zA-Z", f"a-zA-Z{_LATIN}"))
 
 
-def words(stretch: str) -> list[str]:
-    if stretch.isascii():
-        return _WORD.findall(stretch)
-    return [stretch[m.start() : m.end()] for m in _WORD.finditer(stretch.translate(_SHADOW))]
+def words(text: str) -> list[str]:
+    if text.isascii():
+        return _WORD.findall(text)
+    if not _BEYOND.search(text):
+        return _LATIN_WORD.findall(text)
+    return [text[m.start() : m.end()] for m in _WORD.finditer(text.translate(_SHADOW))]
 
 
 def _byte_characters() -> list[str]:
@@ -129,92 +136,124 @@ def _byte_characters() -> list[str]:
 
 
 class Bpe:
-    """ids: of each token; ranks: of each mergeable pair of neighbours; end: what follows the last symbol of a word."""
+    """ids: of each token; merges: pairs of tokens by rank; end: what follows the last byte of a word."""
 
     def __init__(self, ids: dict[str, int], merges: list[tuple[str, str]], added: dict[str, int], end: str):
-        self.ids, self.end, self.added = ids, end, added
-        self.ranks = {pair: i for i, pair in reversed(list(enumerate(merges)))}
-        self.none = len(merges)
-        self.bytes = _byte_characters()
+        self.added = added
         self.tokens = {i: t for t, i in {**ids, **added}.items()}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        chars = _byte_characters()
+        self.inner, self.last = (np.array([ids[c + e] for c in chars], np.int64) for e in ("", end))
+        self.none = len(merges)
+        self.result = np.array([ids[a + b] for a, b in merges], np.int64)
+        pairs = np.array([ids[a] << 32 | ids[b] for a, b in merges], np.int64)
+        self.pairs, first = np.unique(pairs, return_index=True)
+        self.order = first.astype(np.int64)
         self.known: dict[str, bytes] = {}
 
-    def parts(self, symbols: str) -> list[str]:
-        """The parts of one word of byte characters once nothing more can be merged."""
-        n, text = len(symbols), symbols + self.end
-        bounds = [*range(n), len(text)]
-        if n > SHORT:
-            return self._parts_of_long(text, bounds)
-        ranks, none = self.ranks, self.none
-        near = [ranks.get((text[a:b], text[b:c]), none) for a, b, c in zip(bounds, bounds[1:], bounds[2:])]
-        while near:
-            least = min(near)
-            if least == none:
-                break
-            i = near.index(least)
-            del bounds[i + 1], near[i]
-            for j in (i - 1, i):
-                if 0 <= j < len(near):
-                    a, b, c = bounds[j : j + 3]
-                    near[j] = ranks.get((text[a:b], text[b:c]), none)
-        return [text[a:b] for a, b in zip(bounds, bounds[1:])]
-
-    def _parts_of_long(self, text: str, bounds: list[int]) -> list[str]:
-        after = dict(zip(bounds, bounds[1:]))
-        before = {b: a for a, b in after.items()}
-        ranks = self.ranks
-
-        def rank(b: int) -> int | None:
-            """Of the pair that meets at boundary b."""
-            return ranks.get((text[before[b] : b], text[b : after[b]]))
-
-        heap = [(r, b) for b in bounds[1:-1] if (r := rank(b)) is not None]
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Of pairs of ids; the number of merges where there is none. An id below 0 is no part."""
+        pair = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == pair) & (right >= 0), self.order[at], self.none)
+
+    def symbols(self, word: bytes) -> np.ndarray:
+        out = self.inner[np.frombuffer(word, np.uint8)]
+        out[-1] = self.last[word[-1]]
+        return out
+
+    def merged(self, some: list[bytes]) -> list[bytes]:
+        """The packed ids of words of at most SHORT bytes and about equal length, side by side."""
+        out: list[bytes] = [b""] * len(some)
+        width = max(map(len, some))
+        parts = np.full((len(some), width), -1, np.int64)
+        for i, word in enumerate(some):
+            parts[i, : len(word)] = self.symbols(word)
+        number = np.arange(len(some))
+        near = self.ranks(parts[:, :-1], parts[:, 1:])
+        while True:
+            row = np.arange(len(number))
+            at = near.argmin(axis=1) if near.shape[1] else np.zeros(len(row), np.int64)
+            least = near[row, at] if near.shape[1] else np.full(len(row), self.none)
+            open_ = least < self.none
+            for i, ids, n in zip(number[~open_].tolist(), parts[~open_].astype("<u4"), (parts[~open_] >= 0).sum(axis=1)):
+                out[i] = ids[:n].tobytes()
+            if not open_.any():
+                return out
+            if not open_.all():
+                parts, near, number, at, least, row = parts[open_], near[open_], number[open_], at[open_], least[open_], row[: open_.sum()]
+            parts[row, at] = self.result[least]
+            parts, near = _without(parts, row, at + 1), _without(near, row, at)
+            for j, here in ((at - 1, at > 0), (at, at < near.shape[1])):
+                r, j = row[here], j[here]
+                near[r, j] = self.ranks(parts[r, j], parts[r, j + 1])
+
+    def merged_long(self, word: bytes) -> bytes:
+        """The same for one word of any length: a heap of pairs, and links to the parts before and after."""
+        parts, n = self.symbols(word), len(word)
+        heap = [(r, i) for i, r in enumerate(self.ranks(parts[:-1], parts[1:]).tolist()) if r < self.none]
         heapq.heapify(heap)
+        parts, after, before = parts.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        known = {p: r for p, r in zip(self.pairs.tolist(), self.order.tolist())} if heap else {}
         while heap:
-            r, b = heapq.heappop(heap)
-            if b not in before or rank(b) != r:  # gone or changed meanwhile
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            if parts[i] < 0 or j == n or known.get(parts[i] << 32 | parts[j]) != rank:  # gone or changed meanwhile
                 continue
-            a, c = before.pop(b), after.pop(b)
-            after[a], before[c] = c, a
-            for x in (a, c):
-                if x in before and x in after and (r := rank(x)) is not None:
-                    heapq.heappush(heap, (r, x))
-        out, a = [], 0
-        while a in after:
-            out.append(text[a : after[a]])
-            a = after[a]
+            parts[i], parts[j], after[i] = int(self.result[rank]), -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for a in (before[i], i):
+                if a >= 0 and after[a] < n and (r := known.get(parts[a] << 32 | parts[after[a]])) is not None:
+                    heapq.heappush(heap, (r, a))
+        return np.array([p for p in parts if p >= 0], "<u4").tobytes()
+
+    def learn(self, new: set[str]) -> dict[str, bytes]:
+        """The packed ids of words."""
+        raw = sorted((len(b), b, w) for w, b in ((w, w.encode()) for w in new))
+        short = bisect.bisect_right(raw, SHORT, key=lambda x: x[0])
+        out = {w: self.merged_long(b) for _, b, w in raw[short:]}
+        for i in range(0, short, SIDE):
+            some = raw[i : min(i + SIDE, short)]
+            out.update(zip([w for _, _, w in some], self.merged([b for _, b, _ in some])))
         return out
 
-    def stretch(self, text: str) -> bytes:
-        out, chars = array("I"), self.bytes
-        for word in words(text):
-            out.extend([self.ids[p] for p in self.parts("".join([chars[b] for b in word.encode()]))])
-        return out.tobytes()
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        cut: list[list[str]] = []
+        for text in texts:
+            if self.special is None or not (pieces := self.special.split(text))[1:]:
+                cut.append(words(lowered(composed(text))))
+            else:  # an added token's string holds characters of several kinds, so that it is no word
+                cut.append([w for i, x in enumerate(pieces) for w in ([x] if i % 2 else words(lowered(composed(x))))])
+        known, asked = self.known, set().union(*cut)
+        new = asked - known.keys()
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = asked
+        known.update({x: i.to_bytes(4, "little") for x, i in self.added.items()})
+        known.update(self.learn(new - self.added.keys()))
+        out = [b"".join(map(known.__getitem__, held)) for held in cut]
+        for w in new:
+            if len(w) > REMEMBERED_CHARS:
+                known.pop(w, None)
+        return out
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        out, known = [], self.known
-        for i, piece in enumerate(self.special.split(text) if self.special else [text]):
-            if i % 2:
-                out.append(self.added[piece].to_bytes(4, "little"))
-                continue
-            for s in stretches(lowered(composed(piece))):
-                ids = known.get(s)
-                if ids is None:
-                    ids = self.stretch(s)
-                    if len(s) <= REMEMBERED_CHARS:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        known[s] = ids
-                out.append(ids)
-        return b"".join(out)
+        return self.encode_many([text])[0]
 
     def decode(self, ids: bytes) -> str:
         tokens = self.tokens
         return " ".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
+def _without(matrix: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """matrix less one entry of each row: the rest moves up."""
+    left = np.ones(matrix.shape, bool)
+    left[row, column] = False
+    return matrix[left].reshape(len(matrix), matrix.shape[1] - 1)
+
+
 @lru_cache(maxsize=2)
 def parsed(spec: bytes) -> Bpe:
     """A tokenizer file's contents. Only the form that this module implements is taken."""
@@ -244,15 +283,15 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = parsed(spec)
         for batch in batches:
-            ids, size, start = [], 0, 0
+            texts, size, start = [], 0, 0
             for i, text in enumerate(batch.column(1)):
-                text = text.as_py() or ""
-                ids.append(bpe.encode(text))
-                size += len(text)
+                texts.append(text.as_py() or "")
+                size += len(texts[-1])
                 if size >= STEP_CHARS or i == len(batch) - 1:
+                    ids = bpe.encode_many(texts)
                     counts = pa.array([len(x) // 4 for x in ids], pa.int64())
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(ids)), counts, pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
-                    ids, size, start = [], 0, i + 1
+                    texts, size, start = [], 0, i + 1
 
     return docs.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 

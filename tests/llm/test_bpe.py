@@ -24,8 +24,7 @@ def library():
 
 
 def same(model, library, texts):
-    for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
-        ids = model.encode(text)
+    for text, ids, want in zip(texts, model.encode_many(texts), library.encode_batch(texts, add_special_tokens=False)):
         assert list(memoryview(ids).cast("I")) == want.ids, (text[:80], want.tokens[:20])
         assert model.decode(ids) == library.decode(want.ids, skip_special_tokens=False)
 
@@ -52,18 +51,20 @@ def test_long_words_by_heap_and_scan(model, library, monkeypatch):
     r = random.Random(5)
     texts = ["a" * 5001, "ab" * 900, "漢字仮名" * 400, "".join(r.choice("etaoinshr") for _ in range(30_000)), "!" * 4000, "x " * 50_000]
     same(model, library, texts)
-    every = ["".join(r.choice("etaoins") for _ in range(r.randint(1, 100))) for _ in range(300)]
-    short = [model.parts(x) for x in every]
+    every = {"".join(r.choice("etaoins") for _ in range(r.randint(1, 90))) for _ in range(300)}
+    side = model.learn(every)
+    monkeypatch.setattr(m, "SIDE", 7)
+    assert model.learn(every) == side
     monkeypatch.setattr(m, "SHORT", 0)
-    assert [model.parts(x) for x in every] == short
+    assert model.learn(every) == side
 
 
 def test_bounded_table_forgets_without_changing_results(model, library, monkeypatch):
     monkeypatch.setattr(m, "REMEMBERED", 3)
-    same(model, library, ["one two three four five six one two", "ONE Two"] * 3)
     model.known.clear()
-    same(model, library, ["one two three four five six one two"])
-    assert len(model.known) <= 3
+    for text in ["one two", "three", "four five six seven " + "long" * 30, "one two one", ""]:
+        same(model, library, [text, text.upper()])
+        assert len(model.known) <= 7
 
 
 def test_query_equals_the_library_on_the_table(spark, library):
