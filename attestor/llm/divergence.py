@@ -2,9 +2,9 @@
 
 Each partition counts its terms in byte tries, one a language, whose leaves have a counter for each source and one for
 documents. A trie that reaches a bound is given out and begun anew, so that memory does not grow with the partition. The
-leaves are dealt out by ranges of the terms' first bytes; a task gets its range in UTF-8 order and merges it in a trie
-again, stretch by stretch, so that what the tries of all partitions hold of a term comes together. Terms in enough
-documents of the language are kept, in blocks. A second walk over the blocks, with the totals of the groups at hand,
+leaves are dealt out by ranges of the terms; leaves of terms that have too few documents in all partitions together,
+which are most of them, go there. A task gets the rest of its range in UTF-8 order and merges it in a trie again, stretch
+by stretch. The terms are kept in blocks. A second walk over the blocks, with the totals of the groups at hand,
 adds up the divergence of each pair of sources and keeps each group's first candidates; as it goes in UTF-8 order, of
 equal values the first one met wins.
 
@@ -20,6 +20,7 @@ only text, language and source are read.
 
 from __future__ import annotations
 
+import gc
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -32,11 +33,9 @@ from .common import discard, documents, staged
 
 LEAST_DOCUMENTS, TOP, SCALE = 10, 10, 1_000_000_000
 #: A partition's tries are given out when they hold so many counters, or bytes of terms.
-COUNTERS, TERM_BYTES = 200_000, 1 << 26
+COUNTERS, TERM_BYTES = 400_000, 1 << 26
 #: Characters of text whose words are counted before they enter the tries.
 STEP_CHARS = 1 << 23
-#: First bytes of a term by which ranges are dealt out.
-PREFIX = 24
 #: Kept terms of a block, and entries of a step's matrices.
 BLOCK, ENTRIES = 2048, 1 << 18
 #: Groups up to which their totals are broadcast, 60 bytes or so each; beyond it they are joined.
@@ -52,7 +51,7 @@ class Node:
     __slots__ = ("label", "children", "counts", "docs")
 
     def __init__(self, label: bytes):
-        self.label, self.children, self.counts, self.docs = label, {}, None, 0
+        self.label, self.children, self.counts, self.docs = label, {}, None, 0  # counts: of a term that ends here
 
 
 def _shared(a: bytes, b: bytes) -> int:
@@ -78,7 +77,9 @@ class Trie:
         while True:
             below = node.children.get(term[at])
             if below is None:
-                return self._new(node, term[at:])
+                below = node.children[term[at]] = Node(term[at:])
+                self.bytes += end - at + 64
+                return below
             if not term.startswith(below.label, at):
                 k = _shared(below.label, term[at:])
                 upper = Node(below.label[:k])
@@ -88,26 +89,24 @@ class Trie:
                 below = upper
             at += len(below.label)
             if at == end:
-                if below.counts is None:
-                    below.counts = {}
                 return below
             node = below
 
-    def _new(self, node: Node, label: bytes) -> Node:
-        made = Node(label)
-        made.counts = {}
-        node.children[label[0]] = made
-        self.bytes += len(label) + 64
-        return made
-
     def add(self, term: bytes, counts: dict, docs: int) -> None:
-        """Counts by source for a term: those of one batch, or of another trie's leaf."""
+        """Counts by source for a term, which are not used elsewhere: those of one batch, or of another trie's leaf."""
         leaf = self.leaf(term)
-        held, before = leaf.counts, len(leaf.counts)
-        for source, n in counts.items():
-            held[source] = held.get(source, 0) + n
+        held = leaf.counts
         leaf.docs += docs
-        self.counters += len(held) - before
+        if held is None:
+            leaf.counts = counts
+            self.counters += len(counts)
+            return
+        for source, n in counts.items():
+            if source in held:
+                held[source] += n
+            else:
+                held[source] = n
+                self.counters += 1
 
     def leaves(self) -> Iterator[tuple[bytes, dict, int]]:
         """(term, counts, documents) in the order of the terms' bytes."""
@@ -117,28 +116,36 @@ class Trie:
             term = prefix + node.label
             if node.counts:
                 yield term, node.counts, node.docs
-            todo.extend((node.children[b], term) for b in sorted(node.children, reverse=True))
+            if node.children:
+                todo += [(node.children[b], term) for b in sorted(node.children, reverse=True)]
 
 
 LEAVES = "lang string, term string, sources array<string>, counts array<long>, docs long"
 
 
+def _lists(sizes: list[int], values: list, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values, kind))
+
+
 def _leaves(lang: str, trie: Trie) -> Iterator[pa.RecordBatch]:
-    rows: list[tuple] = []
+    terms, sizes, sources, counts, docs, size = [], [], [], [], [], 0
 
     def batch() -> pa.RecordBatch:
-        columns = list(zip(*rows))
-        kinds = (pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["lang", "term", "sources", "counts", "docs"])
-
-    size = 0
-    for term, counts, docs in trie.leaves():
-        rows.append((term.decode(), list(counts), list(counts.values()), docs))
-        size += len(term) + len(counts) * 16
-        if len(rows) == 8192 or size > 1 << 22:
+        columns = [pa.array([lang] * len(terms), pa.string()), pa.array(terms, pa.binary()).cast(pa.string())]
+        columns += [_lists(sizes, sources, pa.string()), _lists(sizes, counts, pa.int64()), pa.array(docs, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "term", "sources", "counts", "docs"])
+
+    for term, held, n in trie.leaves():
+        terms.append(term)
+        sizes.append(len(held))
+        sources += held
+        counts += held.values()
+        docs.append(n)
+        size += len(term) + len(held) * 16
+        if len(terms) == 8192 or size > 1 << 22:
             yield batch()
-            rows, size = [], 0
-    if rows:
+            terms, sizes, sources, counts, docs, size = [], [], [], [], [], 0
+    if terms:
         yield batch()
 
 
@@ -150,14 +157,18 @@ def counted(docs: DataFrame) -> DataFrame:
 
         def enter(words: dict[str, dict[str, Counter]], seen: dict[str, Counter]) -> None:
             for lang, by_source in words.items():
-                by_term: dict[bytes, dict[str, int]] = defaultdict(dict)
+                by_term: dict[bytes, dict[str, int]] = {}
                 for source, counter in by_source.items():
                     for term, n in counter.items():
-                        by_term[term][source] = n
+                        if term in by_term:
+                            by_term[term][source] = n
+                        else:
+                            by_term[term] = {source: n}
                 docs_with, trie = seen[lang], tries[lang]
                 for term, counts in by_term.items():
                     trie.add(term, counts, docs_with[term])
 
+        gc.disable()  # tries have no cycles, and their many nodes would be looked through again and again
         for batch in batches:
             langs, sources, size = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
             words: dict = defaultdict(lambda: defaultdict(Counter))
@@ -179,6 +190,7 @@ def counted(docs: DataFrame) -> DataFrame:
                         tries.clear()
         for lang in sorted(tries):
             yield from _leaves(lang, tries[lang])
+        gc.enable()
 
     docs = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
     return docs.mapInArrow(run, LEAVES)
@@ -224,8 +236,9 @@ def merged(leaves: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
                 trie.add(row[1].encode(), dict(zip(row[2], row[3])), row[4])
         yield from walked(True)
 
-    ranged = leaves.repartitionByRange("lang", F.substring(F.col("term").cast("binary"), 1, PREFIX))
-    return ranged.sortWithinPartitions("lang", "term").mapInArrow(run, BLOCKS)
+    whole = F.sum("docs").over(Window.partitionBy("lang", "term"))  # within the ranges: no other shuffle
+    ranged = leaves.repartitionByRange("lang", "term").withColumn("all_docs", whole).where(F.col("all_docs") >= least)
+    return ranged.sortWithinPartitions("lang", "term").drop("all_docs").mapInArrow(run, BLOCKS)
 
 
 def probability(counts: np.ndarray, totals: np.ndarray, kept: int) -> np.ndarray:
