@@ -34,9 +34,9 @@ SHORT = 96
 #: Words that take their steps side by side.
 SIDE = 4096
 #: Words that a worker remembers, 200 bytes or so each, and the longest of them.
-REMEMBERED, REMEMBERED_CHARS = 250_000, 48
+REMEMBERED, REMEMBERED_CHARS = 200_000, 48
 #: Characters of the rows that are encoded and given out together; a longer text is a batch of its own.
-STEP_CHARS = 1 << 20
+STEP_CHARS = 1 << 19
 
 # What the tokenizer's Unicode tables (letters and numbers of 16, capitals of 17, composition of 9) have
 # otherwise than those of Python 3.13 (15.1), as first and last code point --------------------------------------------
@@ -275,9 +275,11 @@ def specification(path: str | None = None) -> bytes:
     return Path(path).read_bytes()
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids) for each row; ids are packed as in a training file: little-endian, 4 bytes each."""
+def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids) for each row; ids are packed as in a training file: little-endian, 4 bytes each. decoded:
+    with a column of that name, what the ids decode to, in the same pass over the rows."""
     spec = specification(path)
+    names = ["doc_id", "n_tokens", "ids", *(["decoded"] if decoded else [])]
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,10 +292,12 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                 if size >= STEP_CHARS or i == len(batch) - 1:
                     ids = bpe.encode_many(texts)
                     counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(ids)), counts, pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+                    columns = [batch.column(0).slice(start, len(ids)), counts, pa.array(ids, pa.binary())]
+                    columns += [pa.array([bpe.decode(x) for x in ids], pa.string())] if decoded else []
+                    yield pa.RecordBatch.from_arrays(columns, names)
                     texts, size, start = [], 0, i + 1
 
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids binary" + (", decoded string" if decoded else ""))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -312,5 +316,5 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = decode(encode(documents(spark, sf_dir)))
+    held = encode(documents(spark, sf_dir), decoded=True)
     return held.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

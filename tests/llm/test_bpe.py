@@ -85,6 +85,8 @@ def test_defined_cases(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids int").repartition(2)
     held = m.decode(m.encode(docs)).collect()
     assert sorted((x.doc_id or 0, x.n_tokens, x.decoded[:12]) for x in held) == [(0, 1, "x</w>"), (1, 0, ""), (2, 0, ""), (3, 0, ""), (4, 2, "same</w> tex"), (4, 2, "same</w> tex"), (5, 60_000, "word</w> wor")]
+    both = m.encode(docs, decoded=True)
+    assert sorted(map(tuple, both.na.fill(0).collect())) == sorted((x.doc_id or 0, x.n_tokens, x.ids, x.decoded) for x in held)
     assert m.encode(docs.limit(0)).count() == 0
     with_more = docs.select("doc_id", "text", "ids", docs["ids"].alias("n_tokens"), docs["ids"].alias("decoded"))
     assert m.decode(m.encode(with_more)).columns == ["doc_id", "n_tokens", "ids", "decoded"]
