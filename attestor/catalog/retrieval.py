@@ -9,6 +9,8 @@ from ..functions.stats import wilson
 from ..functions.text import folded, tokenize
 from ..operators import index as ix
 from ..operators import search as se
+from ..operators.dense import dense_top
+from .store import code_of, kind_of, shown, store_of
 from .tables import SQL_INDEX, read, sql_tokens
 
 
@@ -41,7 +43,7 @@ def term_idf(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_top5(spark: SparkSession, d: str) -> DataFrame:
-    scored = index_of(spark, d, queries_of(spark, d)).scores(se.terms_of(queries_of(spark, d)))
+    _, scored, _ = store_of(spark, d).lists(queries_of(spark, d), dense=False, numbers=False)
     return se.top(scored, "score", 5).select("qid", F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), "score")
 
 
@@ -60,38 +62,29 @@ def hash_embed(spark: SparkSession, d: str) -> DataFrame:
 def dense_top10(spark: SparkSession, d: str) -> DataFrame:
     """Every vector whose id is divisible by 50 against all vectors."""
     v = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    scored = se.dense_scores(v, v.where("id % 50 = 0"))
+    scored = dense_top(v, v.where("id % 50 = 0").withColumnRenamed("id", "qid"), 10)
     return se.top(scored, "score", 10).select("qid", F.col("id").alias("vec_id"), F.col("rank").cast("long").alias("rank"), "score")
 
 
 def dense_filtered_top5(spark: SparkSession, d: str) -> DataFrame:
     """The same within the rows of the query's label: an equality join, not a product."""
     v = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    scored = se.dense_scores(v, v.where("id % 50 = 0"), on="label")
+    scored = dense_top(v, v.where("id % 50 = 0").withColumnRenamed("id", "qid"), 5, ("label",))
     return se.top(scored, "score", 5).select("qid", F.col("id").alias("vec_id"), F.col("rank").cast("long").alias("rank"), "score")
 
 
 def _lists(spark: SparkSession, d: str):
-    docs, asked = read(spark, d, "documents"), queries_of(spark, d)
-    index = index_of(spark, d, asked)
-    vectors, qv = ix.embed(docs), ix.embed(asked, "qid")
-    terms = se.terms_of(asked)
-    return se.dense_scores(vectors, qv), index.scores(terms), index.figure_scores(terms)
-
-
-def _hits(df: DataFrame) -> DataFrame:
-    ranks = [F.col(c).cast("long").alias(c) for c in ("rank", "dense_rank", "bm25_rank", "number_rank")]
-    return df.select("qid", F.col("id").alias("doc_id"), *ranks, "score", "pinned")
+    return store_of(spark, d).lists(queries_of(spark, d))
 
 
 def rrf_hybrid_top5(spark: SparkSession, d: str) -> DataFrame:
     dense, bm25, _ = _lists(spark, d)
-    return _hits(se.fuse(dense, bm25, None, 5))
+    return shown(se.fuse(dense, bm25, None, 5))
 
 
 def rrf_pinned_top5(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: dense, lexical and figure lists fused, rare figures pinned."""
-    return _hits(se.fuse(*_lists(spark, d), 5))
+    return shown(se.fuse(*_lists(spark, d), 5))
 
 
 def ablation_overlap(spark: SparkSession, d: str) -> DataFrame:
@@ -109,15 +102,12 @@ def ablation_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 def routed_gather(spark: SparkSession, d: str) -> DataFrame:
     """Documents play chunks, their source the section, the item's number the kind of claim."""
-    docs = read(spark, d, "documents")
-    scored = index_of(spark, d, queries_of(spark, d)).scores(se.terms_of(queries_of(spark, d)))
-    codes = F.element_at(F.array(*[F.lit(c) for c in sorted({c for v in se.ROUTES.values() for c in v})]), (F.col("doc_id") % 7 + 1).cast("int"))
-    of = docs.select(F.col("doc_id").alias("id"), codes.alias("code"))
+    held = store_of(spark, d)
+    _, scored, _ = held.lists(queries_of(spark, d), dense=False, numbers=False)
     hits = se.top(scored, "score", 5)
-    governed = scored.join(of, "id")
+    governed = scored.withColumn("code", code_of(F.col("id")))
     governed = governed.withColumn("rank", F.row_number().over(Window.partitionBy("qid", "code").orderBy(F.desc("score"), "id"))).where("rank <= 8")
-    names = F.try_element_at(F.array(*[F.lit(k) for k in sorted(se.ROUTES)]), (F.col("qid") % 6 + 1).cast("int"))
-    kinds = queries_of(spark, d).select("qid", names.alias("kind"))
+    kinds = queries_of(spark, d).select("qid", kind_of(F.col("qid")).alias("kind"))
     out = se.gather(hits, governed, kinds)
     return out.select("qid", F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), "routed")
 

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from ..functions.text import hash_bucket, tokenize
 
 K1, B = 1.2, 0.75
+NUMBER_TERM = r"^\d+(?:[.,]\d+)*$"
+
+
+def okapi(idf: Column, tf: Column, doc_len: Column, avgdl: Column) -> Column:
+    """The weight of one term in one document."""
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * doc_len / avgdl))
 
 
 @dataclass(frozen=True)
@@ -48,8 +54,8 @@ class LexicalIndex:
 
         The side of the query terms is small or not as the session's statistics say; postings are read by term."""
         known = queries.join(self.terms, "term").join(F.broadcast(self.corpus.select("avgdl")))
-        norm = F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avgdl"))
-        return self.postings.join(known, "term").select("qid", "id", "term", "df", "idf", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("w"))
+        w = okapi(F.col("idf"), F.col("tf"), F.col("doc_len"), F.col("avgdl"))
+        return self.postings.join(known, "term").select("qid", "id", "term", "df", "idf", w.alias("w"))
 
     def scores(self, queries: DataFrame) -> DataFrame:
         """(qid, id, score), Okapi BM25, every query term once; documents without a term are left out."""
@@ -58,7 +64,7 @@ class LexicalIndex:
     def figure_scores(self, queries: DataFrame) -> DataFrame:
         """(qid, id, weight, rare) for the numeric terms: sum of idf; rare: one of the query's numbers is in at most
         RARE documents of the corpus."""
-        numeric = queries.where(F.col("term").rlike(r"^\d+(?:[.,]\d+)*$"))
+        numeric = queries.where(F.col("term").rlike(NUMBER_TERM))
         hits = self.matches(numeric)
         rare = numeric.join(self.terms, "term").groupBy("qid").agg(F.max(F.col("df") <= RARE).alias("rare"))
         return hits.groupBy("qid", "id").agg(F.round(F.sum("idf"), 6).alias("weight")).join(rare, "qid")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import dot, query_terms
-from .index import LexicalIndex
+from ..functions.text import query_terms
+from .dense import dense_top
+from .index import NUMBER_TERM, LexicalIndex, okapi  # noqa: F401  the store takes all three from here
 
 # Fixed values ---------------------------------------------------------------------------------------------------
 RRF_K, DEPTH, PINS = 60, 50, 2
@@ -25,8 +26,6 @@ CONFIGS = {
     "hybrid+figures": {},
 }
 # -----------------------------------------------------------------------------------------------------------------
-#: Vectors of a query block in dense search: a block meets every row once.
-BLOCK = 256
 
 
 def top(scored: DataFrame, score: str, depth: int = DEPTH, rank: str = "rank") -> DataFrame:
@@ -39,30 +38,25 @@ def terms_of(queries: DataFrame, key: str = "qid", text: str = "text") -> DataFr
     return queries.select(F.col(key).alias("qid"), F.explode(query_terms(F.col(text))).alias("term"))
 
 
-def dense_scores(vectors: DataFrame, queries: DataFrame, on: str | None = None) -> DataFrame:
-    """(qid, id, score) by dot product of a stated query set with every row, in blocks of queries. on: a column that
-    both have to agree in (a label filter): then only those rows meet, by an equality join."""
-    q = queries.select(F.col("id").alias("qid"), F.col("embedding").alias("q"), *([on] if on else []))
-    if on:
-        pairs = vectors.join(q, on)
-    else:
-        count = max(1, -(-q.count() // BLOCK))
-        block = F.pmod(F.xxhash64("qid"), F.lit(count))
-        blocks = q.withColumn("block", block).groupBy("block").agg(F.collect_list(F.struct("qid", "q")).alias("qs"))
-        pairs = vectors.crossJoin(blocks).select("id", "embedding", F.explode("qs").alias("x")).select("id", "embedding", "x.qid", "x.q")
-    return pairs.select("qid", "id", F.round(dot(F.col("embedding"), F.col("q")), 6).alias("score"))
+def pair_scores(pairs: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, id, score) by dot product of stated pairs (qid, id)."""
+    met = pairs.select("qid", "id").join(vectors, "id").join(queries.select("qid", F.col("embedding").alias("q")), "qid")
+    score = F.aggregate(F.zip_with("embedding", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda x, y: x + y)
+    return met.select("qid", "id", F.round(score, 6).alias("score")).where("score is not null")
 
 
-def fuse(dense: DataFrame | None, bm25: DataFrame | None, figures: DataFrame | None, k: int, pin: bool = True) -> DataFrame:
+def fuse(dense: DataFrame | None, bm25: DataFrame | None, figures: DataFrame | None, k: int, pin: bool = True, ties: DataFrame | None = None) -> DataFrame:
     """(qid, id, rank, score, dense_rank, bm25_rank, number_rank, pinned): sum of 1 / (60 + rank) over the lists; if a
-    query has a rare number, the first two of the number list come before all others."""
+    query has a rare number, the first two of the number list come before all others. ties: the lexical scores that
+    order equal numbers, if bm25 is no list of its own."""
+    ties = bm25 if ties is None else ties
     lists = []
     if dense is not None:
         lists.append(top(dense, "score").select("qid", "id", F.lit("dense").alias("list"), "rank", F.lit(False).alias("rare")))
     if bm25 is not None:
         lists.append(top(bm25.where("score > 0"), "score").select("qid", "id", F.lit("bm25").alias("list"), "rank", F.lit(False).alias("rare")))
     if figures is not None:
-        tied = figures.join(bm25, ["qid", "id"], "left") if bm25 is not None else figures.withColumn("score", F.lit(0.0))
+        tied = figures.join(ties, ["qid", "id"], "left") if ties is not None else figures.withColumn("score", F.lit(0.0))
         tied = tied.withColumn("tied", F.round(F.col("weight") + 1e-6 * F.coalesce("score", F.lit(0.0)), 9))
         lists.append(top(tied, "tied").select("qid", "id", F.lit("number").alias("list"), "rank", "rare"))
     every = lists[0]
@@ -88,7 +82,10 @@ def hybrid(index: LexicalIndex, vectors: DataFrame | None, queries: DataFrame, q
     keep = (lambda df: df.join(allowed, [c for c in ("qid", "id") if c in allowed.columns], "left_semi")) if allowed is not None else (lambda df: df)
     bm25 = keep(index.scores(terms)) if on["bm25"] or on["numbers"] else None
     figures = keep(index.figure_scores(terms)) if on["numbers"] else None
-    dense = keep(dense_scores(vectors, query_vectors)) if on["dense"] and vectors is not None else None
+    dense = None
+    if on["dense"] and vectors is not None:
+        asked = query_vectors.withColumnRenamed("id", "qid")
+        dense = dense_top(keep(vectors), asked, DEPTH) if allowed is None or "qid" not in allowed.columns else pair_scores(allowed, vectors, asked)
     return fuse(dense, bm25 if on["bm25"] else None, figures, k)
 
 

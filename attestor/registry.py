@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .catalog import evaluation, labels, retrieval, service, text
+from .catalog import evaluation, labels, retrieval, service, store, text
 
 FLAGSHIP = "rrf_pinned_top5"
-_ALL = {**retrieval.QUERIES, **text.QUERIES, **service.QUERIES, **evaluation.QUERIES, **labels.QUERIES}
+_ALL = {**retrieval.QUERIES, **store.QUERIES, **text.QUERIES, **service.QUERIES, **evaluation.QUERIES, **labels.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
