@@ -1,6 +1,7 @@
 """How the sources of a language differ in their words: mergeable radix tries of terms, and the query op11.
 
-Each partition counts its terms in byte tries, one a language, whose leaves have a counter for each source and one for
+A first pass counts documents in a hash table of fixed size, which rules out most rare terms, and none that is kept.
+Then each partition counts its terms in byte tries, one a language, whose leaves have a counter for each source and one for
 documents. A trie that reaches a bound is given out and begun anew, so that memory does not grow with the partition. The
 leaves are dealt out by ranges of the terms; leaves of terms that have too few documents in all partitions together,
 which are most of them, go there. A task gets the rest of its range in UTF-8 order and merges it in a trie again, stretch
@@ -21,6 +22,7 @@ only text, language and source are read.
 from __future__ import annotations
 
 import gc
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -34,8 +36,10 @@ from .common import discard, documents, staged
 LEAST_DOCUMENTS, TOP, SCALE = 10, 10, 1_000_000_000
 #: A partition's tries are given out when they hold so many counters, or bytes of terms.
 COUNTERS, TERM_BYTES = 400_000, 1 << 26
-#: Characters of text whose words are counted before they enter the tries.
-STEP_CHARS = 1 << 23
+#: Terms that are counted before they enter the tries.
+STEP_TERMS = 1 << 20
+#: Slots of the table that tells which terms may be kept (1 MB as bits), and those that are added together.
+SLOTS, SLOT_BLOCK = 1 << 23, 1 << 16
 #: Kept terms of a block, and entries of a step's matrices.
 BLOCK, ENTRIES = 2048, 1 << 18
 #: Groups up to which their totals are broadcast, 60 bytes or so each; beyond it they are joined.
@@ -149,22 +153,84 @@ def _leaves(lang: str, trie: Trie) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """The leaves of the partitions' tries; a term may come from many partitions."""
+def _terms(text) -> list[bytes]:
+    """The terms of an Arrow string."""
+    return text.as_buffer().to_pybytes().translate(_TERMS).split()
+
+
+def _slots(lang: str, terms: list[bytes], n: int) -> np.ndarray:
+    """In a table of n slots, a power of two."""
+    start = zlib.crc32(lang.encode() + b"\0")
+    return np.fromiter((zlib.crc32(t, start) for t in terms), np.int64, len(terms)) & (n - 1)
+
+
+def possible(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> np.ndarray:
+    """Which slots of a hash table of fixed size have enough documents: a term of a slot that has not is never kept. The
+    slots of more terms than there are slots say less, but never too little.
+
+    A task's table is 8 MB; tables are added slot block by slot block, in a stream; the driver gets a bit for each slot."""
+    most = min(least, 255)
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, seen, size = np.zeros(SLOTS, np.uint32), defaultdict(Counter), 0
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if terms := _terms(text):
+                    seen[lang].update(set(terms))
+                    size += len(terms)
+                if size >= STEP_TERMS:
+                    _enter(table, seen, most)
+                    size = 0
+        _enter(table, seen, most)
+        blocks = table.astype(np.uint8).reshape(-1, SLOT_BLOCK)
+        for i in np.flatnonzero(blocks.any(axis=1)):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([blocks[i].tobytes()])], ["block", "counts"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, total = -1, np.zeros(SLOT_BLOCK, np.uint16)
+
+        def given() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(total >= most).tobytes()])], ["block", "bits"])
+
+        for batch in batches:
+            for i, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if i != block:
+                    if block >= 0:
+                        yield given()
+                    block, total = i, np.zeros(SLOT_BLOCK, np.uint16)
+                total = np.minimum(total + np.frombuffer(counts.as_buffer(), np.uint8), most).astype(np.uint16)
+        if block >= 0:
+            yield given()
+
+    found = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "text"))).mapInArrow(tables, "block int, counts binary")
+    out = np.zeros(SLOTS, bool).reshape(-1, SLOT_BLOCK)
+    for r in found.repartition("block").sortWithinPartitions("block").mapInArrow(added, "block int, bits binary").collect():
+        out[r["block"]] = np.unpackbits(np.frombuffer(r["bits"], np.uint8))
+    return out.ravel()
+
+
+def _enter(table: np.ndarray, seen: dict[str, Counter], most: int) -> None:
+    for lang, counter in seen.items():
+        np.add.at(table, _slots(lang, list(counter), len(table)), np.minimum(np.fromiter(counter.values(), np.int64, len(counter)), most).astype(np.uint32))
+    np.minimum(table, most, out=table)
+    seen.clear()
+
+
+def counted(docs: DataFrame, slots: np.ndarray) -> DataFrame:
+    """The leaves of the partitions' tries, of terms in slots that may be kept; a term may come from many partitions."""
+    bits = np.packbits(slots).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[str, Trie] = defaultdict(Trie)
+        allowed = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
 
         def enter(words: dict[str, dict[str, Counter]], seen: dict[str, Counter]) -> None:
             for lang, by_source in words.items():
-                by_term: dict[bytes, dict[str, int]] = {}
+                docs_with, trie, terms = seen[lang], tries[lang], list(seen[lang])
+                by_term: dict[bytes, dict[str, int]] = {t: {} for t, ok in zip(terms, allowed[_slots(lang, terms, len(allowed))].tolist()) if ok}
                 for source, counter in by_source.items():
-                    for term, n in counter.items():
-                        if term in by_term:
-                            by_term[term][source] = n
-                        else:
-                            by_term[term] = {source: n}
-                docs_with, trie = seen[lang], tries[lang]
+                    for term in by_term.keys() & counter.keys():
+                        by_term[term][source] = counter[term]
                 for term, counts in by_term.items():
                     trie.add(term, counts, docs_with[term])
 
@@ -174,13 +240,11 @@ def counted(docs: DataFrame) -> DataFrame:
             words: dict = defaultdict(lambda: defaultdict(Counter))
             seen: dict = defaultdict(Counter)
             for i, text in enumerate(batch.column(2)):
-                text = text.as_buffer()
-                terms = text.to_pybytes().translate(_TERMS).split() if text else []
-                if terms:
+                if terms := _terms(text):
                     words[langs[i]][sources[i]].update(terms)
                     seen[langs[i]].update(set(terms))
-                    size += len(text)
-                if size >= STEP_CHARS or i == len(batch) - 1:
+                    size += len(terms)
+                if size >= STEP_TERMS or i == len(batch) - 1:
                     enter(words, seen)
                     words.clear(), seen.clear()
                     size = 0
@@ -333,7 +397,7 @@ def _figures(met: DataFrame) -> DataFrame:
 def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """(lang, source, part, item, value, rank): each source's divergence from the others of its language, and the terms that
     set it apart from the whole language."""
-    leaves = staged(counted(docs), "op11-leaves")
+    leaves = staged(counted(docs, possible(docs, least)), "op11-leaves")
     blocks = staged(merged(leaves, least), "op11-blocks")
     discard(leaves)
     totals = staged(_totals(docs, blocks), "op11-totals")

@@ -57,7 +57,7 @@ def found(spark, rows, **options):
     return m.audit(docs, **options).collect()
 
 
-@pytest.mark.parametrize("bounds", [{}, {"COUNTERS": 5, "BLOCK": 3, "ENTRIES": 8, "STEP_CHARS": 40, "BROADCAST_GROUPS": 0}, {"SUMMED_SOURCES": 1, "TERM_BYTES": 100}])
+@pytest.mark.parametrize("bounds", [{}, {"COUNTERS": 5, "BLOCK": 3, "ENTRIES": 8, "STEP_TERMS": 40, "SLOTS": 64, "SLOT_BLOCK": 16, "BROADCAST_GROUPS": 0}, {"SUMMED_SOURCES": 1, "TERM_BYTES": 100}])
 def test_equals_brute_force(spark, monkeypatch, bounds):
     for k, v in bounds.items():
         monkeypatch.setattr(m, k, v)
@@ -71,6 +71,18 @@ def test_query_equals_sql(spark):
     oracle.compare(spark, SF, m.op11_divergence, m.SQL)
 
 
+def test_slots_rule_out_no_kept_term(spark):
+    rows = made(random.Random(3), 200)
+    docs = spark.createDataFrame(rows, "text string, lang string, source string").repartition(5)
+    slots = m.possible(docs, 7)
+    seen = defaultdict(Counter)
+    for text, lang, _ in rows:
+        seen[lang or ""].update(set((text or "").encode().translate(m._TERMS).split()))
+    for lang, counter in seen.items():
+        ok = dict(zip(counter, slots[m._slots(lang, list(counter), len(slots))]))
+        assert all(ok[t] for t, n in counter.items() if n >= 7) and sum(ok.values()) == sum(n >= 7 for n in counter.values())
+
+
 def test_trie_holds_terms_in_order_and_merges():
     r = random.Random(4)
     terms = [bytes(r.choice(b"ab\xc3\xa9") for _ in range(r.randint(1, 7))) for _ in range(3000)]
