@@ -2,10 +2,9 @@
 
 A first pass counts documents in a hash table of fixed size, which rules out most rare terms, and none that is kept.
 Then each partition counts its terms in byte tries, one a language, whose leaves have a counter for each source and one for
-documents. A trie that reaches a bound is given out and begun anew, so that memory does not grow with the partition. The
-leaves are dealt out by ranges of the terms; leaves of terms that have too few documents in all partitions together,
-which are most of them, go there. A task gets the rest of its range in UTF-8 order and merges it in a trie again, stretch
-by stretch. The terms are kept in blocks. A second walk over the blocks, with the totals of the groups at hand,
+documents. A trie that reaches a bound is given out and begun anew, so that memory does not grow with the partition. A walk
+gives its leaves in UTF-8 order; they are dealt out by ranges of the terms, and a task merges the leaves of its range from
+all tries in that order. Terms in enough documents of the language are kept, in blocks. A second walk over the blocks, with the totals of the groups at hand,
 adds up the divergence of each pair of sources and keeps each group's first candidates; as it goes in UTF-8 order, of
 equal values the first one met wins.
 
@@ -28,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -265,44 +265,54 @@ BLOCKS = "lang string, terms array<string>, sizes array<int>, sources array<stri
 
 def merged(leaves: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """Blocks of terms that at least so many documents of their language have, in UTF-8 order within a task: terms, how
-    many sources each has, and these sources and counts one after the other."""
+    many sources each has, and these sources and counts one after the other.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, block, lang, last = Trie(), [], None, None
-
-        def given() -> pa.RecordBatch:
-            flat = [x for _, counts in block for x in counts.items()]
-            columns = [[lang], [[t.decode() for t, _ in block]], [[len(c) for _, c in block]], [[s for s, _ in flat]], [[n for _, n in flat]]]
-            kinds = (pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["lang", "terms", "sizes", "sources", "counts"])
-
-        def walked(all_: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal trie, block
-            for term, counts, docs in trie.leaves():
-                if docs >= least:
-                    block.append((term, counts))
-                    if len(block) == BLOCK:
-                        yield given()
-                        block = []
-            trie = Trie()
-            if all_ and block:
-                yield given()
-                block = []
+    The leaves of all tries come in one order, so that those of a term stand side by side: a merge adds up neighbours. It
+    holds one batch, and the last term's sums until the next batch."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if row[0] != lang:
-                    yield from walked(True)
-                    lang, last = row[0], None
-                elif row[1] != last and (trie.counters > COUNTERS or trie.bytes > TERM_BYTES):
-                    yield from walked(False)
-                last = row[1]
-                trie.add(row[1].encode(), dict(zip(row[2], row[3])), row[4])
-        yield from walked(True)
-
-    whole = F.sum("docs").over(Window.partitionBy("lang", "term"))  # within the ranges: no other shuffle
-    ranged = leaves.repartitionByRange("lang", "term").withColumn("all_docs", whole).where(F.col("all_docs") >= least)
-    return ranged.sortWithinPartitions("lang", "term").drop("all_docs").mapInArrow(run, BLOCKS)
+            rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+            whole = _summed(rows)
+            held = whole.slice(len(whole) - 1)
+            yield from _blocks(whole.slice(0, len(whole) - 1), least)
+        if held is not None:
+            yield from _blocks(held, least)
+
+    return leaves.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(run, BLOCKS)
+
+
+def _summed(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Leaves in order, with those of one term added up: counts by source, documents in all."""
+    lang, term, sources, counts, docs = rows.columns
+    new = np.ones(len(rows), bool)
+    new[1:] = pc.or_(pc.not_equal(term.slice(1), term.slice(0, len(rows) - 1)), pc.not_equal(lang.slice(1), lang.slice(0, len(rows) - 1)))
+    starts = np.flatnonzero(new)
+    names = sources.flatten().dictionary_encode()
+    leaf = np.repeat(np.cumsum(new) - 1, np.asarray(sources.value_lengths()))
+    key = leaf * len(names.dictionary) + np.asarray(names.indices)
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.diff(key[order], prepend=-1))
+    totals = np.add.reduceat(np.asarray(counts.flatten())[order], first)
+    sizes = np.bincount(leaf[order][first], minlength=len(starts))
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    named = names.dictionary.take(names.indices.take(pa.array(order[first])))
+    at = pa.array(starts)
+    columns = [lang.take(at), term.take(at), pa.ListArray.from_arrays(offsets, named), pa.ListArray.from_arrays(offsets, pa.array(totals)), pa.array(np.add.reduceat(np.asarray(docs), starts))]
+    return pa.RecordBatch.from_arrays(columns, ["lang", "term", "sources", "counts", "docs"])
+
+
+def _blocks(leaves: pa.RecordBatch, least: int) -> Iterator[pa.RecordBatch]:
+    """The leaves with enough documents, a block for each language of the batch."""
+    leaves = leaves.filter(pc.greater_equal(leaves.column(4), least))
+    for lang in pc.unique(leaves.column(0)).to_pylist():
+        part = leaves.filter(pc.equal(leaves.column(0), lang))
+        for i in range(0, len(part), BLOCK):
+            _, term, sources, counts, _ = part.slice(i, BLOCK).columns
+            one = [term, sources.value_lengths(), sources.flatten(), counts.flatten()]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in one]
+            yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), *lists], ["lang", "terms", "sizes", "sources", "counts"])
 
 
 def probability(counts: np.ndarray, totals: np.ndarray, kept: int) -> np.ndarray:
