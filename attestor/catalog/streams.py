@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_dir
+from ..sources.shared import made_once
 from ..streaming import budget as bu
 from .tables import read
 
@@ -35,18 +33,22 @@ def budget_patient(spark: SparkSession, d: str) -> DataFrame:
 
 def budget_stream(spark: SparkSession, d: str) -> DataFrame:
     """The same calls as a stream that is fed in three parts and restarted for each: the rows of budget_decisions."""
-    at, columns = f"{shared_dir(spark)}/attestor/budget-{uuid.uuid4().hex}", [c.split()[0] for c in CALLS.split(", ")]
-    calls = calls_of(spark, d)
-    cuts = [0.0, *calls.select(F.col("ts").cast("double").alias("t")).approxQuantile("t", [1 / 3, 2 / 3], 0.01), 1e18]
+    at = made_once(spark, "budget", [f"{d}/events.parquet"], lambda path: replay(calls_of(spark, d), path))
+    return spark.read.schema(bu.DECISIONS).parquet(f"{at}/out").where("model <> '~'")
+
+
+def replay(calls: DataFrame, at: str) -> None:
+    spark, columns = calls.sparkSession, [c.split()[0] for c in CALLS.split(", ")]
+    cuts = [0.0, *(calls.select(F.col("ts").cast("double").alias("t")).approxQuantile("t", [1 / 3, 2 / 3], 0.01) or [0.0, 0.0]), 1e18]
     last = calls.agg((F.max("ts") + F.expr("interval 1 day")).alias("ts"))  # moves the watermark past all others
     nulls = [F.lit(None).cast(t).alias(c) for c, t in (("used", "long"), ("budget", "long"), ("retry_after", "double"))]
     last = last.select(F.lit("~").alias("model"), F.lit(-1).cast("long").alias("call"), "ts", F.lit(0).cast("long").alias("need"), *nulls)
-    parts = [calls.where(F.col("ts").cast("double").between(low, high) & (F.col("ts").cast("double") != high)) for low, high in zip(cuts, cuts[1:])]
-    for part in [*parts[:2], parts[2].unionByName(last)] if len(parts) == 3 else []:
+    at_time = F.col("ts").cast("double")
+    parts = [calls.where((at_time >= low) & (at_time < high)) for low, high in zip(cuts, cuts[1:])]
+    for part in [*parts[:2], parts[2].unionByName(last)]:
         part.select(*columns).coalesce(1).write.mode("append").parquet(f"{at}/in")
         stream = bu.decision_stream(spark.readStream.schema(CALLS).parquet(f"{at}/in"))
         stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
-    return spark.read.schema(bu.DECISIONS).parquet(f"{at}/out").where("model <> '~'") if len(parts) == 3 else spark.createDataFrame([], bu.DECISIONS)
 
 
 QUERIES = {"budget_decisions": (budget_decisions, None), "budget_patient": (budget_patient, None), "budget_stream": (budget_stream, None)}

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import tokenize
+from ..sources.shared import staged
 from . import search as se
 from .dense import dense_top
 from .encode import HashModel, Model, encoded
@@ -98,6 +99,7 @@ class LabelStore:
         """The three scored lists (qid, id, score or weight and rare) of queries (qid, text); a list that is off is None.
 
         A query's own filter stands in columns label_keys or top_codes (arrays; null or empty: all)."""
+        queries = staged(queries, "queries")
         own = [(c, a) for c, a in (("label_key", "label_keys"), ("top_code", "top_codes")) if a in queries.columns]
         for column, array in own:
             every = F.array(F.lit(None).cast("string"))
@@ -122,7 +124,7 @@ class LabelStore:
             weighed = sums.where("weight is not null").select("qid", "id", "weight").join(rare, "qid") if numbers else None
         if dense:
             vectors = self.chunks(labels, top_codes).select(F.col("chunk_id").alias("id"), "embedding", *keys)
-            asked = encoded(queries.withColumn("text", F.coalesce("text", F.lit(""))), model or HashModel()).select("qid", "embedding", *keys)
+            asked = staged(encoded(queries, model or HashModel()).select("qid", "embedding", *keys), "vectors")
             near = self._near(vectors, asked, keys, depth)
         return near, scored, weighed
 
@@ -130,9 +132,9 @@ class LabelStore:
         """Queries without a filter of their own meet all rows, the others those that agree."""
         if not keys:
             return dense_top(vectors, asked, depth)
-        out = None
-        for mask in range(1 << len(keys)):
-            on = tuple(c for i, c in enumerate(keys) if mask >> i & 1)
+        out, given = None, [F.col(c).isNotNull().alias(c) for c in keys]
+        for mask in asked.select(*given).distinct().collect() or [[True] * len(keys)]:  # four kinds at most
+            on = tuple(c for c, yes in zip(keys, mask) if yes)
             part = asked
             for c in keys:
                 part = part.where(F.col(c).isNotNull() if c in on else F.col(c).isNull())
@@ -148,11 +150,11 @@ class LabelStore:
     def production(self, claims: DataFrame, k: int = 5, model: Model | None = None, labels: list[str] | None = None) -> DataFrame:
         """What a reviewer's judge is shown: hits of the full search, after the best chunks of the sections that govern a
         claim's kind. claims: qid, text, kind, and filters of their own as in lists."""
-        hits = self.search(claims, k, model, labels)
+        hits = staged(self.search(claims, k, model, labels), "hits")
         routes = claims.sparkSession.createDataFrame([(kind, codes) for kind, codes in se.ROUTES.items()], "kind string, codes array<string>")
         routed = claims.join(F.broadcast(routes), "kind").withColumn("code", F.explode("codes"))
         named = routed.withColumn("qid_code", F.to_json(F.struct("qid", "code")))
         asked = named.select(F.col("qid_code").alias("qid"), "text", F.array("code").alias("top_codes"), *(["label_keys"] if "label_keys" in claims.columns else []))
-        governed = self.search(asked, se.ROUTED + 1, model, labels).withColumnRenamed("qid", "qid_code")
+        governed = staged(self.search(staged(asked, "asked"), se.ROUTED + 1, model, labels), "governed").withColumnRenamed("qid", "qid_code")
         governed = governed.join(named.select("qid_code", "qid", "code"), "qid_code").select("qid", "id", "code", "rank", "score")
         return se.gather(hits.select("qid", "id", "rank"), governed, claims.select("qid", "kind"), k)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[tuple[str, str, str], str] = {}
 
@@ -22,6 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """A table that several later steps read, written to the shared folder and read again: it is computed once, and a lost
+    executor costs no more than one step."""
+    path = f"{shared_dir(df.sparkSession)}/attestor/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fingerprint(spark: SparkSession, *paths: str) -> str:
     """Names, sizes and times of the files below paths: it changes when one of the tables is written anew."""
     jvm, conf, seen = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
