@@ -45,6 +45,28 @@ def section_asof(spark: SparkSession, d: str) -> DataFrame:
     return out.select("label_key", "at", "doc_id", "sec_start")
 
 
+def fixed_label_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Windows over each source's documents as one label."""
+    s = ch.section_offsets(_sections(spark, d)).withColumn("version", F.lit(1))
+    out = ch.fixed_chunks(s)
+    return out.select("chunk_id", F.col("section_index").alias("doc_id"), "start", "end", "doc_start", "doc_end", F.md5("text").alias("md5"))
+
+
+_FIXED = r"""
+WITH sec AS (SELECT source AS label, doc_id, text, coalesce(sum(length(text) + 2) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS st FROM documents),
+doc AS (SELECT label, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS doc FROM sec GROUP BY label),
+p AS (SELECT label, regexp_extract_all(doc, '\S+') AS ws, regexp_extract_all(doc, '\s+') AS gs, regexp_matches(doc, '^\s') AS lead FROM doc),
+w AS (SELECT label, unnest(list_transform(ws, lambda x: length(x))) AS n, generate_subscripts(ws, 1) AS i FROM p),
+g AS (SELECT label, unnest(list_transform(gs, lambda x: length(x))) AS n, generate_subscripts(gs, 1) + CASE WHEN lead THEN 0 ELSE 1 END AS i FROM p),
+o AS (SELECT w.label, w.i, w.n, (sum(w.n) OVER z - w.n + sum(coalesce(g.n, 0)) OVER z)::BIGINT AS s FROM w LEFT JOIN g ON w.label = g.label AND w.i = g.i WINDOW z AS (PARTITION BY w.label ORDER BY w.i)),
+t AS (SELECT label, count(*) AS total FROM w GROUP BY label),
+k AS (SELECT label, total, unnest(range(0, greatest(1, total - 30), 150)) AS i FROM t),
+c AS (SELECT k.label, k.i // 150 AS n, a.s AS doc_start, b.s + b.n AS doc_end FROM k JOIN o a ON a.label = k.label AND a.i = k.i + 1 JOIN o b ON b.label = k.label AND b.i = least(k.i + 180, total)),
+x AS (SELECT c.*, sec.doc_id, sec.st, sec.text FROM c ASOF JOIN sec ON c.label = sec.label AND c.doc_start >= sec.st)
+SELECT label || ':v1:fixed:' || n AS chunk_id, doc_id, doc_start - st AS start, least(doc_end - st, length(text)) AS "end", doc_start, doc_end, md5(substring(doc, doc_start + 1, doc_end - doc_start)) AS md5
+FROM x JOIN doc USING (label)"""
+
+
 def embed_text(spark: SparkSession, d: str) -> DataFrame:
     t = ix.embed_text(F.col("source"), F.col("lang"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")), F.when(F.col("n_chars") > 2000, "long").otherwise(""), F.col("text"))
     return _docs(spark, d).select("doc_id", F.md5(t).alias("md5"), F.length(t).cast("long").alias("n"))
@@ -313,6 +335,7 @@ _SEC = "SELECT source AS label_key, doc_id, text, coalesce(sum(length(text) + 2)
 _TEN = ", ".join(quote(p) for _, p in inj.PATTERNS)
 QUERIES = {
     "fixed_chunks": (fixed_chunks, f"WITH w AS (SELECT doc_id, len({_W}) AS total FROM documents), s AS (SELECT doc_id, total, unnest(range(0, greatest(1, total - 30), 150)) AS first FROM w WHERE total > 0) SELECT doc_id, first // 150 AS n, first, least(first + 180, total) - 1 AS last, least(first + 180, total) - first AS n_words FROM s"),
+    "fixed_label_chunks": (fixed_label_chunks, _FIXED),
     "section_offsets": (section_offsets, f"SELECT label_key, doc_id, sec_start FROM ({_SEC})"),
     "label_documents": (label_documents, "SELECT source AS label_key, length(x)::BIGINT AS n_chars, md5(x) AS md5 FROM (SELECT source, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS x FROM documents GROUP BY source)"),
     "section_asof": (section_asof, f"WITH s AS ({_SEC}), m AS (SELECT label_key, floor(max(sec_start) / 2)::BIGINT AS at FROM s GROUP BY ALL) SELECT m.label_key, m.at, s.doc_id, s.sec_start FROM m ASOF JOIN s ON m.label_key = s.label_key AND m.at >= s.sec_start"),

@@ -159,3 +159,69 @@ def section_of(windows: DataFrame, sections: DataFrame, key: str, start: str, at
     names = [c for c in sections.columns if c not in (key, start)]
     met = windows.join(sections, key).where(F.col(start) <= F.col(at))
     return met.groupBy(*windows.columns).agg(F.max_by(F.struct(*names, start), start).alias("s")).select(*windows.columns, "s.*")
+
+
+_SPAN = re.compile(r"\S+")
+
+
+def fixed_chunks(sections: DataFrame, window: int = WINDOW_WORDS, overlap: int = OVERLAP) -> DataFrame:
+    """Sliding word windows over whole labels: chunk_id (key:vN:fixed:n), section_index and the columns of the section in
+    which the window starts, start and end in that section (the end no further than its text), doc_start and doc_end in the
+    label's joined text, and text. sections: label_key, version, section_index, sec_start, text, and columns that are
+    passed on. A label without a word has no chunk.
+
+    No label is ever put together. Running sums tell each section which words of the label are its own; it gives out its
+    piece of each window that reaches into it, and a window is the join of its pieces, 180 words at most."""
+    passed = [c for c in sections.columns if c not in ("text", "sec_start", "section_index", "label_key", "version")]
+    step, whole = window - overlap, sections.schema
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [sum(1 for _ in _SPAN.finditer(t or "")) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(words, pa.int64())], [*batch.schema.names[:2], "n_words"])
+
+    sized = sections.select("label_key", "section_index", "text")
+    sized = sized.mapInArrow(counts, sized.select("label_key", "section_index", F.lit(0).cast("long").alias("n_words")).schema)
+    w = Window.partitionBy("label_key")
+    before = F.coalesce(F.sum("n_words").over(w.orderBy("section_index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sized = sized.withColumns({"before": before, "total": F.sum("n_words").over(w)}).where("total > 0")  # narrow rows only
+    sized = sized.join(sections.select("label_key", "section_index", "sec_start", "text"), ["label_key", "section_index"])
+    kind = whole["section_index"].dataType.simpleString()
+    fields = f"label_key {whole['label_key'].dataType.simpleString()}, section_index {kind}, n long, piece string, doc_start long, doc_end long, starts boolean"
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for label, section, at, text, own, first, total in zip(*(c.to_pylist() for c in batch.columns)):
+                spans, text = [m.span() for m in _SPAN.finditer(text or "")], text or ""
+                last_window = (max(1, total - overlap) - 1) // step
+                low = max(0, -(-(first - window + 1) // step))  # the first window that reaches word `first`
+                for n in range(low, last_window + 1):
+                    i, j = n * step, min(n * step + window, total) - 1
+                    if i >= first + own and not (own == 0 and i < first):
+                        break
+                    if j < first or (own == 0 and i >= first):
+                        continue
+                    s = spans[i - first][0] if i >= first else 0
+                    e = spans[j - first][1] if j < first + own else len(text)
+                    rows.append((label, section, n, text[s:e], at + s if i >= first else None, at + e if j < first + own else None, i >= first))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow = to_arrow_schema(StructType.fromDDL(fields))
+    found = sized.select("label_key", "section_index", "sec_start", "text", "n_words", "before", "total").mapInArrow(pieces, fields)
+    joined = found.groupBy("label_key", "n").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_index", "piece"))), lambda x: x["piece"]), SEPARATOR).alias("text"),
+        F.max("doc_start").alias("doc_start"), F.max("doc_end").alias("doc_end"),
+        F.max(F.when(F.col("starts"), F.col("section_index"))).alias("section_index"),
+    )
+    held = sections.select("label_key", "version", "section_index", "sec_start", *passed, F.length("text").alias("size"))
+    out = joined.join(held, ["label_key", "section_index"])
+    name = F.concat_ws(":", F.col("label_key"), F.concat(F.lit("v"), F.col("version").cast("string")), F.lit("fixed"), F.col("n").cast("string"))
+    return out.select(
+        name.alias("chunk_id"), "label_key", "version", "n", "section_index", *passed, (F.col("doc_start") - F.col("sec_start")).alias("start"),
+        F.least(F.col("doc_end") - F.col("sec_start"), F.col("size")).cast("long").alias("end"), "doc_start", "doc_end", "text",
+    )
