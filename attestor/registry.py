@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .catalog import evaluation, labels, retrieval, reviews, service, store, streams, text
+from .catalog import answers, evaluation, labels, retrieval, reviews, service, store, streams, text
 
 FLAGSHIP = "rrf_pinned_top5"
-_ALL = {**retrieval.QUERIES, **store.QUERIES, **text.QUERIES, **service.QUERIES, **evaluation.QUERIES, **streams.QUERIES, **reviews.QUERIES, **labels.QUERIES}
+_ALL = {**retrieval.QUERIES, **store.QUERIES, **text.QUERIES, **service.QUERIES, **evaluation.QUERIES, **streams.QUERIES, **reviews.QUERIES, **answers.QUERIES, **labels.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
