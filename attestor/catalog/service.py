@@ -63,6 +63,20 @@ def rate_limit_1h(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_id", F.col("trailing").cast("long").alias("in_hour"))
 
 
+def status_tones(spark: SparkSession, d: str) -> DataFrame:
+    """What is shown of each document's status."""
+    q, t = F.col("quality"), F.col("toxic")
+    status = F.when(q.isNull(), None).when(t == 1, "contradicted").when(F.col("doc_id") % 5 == 0, "off_label").when(F.col("doc_id") % 7 == 0, "odd").when(q == 1, "supported").otherwise("unsupported")
+    met = read(spark, d, "documents").select("doc_id").join(read(spark, d, "labels"), "doc_id", "left")
+    return met.select("doc_id", sv.status_shown(status).alias("s")).select("doc_id", "s.label", "s.tone")
+
+
+def tidy_text(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with blank lines and marked signs between their lines."""
+    lines = F.replace("text", F.lit("\n"), F.lit("^®\n \t\n^2^™"))
+    return read(spark, d, "documents").select("doc_id", F.md5(sv.tidy(lines)).alias("md5"), F.length(sv.tidy(lines)).cast("long").alias("n"))
+
+
 def daily_quota(spark: SparkSession, d: str) -> DataFrame:
     return ad.day_quota(read(spark, d, "events"), "ts", F.lit(1)).select(F.col("day").cast("string").alias("day"), "used", "over")
 
@@ -192,6 +206,16 @@ QUERIES = {
     "retention": (retention, "WITH e AS (SELECT event_id, epoch(ts)::BIGINT AS t FROM events), j AS (SELECT event_id, t, CASE WHEN event_id % 3 <> 0 THEN t + 60 END AS fin FROM e) SELECT event_id FROM j WHERE fin IS NULL OR (SELECT max(t) FROM e) - t <= 3600 ORDER BY t DESC, event_id DESC LIMIT 200"),
     "token_ledger_60s": (token_ledger_60s, "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY floor(epoch(ts))::BIGINT RANGE BETWEEN 59 PRECEDING AND CURRENT ROW) AS in_minute FROM events"),
     "rate_limit_1h": (rate_limit_1h, "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY floor(epoch(ts))::BIGINT RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS in_hour FROM events"),
+    "status_tones": (
+        status_tones,
+        "WITH s AS (SELECT doc_id, CASE WHEN quality IS NULL THEN NULL WHEN toxic = 1 THEN 'contradicted' WHEN doc_id % 5 = 0 THEN 'off_label' WHEN doc_id % 7 = 0 THEN 'odd' WHEN quality = 1 THEN 'supported' ELSE 'unsupported' END AS s FROM documents LEFT JOIN labels USING (doc_id)) "
+        "SELECT doc_id, CASE s WHEN 'contradicted' THEN 'Conflicts with label' WHEN 'off_label' THEN 'Off-label' WHEN 'supported' THEN 'Traced to label' WHEN 'unsupported' THEN 'Not in the label' ELSE coalesce(s, 'Checking') END AS label, "
+        "CASE s WHEN 'contradicted' THEN 'conflict' WHEN 'off_label' THEN 'conflict' WHEN 'supported' THEN 'traced' WHEN 'unsupported' THEN 'absent' ELSE CASE WHEN s IS NULL THEN 'pending' ELSE 'reviewer' END END AS tone FROM s",
+    ),
+    "tidy_text": (
+        tidy_text,
+        "WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(replace(text, chr(10), '^®' || chr(10) || ' ' || chr(9) || chr(10) || '^2^™'), '\\^([®™])', '\\1', 'g'), '\\n\\s*\\n', chr(10), 'g') AS x FROM documents) SELECT doc_id, md5(x) AS md5, length(x) AS n FROM t",
+    ),
     "daily_quota": (daily_quota, "SELECT ts::DATE::VARCHAR AS day, count(*) AS used, count(*) > 300 AS over FROM events GROUP BY 1"),
     "admission": (admission, None),
     "token_ledger": (token_ledger, None),

@@ -138,9 +138,37 @@ def audit(reviews: DataFrame, key: str) -> DataFrame:
     return reviews.groupBy(key).agg(F.to_json(F.struct(F.first(key).alias(key), F.count("*").alias("n_claims"), claims.alias("claims"))).alias("audit"))
 
 
-def label_name(products: Column, key: Column) -> Column:
-    """Brands without their presentations (X PEN where X is there), the key's own first, joined by "and"; the key in
-    capitals where there are none."""
+#: What a reader sees of a status, and its tone.
+STATUS = {
+    "supported": ("Traced to label", "traced"),
+    "needs_qualifier": ("Needs a qualifier", "qualifier"),
+    "unsupported": ("Not in the label", "absent"),
+    "contradicted": ("Conflicts with label", "conflict"),
+    "off_label": ("Off-label", "conflict"),
+    "needs_human_review": ("Reviewer decides", "reviewer"),
+}
+PENDING, OTHER_TONE = ("Checking", "pending"), "reviewer"
+
+
+def status_shown(status: Column) -> Column:
+    """struct(label, tone) of a status; null is pending, an unknown one is shown as it is, for a reviewer."""
+    pair = lambda label, tone: F.struct(label.alias("label"), F.lit(tone).alias("tone"))
+    out = F.when(status.isNull(), pair(F.lit(PENDING[0]), PENDING[1]))
+    for name, (label, tone) in STATUS.items():
+        out = out.when(status == name, pair(F.lit(label), tone))
+    return out.otherwise(pair(status, OTHER_TONE))
+
+
+def tidy(text: Column) -> Column:
+    """Label text as a reader expects it: no mark before a trademark sign, no blank lines; null is empty."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\^([®™])", "$1"), r"\n\s*\n", "\n")
+
+
+def label_name(products: Column, key: Column, drug: Column | None = None) -> Column:
+    """The label's drug where it says one, else brands without their presentations (X PEN where X is there), the key's own
+    first, joined by "and"; the key in capitals where there are none."""
+    if drug is not None:
+        return F.coalesce(F.nullif(drug, F.lit("")), label_name(products, key))
     named = F.filter(products, lambda p: p != "")
     names = F.when(F.size(named) > 0, named).otherwise(F.array(F.upper(key)))
     brands = F.filter(names, lambda p: ~F.exists(names, lambda q: (p != q) & F.startswith(p, F.concat(q, F.lit(" ")))))

@@ -44,6 +44,14 @@ def pick(listing: DataFrame, specs: DataFrame) -> DataFrame:
     return met.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def without_hit(listing: DataFrame, specs: DataFrame) -> DataFrame:
+    """(key, message) of drugs for which pick finds nothing, with the titles that were listed: a loader stops at these."""
+    lost = specs.select("key", "manufacturer").join(pick(listing, specs).select("key"), "key", "left_anti")
+    titles = listing.groupBy("key").agg(F.array_join(F.array_sort(F.collect_list("title")), ", ").alias("titles"))
+    message = F.concat(F.col("key"), F.lit(": no label from "), "manufacturer", F.lit(": ["), F.coalesce("titles", F.lit("")), F.lit("]"))
+    return lost.join(titles, "key", "left").select("key", message.alias("message"))
+
+
 def drift(found: DataFrame, pinned: DataFrame) -> DataFrame:
     """(label_key, state): new, gone, changed, newer or same, by digest and version against the pinned manifest."""
     a, b = (df.select("label_key", F.col("xml_sha256").alias(f"sha_{n}"), F.col("version").alias(f"v_{n}")) for df, n in ((found, "now"), (pinned, "pin")))

@@ -71,3 +71,21 @@ def test_review_of_copies(spark):
     assert status[(1, 2)] == ("unsupported", "unsupported")
     events = [(r.doc_id, r.id, r.event) for r in done.events.orderBy("doc_id", "id").collect()]
     assert events == [(1, 0, "start"), (1, 1, "claims"), (1, 2, "claim"), (1, 3, "claim"), (1, 4, "done"), (2, 0, "error")]
+
+
+def test_listing_without_a_hit_is_reported(spark):
+    from attestor.sources import tables as st
+
+    listing = spark.createDataFrame([("a", "BRAND MAKER INC", "s1", 1), ("b", "OTHER CORP", "s2", 9), ("b", "ANOTHER CORP", "s3", 9)], "key string, title string, set_id string, spl_version int")
+    specs = spark.createDataFrame([("a", "brand", "maker"), ("b", "other", "maker"), ("c", "x", "maker")], "key string, query string, manufacturer string")
+    assert {r.key: r.message for r in st.without_hit(listing, specs).collect()} == {"b": "b: no label from maker: [ANOTHER CORP, OTHER CORP]", "c": "c: no label from maker: []"}
+
+
+def test_a_labels_drug_names_it(spark):
+    from pyspark.sql import functions as F
+
+    from attestor.operators.service import label_name
+
+    rows = [("k", ["A", "A PEN"], "Drug"), ("k", ["A", "A PEN"], ""), ("k", [], None)]
+    df = spark.createDataFrame(rows, "key string, products array<string>, drug string")
+    assert [r[0] for r in df.select(label_name(F.col("products"), F.col("key"), F.col("drug"))).collect()] == ["Drug", "A", "K"]
