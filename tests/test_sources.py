@@ -70,7 +70,7 @@ def test_review_of_copies(spark):
     status = {(r.doc_id, r.n): (r.verdict, r.status) for r in done.reviews.collect()}
     assert status[(1, 2)] == ("unsupported", "unsupported")
     events = [(r.doc_id, r.id, r.event) for r in done.events.orderBy("doc_id", "id").collect()]
-    assert events == [(1, 0, "start"), (1, 1, "claims"), (1, 2, "claim"), (1, 3, "claim"), (1, 4, "done"), (2, 0, "error")]
+    assert events == [(1, 0, "start"), (1, 1, "claims"), (1, 2, "claim"), (1, 3, "claim"), (1, 4, "document"), (1, 5, "done"), (2, 0, "error")]
 
 
 def test_listing_without_a_hit_is_reported(spark):
