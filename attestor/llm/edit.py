@@ -32,17 +32,18 @@ def within(a: str, b: str, most: int) -> bool:
     places: dict[str, int] = {}
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << i
-    full, top = (1 << len(a)) - 1, 1 << len(a) - 1
-    up, down, score = full, 0, len(a)
-    for left, c in zip(range(len(b) - 1, -1, -1), b):
-        x = places.get(c, 0) | down
-        same = ((x & up) + up ^ up) | x
-        more, less = down | full & ~(same | up), up & same
-        score += 1 if more & top else -1 if less & top else 0
-        if score - left > most:
+    full, n = (1 << len(a)) - 1, len(b)
+    up, down, get = full, 0, places.get
+    for at in range(0, n, 32):
+        for c in b[at : at + 32]:
+            x = get(c, 0) | down
+            same = ((x & up) + up ^ up) | x
+            more = (down | full & ~(same | up)) << 1 | 1
+            up, down = ((up & same) << 1 | ~(same | more)) & full, more & same
+        k = min(at + 32, n)
+        score = k + up.bit_count() - down.bit_count()  # the distance to the first k letters
+        if score - (n - k) > most:
             return False
-        more = more << 1 | 1
-        up, down = less << 1 & full | full & ~(same | more), more & same
     return score <= most
 
 

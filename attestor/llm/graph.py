@@ -54,13 +54,14 @@ def bucket_components(
     verify: Callable[[DataFrame], DataFrame],
     across: Callable[[DataFrame], DataFrame],
     name: str,
+    shared: DataFrame | None = None,
 ) -> DataFrame:
     """Groups of the ids that share a bucket and pass verification, without forming all pairs of a bucket:
     (node, component) of the linked ids.
 
     buckets: (key, id, info), where an id has one info and may repeat in a bucket. Whether a key has two ids is told by
     four bits of 32, one of each byte, set by a hash of key and id, so that a pair alone in a bucket is overlooked there
-    once in 4096 times.
+    once in 4096 times. shared: the keys of two ids, where they are known already.
     verify: takes distinct pairs (a, b, ia, ib), the infos as ia and ib, and returns the linked ones (a, b).
 
     A bucket's hub is its smallest id. First each id is tried against the hub that it shares most buckets with, then
@@ -69,10 +70,7 @@ def bucket_components(
     up to FEW open members the pairs across groups are verified. across: takes the open members (hub, id, c: group, info,
     hubs: all that the id is a member of) of the others, and returns (a, b) that connect all that is linked across groups of a hub.
     """
-    marked = buckets.select("key", F.xxhash64("key", "id").alias("mark"))
-    one = " | ".join(f"shiftleft(1L, {8 * i} + cast(pmod(shiftright(mark, {16 * i}), 8) as int))" for i in range(4))
-    shared = marked.select("key", F.expr(one).alias("mark")).groupBy("key").agg(F.bit_or("mark").alias("marks"))
-    shared = staged(shared.where("bit_count(marks) > 4").select("key"), f"{name}-shared")
+    shared = staged(_shared(buckets) if shared is None else shared, f"{name}-shared")
     crowded = staged(only(buckets, shared, "key").join(shared, "key", "left_semi"), f"{name}-crowded")
     discard(shared)
     hubs = crowded.groupBy("key").agg(F.min(F.struct("id", "info")).alias("hub"))
@@ -106,6 +104,13 @@ def bucket_components(
     return groups
 
 
+def _shared(buckets: DataFrame) -> DataFrame:
+    marked = buckets.select("key", F.xxhash64("key", "id").alias("mark"))
+    one = " | ".join(f"shiftleft(1L, {8 * i} + cast(pmod(shiftright(mark, {16 * i}), 8) as int))" for i in range(4))
+    marks = marked.select("key", F.expr(one).alias("mark")).groupBy("key").agg(F.bit_or("mark").alias("marks"))
+    return marks.where("bit_count(marks) > 4").select("key")
+
+
 #: Open members of a hub up to which their pairs are formed by a join.
 FEW = 32
 

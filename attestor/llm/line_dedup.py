@@ -202,6 +202,70 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(forms, pa.string())], ["id", "form"])
 
 
+#: Bits of a band key, and those that are left in a number for the mark of its line.
+KEY_BITS, MARK_BITS = U64(47), U64(17)
+
+
+def packed(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """A band key and, in the bits below it, a mark of the line, drawn anew for each key."""
+    return keys << MARK_BITS | mix(ids ^ keys * _LINE_BASE) >> KEY_BITS
+
+
+def shared_keys(marked: np.ndarray) -> np.ndarray:
+    """The keys that stand with two marks."""
+    marked = np.sort(marked)
+    keys = marked >> MARK_BITS
+    two = (keys[1:] == keys[:-1]) & (marked[1:] != marked[:-1])
+    keys = keys[1:][two]
+    return keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
+
+
+def _dealt(parts: int) -> Callable:
+    """(key, bands) -> (part, marked): the packed band keys of many lines by part, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bands = batch.column(1)
+            ids = np.repeat(np.asarray(batch.column(0)).view(U64), np.diff(np.asarray(bands.offsets)))
+            keys = np.asarray(bands.flatten()).view(U64)
+            part = (mix(keys) % U64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
+            order = np.argsort(part, kind="stable")
+            marked, part = packed(keys, ids)[order], part[order]
+            edge = np.flatnonzero(np.diff(part, prepend=part[:1], append=part[-1:]))
+            edge = np.concatenate(([0], edge, [len(part)])) if len(part) else np.zeros(1, np.int64)
+            blobs = [marked[a:b].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]].astype(np.int64)), pa.array(blobs, pa.binary())], ["part", "marked"])
+
+    return run
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, marked), sorted by part -> the keys of two lines; a part is held at a time."""
+    held, now = [], None
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(signed(shared_keys(np.frombuffer(b"".join(held), U64))))], ["key"])
+
+    for batch in batches:
+        for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if part != now and held:
+                yield out()
+                held = []
+            held.append(blob)
+            now = part
+    if held:
+        yield out()
+
+
+def shared_bands(drawn: DataFrame) -> DataFrame:
+    """The band keys of at least two lines, from (key, bands). Packed keys are dealt out as blocks of numbers by their
+    hash, not a row each, and sorted part by part. Two lines alone with a key have one mark once in 2**17 times; there
+    the key is overlooked."""
+    n = int(drawn.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = drawn.select("key", "bands").mapInArrow(_dealt(4 * n), "part long, marked binary")
+    return dealt.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_met, "key long")
+
+
 def block_keys(sim: str, p: Lines):
     """The pigeonhole keys of a SimHash: its bits in each combination of blocks that `flips` changed bits must spare."""
     edges = [round(64 * i / p.blocks) for i in range(p.blocks + 1)]
@@ -293,24 +357,35 @@ def repeated_lines(docs: DataFrame, p: Lines = PRODUCTION) -> DataFrame:
         near = only(docs, wanted, "doc_id", "of").join(wanted, ["doc_id", "of"]).select("doc_id", "text", "wanted")
         return staged(near.mapInArrow(_forms, "id long, form string").dropDuplicates(["id"]), "op1-forms")
 
+    spent: list[DataFrame] = []  # what the answer before was made from; it is written by the time of the next question
+
+    def forget() -> None:
+        discard(*spent)
+        spent.clear()
+
     def verify(pairs: DataFrame) -> DataFrame:
+        forget()
         alike = F.bit_count(F.col("ia.sim").bitwiseXOR(F.col("ib.sim"))) <= p.flips
         sizes = F.expr(f"100 * least(ia.size, ib.size) >= {p.percent} * greatest(ia.size, ib.size)")
         near = staged(pairs.where(alike & sizes).select("a", "b"), "op1-near")
         form = forms(near.select(F.col("a").alias("id")).union(near.select("b")).distinct())
+        spent.extend((near, form))
         both = near.join(form.select(F.col("id").alias("a"), F.col("form").alias("fa")), "a")
         both = both.join(form.select(F.col("id").alias("b"), F.col("form").alias("fb")), "b")
         return spread(both.select("a", "b", "fa", "fb")).mapInArrow(_verified(p), "a long, b long")
 
     def across(open_: DataFrame) -> DataFrame:
+        forget()
         open_ = open_.select("hub", "id", "c", "info.sim", "info.size", "hubs")
         hopeful = spread(tiles(open_.drop("hubs"), F.lit(1), SKETCH_LINES, SKETCH_LINES), "hub", "p", "q").groupBy("hub", "p", "q").applyInArrow(_hopeful(p), "hub long, id long")
         hopeful = staged(hopeful.distinct(), "op1-hopeful")
         form = forms(hopeful.select("id").distinct())
+        spent.extend((hopeful, form))
         near = tiles(open_.join(hopeful, ["hub", "id"], "left_semi").join(form, "id"), F.col("size"), TILE_CHARS, TILE_LINES)
         return spread(near, "hub", "p", "q").groupBy("hub", "p", "q").applyInArrow(_compare(p), "a long, b long")
 
-    groups = bucket_components(buckets, verify, across, "op1")
+    groups = bucket_components(buckets, verify, across, "op1", shared_bands(drawn) if p.singles or p.pairs else None)
+    forget()
     members = only(lines, groups.withColumnRenamed("node", "key"), "key").join(groups, F.col("key") == F.col("node"))
     keep = members.groupBy("component").agg(F.min("at").alias("keep"))
     going = members.join(keep, "component").select("key", "check", "keep")

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from attestor.llm.line_dedup import PRODUCTION, WHOLE, dedup_lines, line_figures, normal
+from attestor.llm.line_dedup import PRODUCTION, WHOLE, dedup_lines, line_figures, normal, shared_bands
 
 
 def distance(a, b):
@@ -106,3 +106,42 @@ def test_equal_short_lines_are_one(spark):
     rows = [(1, "Menu\nhome\n\n漢字の行\n..."), (2, "\nmenu!\nShare this\n漢字の行\n..."), (3, "share THIS\nshare that")]
     got = {x.doc_id: x.text for x in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), WHOLE).collect()}
     assert got == {1: rows[0][1], 2: "\nShare this\n...", 3: "share that"}
+
+
+def test_shared_band_keys_are_those_of_two_lines(spark):
+    """Keys of 47 bits, the highest ones too; a line that comes twice, or has a key twice, does not share it."""
+    r = random.Random(47)
+    pool = [r.randrange(1 << 47) for _ in range(3000)] + [(1 << 47) - 1, (1 << 47) - 2, 0]
+    rows = [(r.randrange(-(1 << 63), 1 << 63), [r.choice(pool) for _ in range(r.randint(0, 8))]) for _ in range(700)]
+    rows += [(5, [(1 << 47) - 1] * 2), (6, [(1 << 47) - 1]), (7, [1, 1, 2]), (7, [1, 2]), (8, [])]
+    held = {}
+    for i, keys in rows:
+        for k in keys:
+            held.setdefault(k, set()).add(i)
+    df = spark.createDataFrame(rows, "key long, bands array<long>").repartition(6)
+    got = [x.key for x in shared_bands(df).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {k for k, ids in held.items() if len(ids) > 1}
+    assert not {1, 2} & set(got)
+    assert shared_bands(df.limit(0)).count() == 0
+
+
+def test_band_keys_are_shuffled_as_blocks(spark):
+    """A row for each key of each line took 634 MB of shuffle and 90 of 515 task seconds on 0.5 GB."""
+    df = spark.createDataFrame([(i, [i % 7, 8, 9]) for i in range(4000)], "key long, bands array<long>").coalesce(1)
+    plan = shared_bands(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan and "Aggregate" not in plan
+    assert {x.key for x in shared_bands(df).collect()} == {0, 1, 2, 3, 4, 5, 6, 8, 9}
+
+
+def test_steps_leave_no_tables_behind(spark):
+    import os
+
+    from attestor.llm.common import shared_dir
+
+    at = shared_dir(spark).removeprefix("file:") + "/attestor"
+    names = lambda: {x for x in os.listdir(at) if x.startswith(("op1-near", "op1-forms", "op1-hopeful"))} if os.path.isdir(at) else set()
+    before = names()
+    rows = [(i, " ".join(["alpha beta gamma delta epsilon zeta eta theta", f"x{chr(97 + i % 26)}"])) for i in range(60)]
+    assert dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), WHOLE).where("n_removed > 0").count() == 59
+    assert names() == before
