@@ -24,6 +24,7 @@ import gc
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -112,6 +113,47 @@ class Trie:
                 held[source] = n
                 self.counters += 1
 
+    def add_sorted(self, terms: list[bytes], counts: list[dict], docs: list[int]) -> None:
+        """add of many terms in the order of their bytes: a term's way begins where it leaves the one before."""
+        nodes, prefixes, size = [self.root], [b""], 0
+        for term, own, n in zip(terms, counts, docs):
+            while not term.startswith(prefixes[-1]):
+                nodes.pop()
+                prefixes.pop()
+            node, at, end = nodes[-1], len(prefixes[-1]), len(term)
+            while at < end:
+                children = node.children
+                below = children.get(term[at])
+                if below is None:
+                    below = children[term[at]] = Node(term[at:])
+                    size += end - at + 64
+                    at = end
+                elif term.startswith(below.label, at):
+                    at += len(below.label)
+                else:
+                    k = _shared(below.label, term[at:])
+                    upper = Node(below.label[:k])
+                    below.label = below.label[k:]
+                    upper.children[below.label[0]] = below
+                    children[term[at]] = below = upper
+                    at += k
+                node = below
+                nodes.append(node)
+                prefixes.append(term[:at])
+            node.docs += n
+            held = node.counts
+            if held is None:
+                node.counts = own
+                self.counters += len(own)
+                continue
+            for source, c in own.items():
+                if source in held:
+                    held[source] += c
+                else:
+                    held[source] = c
+                    self.counters += 1
+        self.bytes += size
+
     def leaves(self) -> Iterator[tuple[bytes, dict, int]]:
         """(term, counts, documents) in the order of the terms' bytes."""
         todo = [(self.root, b"")]
@@ -120,8 +162,11 @@ class Trie:
             term = prefix + node.label
             if node.counts:
                 yield term, node.counts, node.docs
-            if node.children:
-                todo += [(node.children[b], term) for b in sorted(node.children, reverse=True)]
+            below = node.children
+            if len(below) == 1:
+                todo += [(x, term) for x in below.values()]
+            elif below:
+                todo += [(below[b], term) for b in sorted(below, reverse=True)]
 
 
 LEAVES = "lang string, term string, sources array<string>, counts array<long>, docs long"
@@ -132,23 +177,22 @@ def _lists(sizes: list[int], values: list, kind: pa.DataType) -> pa.ListArray:
 
 
 def _leaves(lang: str, trie: Trie) -> Iterator[pa.RecordBatch]:
-    terms, sizes, sources, counts, docs, size = [], [], [], [], [], 0
+    terms, held, docs, size = [], [], [], 0
 
     def batch() -> pa.RecordBatch:
+        sizes, sources, counts = list(map(len, held)), list(chain.from_iterable(held)), list(chain.from_iterable(map(dict.values, held)))
         columns = [pa.array([lang] * len(terms), pa.string()), pa.array(terms, pa.binary()).cast(pa.string())]
         columns += [_lists(sizes, sources, pa.string()), _lists(sizes, counts, pa.int64()), pa.array(docs, pa.int64())]
         return pa.RecordBatch.from_arrays(columns, ["lang", "term", "sources", "counts", "docs"])
 
-    for term, held, n in trie.leaves():
+    for term, own, n in trie.leaves():
         terms.append(term)
-        sizes.append(len(held))
-        sources += held
-        counts += held.values()
+        held.append(own)
         docs.append(n)
-        size += len(term) + len(held) * 16
+        size += len(term) + len(own) * 16
         if len(terms) == 8192 or size > 1 << 22:
             yield batch()
-            terms, sizes, sources, counts, docs, size = [], [], [], [], [], 0
+            terms, held, docs, size = [], [], [], 0
     if terms:
         yield batch()
 
@@ -226,13 +270,14 @@ def counted(docs: DataFrame, slots: np.ndarray) -> DataFrame:
 
         def enter(words: dict[str, dict[str, Counter]], seen: dict[str, Counter]) -> None:
             for lang, by_source in words.items():
-                docs_with, trie, terms = seen[lang], tries[lang], list(seen[lang])
+                docs_with, terms = seen[lang], list(seen[lang])
                 by_term: dict[bytes, dict[str, int]] = {t: {} for t, ok in zip(terms, allowed[_slots(lang, terms, len(allowed))].tolist()) if ok}
                 for source, counter in by_source.items():
-                    for term in by_term.keys() & counter.keys():
-                        by_term[term][source] = counter[term]
-                for term, counts in by_term.items():
-                    trie.add(term, counts, docs_with[term])
+                    for term, n in counter.items():
+                        if (own := by_term.get(term)) is not None:
+                            own[source] = n
+                terms = sorted(by_term)
+                tries[lang].add_sorted(terms, [by_term[t] for t in terms], [docs_with[t] for t in terms])
 
         gc.disable()  # tries have no cycles, and their many nodes would be looked through again and again
         for batch in batches:

@@ -116,3 +116,16 @@ def test_defined_cases(spark):
     assert m.audit(docs.limit(0)).collect() == []
     long = [("word " * 200_000 + "q" * 300_000, "en", s) for s in "ab"] + [("other", "en", "c")]
     assert {tuple(x) for x in found(spark, long, least=2)} == brute(long, 2)
+
+
+def test_terms_enter_a_trie_in_order():
+    """Sorted terms begin where they leave the one before; the leaves are those of single steps, in a filled trie too."""
+    one, many = m.Trie(), m.Trie()
+    steps = [[b"an", b"and", b"ander", b"b", b"bar", b"bat"], [b"a", b"anx", b"ba", b"bart", b"c"], [b"and", b"anderen", b"ank", b"c"]]
+    for i, terms in enumerate(steps):
+        for t in terms:
+            one.add(t, {"s": len(t), f"s{i}": 1}, i + 1)
+        many.add_sorted(terms, [{"s": len(t), f"s{i}": 1} for t in terms], [i + 1] * len(terms))
+    assert list(many.leaves()) == list(one.leaves())
+    assert [x[0] for x in many.leaves()] == sorted({t for terms in steps for t in terms})
+    assert (many.counters, many.bytes) == (one.counters, one.bytes)
