@@ -8,9 +8,9 @@ from .common import U64
 
 #: Words of the letter tables of one step (8 MB), and pairs of one step.
 TABLE_WORDS, STEP_PAIRS = 1 << 20, 4096
-#: From so many pairs a machine word of the shorter string on, pairs are compared side by side.
-SIDE_BY_SIDE = 24
-ONE, TOP, FULL = U64(1), U64(63), U64(0xFFFFFFFFFFFFFFFF)
+#: From so many pairs on, whose shorter strings differ in length by half at most, pairs are compared side by side.
+SIDE_BY_SIDE = 48
+ONE, FULL = U64(1), U64(0xFFFFFFFFFFFFFFFF)
 
 
 def similar(a: str, b: str, percent: int) -> bool:
@@ -48,8 +48,8 @@ def within(a: str, b: str, most: int) -> bool:
 
 
 def similar_pairs(forms: list[str], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """similar(forms[i], forms[j], percent) for arrays of places. Pairs whose shorter string takes equally many machine
-    words are compared side by side; where there are few of them, one by one."""
+    """similar(forms[i], forms[j], percent) for arrays of places. Pairs whose shorter strings are of about one length are
+    compared side by side; where there are few of them, one by one."""
     n = np.fromiter(map(len, forms), np.int64, len(forms))
     swap = n[i] > n[j]
     a, b = np.where(swap, j, i), np.where(swap, i, j)
@@ -58,31 +58,38 @@ def similar_pairs(forms: list[str], i: np.ndarray, j: np.ndarray, percent: int)
     open_ = np.flatnonzero(n[b] - n[a] <= most)
     out[open_[n[a[open_]] == 0]] = True
     open_ = open_[n[a[open_]] > 0]
-    words = (n[a[open_]] + 63) // 64
-    codes = None
-    for w in np.unique(words).tolist():
-        own = open_[words == w]
-        if len(own) < SIDE_BY_SIDE * w:
+    open_ = open_[np.lexsort((b[open_], a[open_], n[a[open_]]))]
+    size, codes, s = n[a[open_]], None, 0
+    line = np.cumsum(np.diff(a[open_], prepend=-1) != 0)
+    while s < len(open_):
+        e = min(int(np.searchsorted(size, max(64, 3 * size[s] // 2), "right")), s + STEP_PAIRS)
+        if e - s >= SIDE_BY_SIDE:
+            if codes is None:
+                letters, codes = _letters(forms)
+                begin = np.cumsum(n) - n
+            tables = max(1, TABLE_WORDS // (int((size[e - 1] + 63) // 64) * letters))
+            e = min(e, int(np.searchsorted(line, line[s] + tables, "left")))
+        own = open_[s:e]
+        if e - s < SIDE_BY_SIDE:
             for k in own.tolist():
                 out[k] = within(forms[a[k]], forms[b[k]], int(most[k]))
-            continue
-        if codes is None:
-            letters, codes = np.unique(np.frombuffer("".join(forms).encode("utf-32-le"), np.uint32), return_inverse=True)
-            begin = np.cumsum(n) - n
-        tables = max(1, TABLE_WORDS // (w * len(letters)))
-        own = own[np.lexsort((b[own], a[own]))]
-        line = np.cumsum(np.diff(a[own], prepend=-1) != 0) - 1
-        step = line // tables
-        edges = np.flatnonzero(np.diff(step, prepend=-1))
-        for s, e in zip(edges.tolist(), [*edges[1:].tolist(), len(own)]):
-            table = _table(codes, begin, n, a[own[s:e]], line[s:e] - line[s], w, len(letters))
-            for t in range(s, e, STEP_PAIRS):
-                part = slice(t, min(e, t + STEP_PAIRS))
-                x = own[part]
-                out[x] = _columns(table, (line[part] - line[s]) * len(letters), n[a[x]], codes, begin[b[x]], n[b[x]], most[x])
+        else:
+            row = line[s:e] - line[s]
+            table = _table(codes, begin, n, a[own], row, int((size[e - 1] + 63) // 64), letters)
+            out[own] = _columns(table, row * letters, size[s:e], codes, begin[b[own]], n[b[own]], most[own])
+        s = e
     return out
 
 
+def _letters(forms: list[str]) -> tuple[int, np.ndarray]:
+    """How many letters there are, and the number of each letter of the strings, one string after the other."""
+    codes = np.frombuffer("".join(forms).encode("utf-32-le"), np.uint32)
+    number = np.zeros(int(codes.max()) + 1, np.int64)
+    number[codes] = 1
+    number = np.cumsum(number) - 1
+    return int(number[-1]) + 1, number[codes]
+
+
 def _table(codes: np.ndarray, begin: np.ndarray, n: np.ndarray, a: np.ndarray, line: np.ndarray, w: int, letters: int) -> np.ndarray:
     """For each machine word, line and letter the places of the letter in the line, as bits."""
     rows, first = np.unique(line, return_index=True)
@@ -95,48 +102,65 @@ def _table(codes: np.ndarray, begin: np.ndarray, n: np.ndarray, a: np.ndarray, l
 
 
 def _columns(table: np.ndarray, row: np.ndarray, na: np.ndarray, codes: np.ndarray, at: np.ndarray, nb: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Whether the distances are at most `most`: column by column of the distance table in blocks of 64 rows (Hyyrö,
-    2003), one pair an element. Only blocks that a distance of `most` can reach are computed: rows above and below count
-    as growing by one, which is no less than they do. Every 16 columns pairs go that cannot make good any more."""
-    out = np.zeros(len(row), bool)
-    order = np.argsort(-nb, kind="stable")  # those that end first stand last
-    row, at, nb, most = row[order], at[order], nb[order], most[order]
-    last, rest, reach, top = ((na[order] - 1) % 64).astype(U64), (na[order] - 1) % 64 + 1, int(most.max()), len(table) - 1
-    low = 0  # the last block computed so far; score: the distance at its last row
-    ups = [np.full(len(row), FULL) for _ in table]
-    downs = [np.zeros(len(row), U64) for _ in table]
-    score = np.full(len(row), 64) if top else rest.copy()
-    for k in range(int(nb[0])):
-        live = int(np.searchsorted(-nb, -k, "left"))  # nb > k
+    """Whether the distances are at most `most`: columns of the distance table in blocks of 64 rows (Hyyrö, 2003), one
+    pair an element. A step takes each block one column on, a block one column behind the block above it, whose carry it
+    needs: then all blocks of all pairs are one operation. Only blocks that a distance of `most` can reach are computed:
+    rows above and below count as growing by one, which is no less than they do. Every 16 steps pairs go that cannot
+    make good any more: rows between the ends of two blocks, S and T, are (S + T - 64) / 2 at least."""
+    out, blocks, top = np.zeros(len(row), bool), np.arange(len(table))[:, None], (na - 1) // 64
+    order = np.argsort(-(nb + top), kind="stable")  # those that end first stand last
+    row, at, nb, most, top = row[order], at[order], nb[order], most[order], top[order]
+    end, reach, tall = nb + top, int(most.max()), len(table) - 1
+    bottom = np.where(blocks == top, (na[order] - 1) % 64, 63).astype(U64)
+    ups, downs = np.full(bottom.shape, FULL), np.zeros(bottom.shape, U64)
+    plus, minus, letter = (np.zeros((tall + 2, len(row)), kind) for kind in (U64, U64, np.int64))
+    score, flat, width = bottom.astype(np.int64) + 1, table.ravel(), table.shape[1]
+    high, low = 0, -1  # the blocks computed in the step before
+    for t in range(int(end[0])):
+        live = int(np.searchsorted(-end, -t, "left"))  # end > t
         if live < len(row):
-            out[order[live:]] = score[live:] <= most[live:]
-        keep = np.arange(live)
-        if k % 16 == 15 and low == top:
-            hope = score[:live] - (nb[:live] - k) <= most[:live]
-            keep = np.flatnonzero(hope) if hope.sum() < 0.8 * live else keep
-        if len(keep) < len(row):
-            order, row, at, nb, most, score, last, rest = (x[keep] for x in (order, row, at, nb, most, score, last, rest))
-            ups, downs = [x[keep] for x in ups], [x[keep] for x in downs]
+            out[order[live:]] = score[top[live:], np.arange(live, len(row))] <= most[live:]
+        keep = None
+        if t % 16 == 15:
+            two = score[high : low + 1, :live].copy()
+            two[1:] += score[high:low, :live]
+            two[0] += t - 1 if high == 0 else two[0] - 63
+            hope = ((two <= 2 * most[:live] + 67) & (blocks[high : low + 1] <= top[:live])).any(axis=0)
+            hope |= top[:live] < high
+            keep = np.flatnonzero(hope) if hope.sum() < 0.8 * live else None
+        if keep is None and live < len(row):
+            keep = slice(live)
+        if keep is not None:
+            order, row, at, nb, most, top, end = (x[keep] for x in (order, row, at, nb, most, top, end))
+            bottom, ups, downs, plus, minus, letter, score = (np.ascontiguousarray(x[:, keep]) for x in (bottom, ups, downs, plus, minus, letter, score))
             if not len(row):
                 return out
-        letter = row + codes[at + k]
-        plus, minus = np.ones(len(row), U64), np.zeros(len(row), U64)
-        while low < min(top, (k + 1 + reach) // 64):
-            low += 1
-            score = score + (rest if low == top else 64)
-        for w in range(max(0, (k - reach) // 64), low + 1):
-            up, down = ups[w], downs[w]
-            eq = table[w][letter]
-            vertical = eq | down
-            eq |= minus
-            across = ((eq & up) + up ^ up) | eq
-            more, less = down | ~(across | up), up & across
-            bottom = last if w == top else TOP
-            out_plus, out_minus = (more >> bottom) & ONE, (less >> bottom) & ONE
-            more = more << ONE | plus
-            ups[w] = (less << ONE | minus) | ~(vertical | more)
-            downs[w] = more & vertical
-            plus, minus = out_plus, out_minus
-        score = score + plus.view(np.int64) - minus.view(np.int64)
-    out[order] = score <= most
+        before, high, new = high, max(0, (t - reach - 64) // 65 + 1), min(tall, t, (t + 1 + reach) // 65)
+        if new > low and new:
+            score[new] += score[new - 1] + (minus[new] - plus[new]).view(np.int64)
+        low = new
+        letter[high] = row + codes[np.minimum(at + (t - high), len(codes) - 1)]
+        if high == before:  # else the block above has just had its last column, and this one still takes its carry
+            plus[high], minus[high] = ONE, U64(0)
+        w, below = slice(high, low + 1), slice(high + 1, low + 2)
+        up, down, carry, borrow = ups[w], downs[w], plus[w], minus[w]
+        eq = flat[letter[w] + blocks[w] * width]
+        vertical = eq | down
+        eq |= borrow
+        across = eq & up
+        across += up
+        across ^= up
+        across |= eq
+        more, less = down | ~(across | up), up & across
+        out_plus, out_minus = (more >> bottom[w]) & ONE, (less >> bottom[w]) & ONE
+        more <<= ONE
+        more |= carry
+        less <<= ONE
+        less |= borrow
+        np.bitwise_or(less, ~(vertical | more), out=up)
+        np.bitwise_and(more, vertical, out=down)
+        score[w] += (out_plus - out_minus).view(np.int64)
+        plus[below], minus[below] = out_plus, out_minus
+        letter[below] = letter[w].copy()
+    out[order] = score[top, np.arange(len(row))] <= most
     return out

@@ -55,13 +55,15 @@ def bucket_components(
     across: Callable[[DataFrame], DataFrame],
     name: str,
     shared: DataFrame | None = None,
+    ready: Callable[[DataFrame], None] | None = None,
 ) -> DataFrame:
     """Groups of the ids that share a bucket and pass verification, without forming all pairs of a bucket:
     (node, component) of the linked ids.
 
     buckets: (key, id, info), where an id has one info and may repeat in a bucket. Whether a key has two ids is told by
     four bits of 32, one of each byte, set by a hash of key and id, so that a pair alone in a bucket is overlooked there
-    once in 4096 times. shared: the keys of two ids, where they are known already.
+    once in 4096 times. shared: the keys of two ids, where they are known already. ready: is told the ids (id) that the
+    questions can be about, before the first.
     verify: takes distinct pairs (a, b, ia, ib), the infos as ia and ib, and returns the linked ones (a, b).
 
     A bucket's hub is its smallest id. First each id is tried against the hub that it shares most buckets with, then
@@ -78,6 +80,8 @@ def bucket_components(
     star = star.groupBy(F.col("hub.id").alias("a"), F.col("id").alias("b")).agg(F.min("hub.info").alias("ia"), F.min("info").alias("ib"), F.count("*").alias("n"))
     star = staged(star, f"{name}-star")
     discard(crowded)
+    if ready:
+        ready(star.select(F.col("a").alias("id")).union(star.select("b")).distinct())
     best = star.groupBy("b").agg(F.max_by(F.struct("a", "ia", "ib"), F.struct("n", -F.col("a"))).alias("x"))
     links = staged(verify(best.select("x.a", "b", "x.ia", "x.ib")), f"{name}-links")
     groups = connected_components(links)
@@ -123,12 +127,17 @@ def _across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
-    """The groups with further links (a, b), staged; both are deleted."""
+    """The groups with further links (a, b), staged; both are deleted. A group goes into it as one node, its smallest, so
+    that the rounds work on the further links alone."""
     out = groups
     if not links.isEmpty():
-        edges = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links.select("a", "b"))
-        out = connected_components(edges)
-        discard(groups)
+        of = lambda k: groups.select(F.col("node").alias(k), F.col("component").alias(f"c{k}"))
+        ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        joined = connected_components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+        to = joined.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        moved = groups.join(to, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+        out = staged(moved.unionByName(joined.join(groups, "node", "left_anti").select("node", "component")), "groups")
+        discard(groups, joined)
     discard(links)
     return out
 
@@ -150,7 +159,7 @@ def sides(tile: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (x, x) if low == high else (x, np.flatnonzero(tile == high))
 
 
-#: Candidates of the first batch that `spanning` asks; each next one has twice as many, up to MOST_ASKED.
+#: Candidates of the first batch that `spanning` asks; each next one has four times as many, up to MOST_ASKED.
 FIRST_ASKED, MOST_ASKED = 256, 16384
 
 
@@ -177,5 +186,5 @@ def spanning(groups: np.ndarray, a: np.ndarray, b: np.ndarray, linked: Callable[
             if s != t:
                 root[max(s, t)] = min(s, t)
                 out.append((i, j))
-        done, step = done + step, min(2 * step, MOST_ASKED)
+        done, step = done + step, min(4 * step, MOST_ASKED)
     return np.array(out, np.int64).reshape(-1, 2)

@@ -351,13 +351,19 @@ def repeated_lines(docs: DataFrame, p: Lines = PRODUCTION) -> DataFrame:
     keys = F.col("bands") if p.singles or p.pairs else block_keys("sim", p)
     buckets = drawn.select(F.explode(keys).alias("key"), F.col("key").alias("id"), F.struct("sim", "size").alias("info"))
 
-    def forms(ids: DataFrame) -> DataFrame:
+    form: list[DataFrame] = []  # the normal forms of all lines that may be compared, from one reading of the texts
+    spent: list[DataFrame] = []  # what the answer before was made from; it is written by the time of the next question
+
+    def ready(ids: DataFrame) -> None:
+        ids = staged(ids, "op1-ids")
         wanted = only(lines, ids.withColumnRenamed("id", "key"), "key").join(ids, F.col("key") == F.col("id"))
         wanted = wanted.groupBy("at.doc_id", "at.of").agg(F.collect_list(F.struct("at.line", "key")).alias("wanted"))
         near = only(docs, wanted, "doc_id", "of").join(wanted, ["doc_id", "of"]).select("doc_id", "text", "wanted")
-        return staged(near.mapInArrow(_forms, "id long, form string").dropDuplicates(["id"]), "op1-forms")
+        form.append(staged(near.mapInArrow(_forms, "id long, form string").dropDuplicates(["id"]), "op1-forms"))
+        discard(ids)
 
-    spent: list[DataFrame] = []  # what the answer before was made from; it is written by the time of the next question
+    def forms(ids: DataFrame) -> DataFrame:
+        return only(form[0], ids, "id")
 
     def forget() -> None:
         discard(*spent)
@@ -368,10 +374,9 @@ def repeated_lines(docs: DataFrame, p: Lines = PRODUCTION) -> DataFrame:
         alike = F.bit_count(F.col("ia.sim").bitwiseXOR(F.col("ib.sim"))) <= p.flips
         sizes = F.expr(f"100 * least(ia.size, ib.size) >= {p.percent} * greatest(ia.size, ib.size)")
         near = staged(pairs.where(alike & sizes).select("a", "b"), "op1-near")
-        form = forms(near.select(F.col("a").alias("id")).union(near.select("b")).distinct())
-        spent.extend((near, form))
-        both = near.join(form.select(F.col("id").alias("a"), F.col("form").alias("fa")), "a")
-        both = both.join(form.select(F.col("id").alias("b"), F.col("form").alias("fb")), "b")
+        spent.append(near)
+        both = near.join(forms(near.select(F.col("a").alias("id"))).select(F.col("id").alias("a"), F.col("form").alias("fa")), "a")
+        both = both.join(forms(near.select(F.col("b").alias("id"))).select(F.col("id").alias("b"), F.col("form").alias("fb")), "b")
         return spread(both.select("a", "b", "fa", "fb")).mapInArrow(_verified(p), "a long, b long")
 
     def across(open_: DataFrame) -> DataFrame:
@@ -379,13 +384,13 @@ def repeated_lines(docs: DataFrame, p: Lines = PRODUCTION) -> DataFrame:
         open_ = open_.select("hub", "id", "c", "info.sim", "info.size", "hubs")
         hopeful = spread(tiles(open_.drop("hubs"), F.lit(1), SKETCH_LINES, SKETCH_LINES), "hub", "p", "q").groupBy("hub", "p", "q").applyInArrow(_hopeful(p), "hub long, id long")
         hopeful = staged(hopeful.distinct(), "op1-hopeful")
-        form = forms(hopeful.select("id").distinct())
-        spent.extend((hopeful, form))
-        near = tiles(open_.join(hopeful, ["hub", "id"], "left_semi").join(form, "id"), F.col("size"), TILE_CHARS, TILE_LINES)
+        spent.append(hopeful)
+        near = tiles(open_.join(hopeful, ["hub", "id"], "left_semi").join(forms(hopeful.select("id")), "id"), F.col("size"), TILE_CHARS, TILE_LINES)
         return spread(near, "hub", "p", "q").groupBy("hub", "p", "q").applyInArrow(_compare(p), "a long, b long")
 
-    groups = bucket_components(buckets, verify, across, "op1", shared_bands(drawn) if p.singles or p.pairs else None)
+    groups = bucket_components(buckets, verify, across, "op1", shared_bands(drawn) if p.singles or p.pairs else None, ready)
     forget()
+    discard(*form)
     members = only(lines, groups.withColumnRenamed("node", "key"), "key").join(groups, F.col("key") == F.col("node"))
     keep = members.groupBy("component").agg(F.min("at").alias("keep"))
     going = members.join(keep, "component").select("key", "check", "keep")

@@ -49,6 +49,22 @@ def test_pairs_side_by_side_equal_the_distance_table():
     assert similar_pairs(forms, i[:0], j[:0], 80).tolist() == []
 
 
+def test_pairs_side_by_side_at_the_edge_of_the_band():
+    """Only added or only lost letters, as many as allowed: the path stands at the last rows that are computed."""
+    r = random.Random(35)
+    forms = []
+    for n in (70, 93, 116, 141, 145, 200, 260, 400, 700, 2300):
+        for _ in range(70):
+            line = [r.choice("abcdefgh ") for _ in range(n)]
+            start = r.choice((0, 0, r.randrange(n), n))
+            for more in (n // 4, n // 4 + 1):
+                forms += ["".join(line), "".join(line[:start] + [r.choice("abcd") for _ in range(more)] + line[start:])]
+    i = np.arange(0, len(forms), 2)
+    want = [within(forms[k], forms[k + 1], 20 * len(forms[k + 1]) // 100) for k in i.tolist()]
+    assert similar_pairs(forms, i, i + 1, 80).tolist() == similar_pairs(forms, i + 1, i, 80).tolist() == want
+    assert 300 < sum(want) < len(want) - 300
+
+
 def test_spanning_links_connect_what_all_links_connect():
     r = np.random.default_rng(2)
     groups = r.integers(0, 400, 600)
