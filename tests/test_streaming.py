@@ -44,3 +44,12 @@ def test_days(spark, tmp_path, mode):
     stream = jobs.as_events(spark.readStream.schema(df.schema).parquet(path))
     rows = jobs.drain(jobs.per_day(stream), "days", mode).collect()
     assert sorted((str(r.day), r.n) for r in rows) == [("2024-01-01", 2), ("2024-01-02", 2), ("2024-01-03", 1)]
+
+
+def test_a_ledger_with_a_long_queue_holds_no_more_than_a_budget():
+    """Three calls a minute more than fit: the wait grows by theirs, what is held does not."""
+    held, waits = ad.Ledger(1800), []
+    for i in range(30_000):
+        waits.append(held.charge(12.0 * i, 900)[0])
+        assert len(held.held) <= 2
+    assert waits[:5] == [0.0, 0.0, 36.0, 36.0, 72.0] and waits[-1] == 60.0 * (29_999 // 2) - 12.0 * 29_998 + 0.0
