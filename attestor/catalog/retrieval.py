@@ -10,6 +10,7 @@ from ..functions.text import folded, tokenize
 from ..operators import index as ix
 from ..operators import search as se
 from ..operators.dense import dense_top
+from ..sources.shared import staged
 from .store import code_of, kind_of, shown, store_of
 from .tables import SQL_INDEX, read, sql_tokens
 
@@ -120,26 +121,32 @@ def hit_at_k_mrr(spark: SparkSession, d: str) -> DataFrame:
     return retrieval_metrics(ranked, truth)
 
 
+#: Items up to which they are broadcast: some 10 MB at 500 bytes each.
+BROADCAST_ITEMS = 20_000
+
+
 def relevant_pairs(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(qid, id): a document that contains the item. Found by up to eight tokens of the item, its first and last ones left
-    out, as they may be parts of a document's words, and then compared; items of fewer than three tokens are compared
-    with every document, as a stated set of queries."""
-    q = asked.select("qid", folded(F.col("text")).alias("item"), tokenize(F.col("text")).alias("t"))
-    q = q.select("qid", "item", F.slice("t", 2, F.least(F.lit(8), F.greatest(F.lit(0), F.size("t") - 2))).alias("t")).where("item <> ''")
-    q = q.select("qid", "item", F.size("t").alias("n"), F.xxhash64("t").alias("k"))
-    sizes = sorted(r[0] for r in q.select("n").distinct().collect())  # nine values at most
-    table = docs.select(F.col("doc_id").alias("id"), "text")
-    seen = table.select("id", tokenize(F.col("text")).alias("t"))
-    at = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("t") - n + 1)), lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice("t", i, n)).alias("k")))
-    grams = [at(n) for n in sizes if n]
-    wide = seen.select("id", F.explode(F.array_distinct(F.concat(*grams))).alias("g")).select("id", "g.*") if grams else None
-    held = F.contains(folded(F.col("text")), F.col("item"))
-    near = table.join(q.where("n = 0"), held).select("qid", "id")
-    if not grams:
-        return near
-    met = wide.join(q.where("n > 0"), ["n", "k"]).select("id", "qid", "item").distinct()
-    met = met.join(table, "id").where(held).select("qid", "id")
-    return near.unionByName(met) if 0 in sizes else met
+    """(qid, id): a document that contains the item, both folded. A folded text has single blanks only, so all words of an
+    item but its first and last one are words of the document: the longest of them finds the documents that are looked
+    through; items of fewer than three words are compared with every document, as a stated set of queries."""
+    q = asked.select("qid", folded(F.col("text")).alias("item")).where("item <> ''")
+    words = F.split("item", " ")
+    inner = F.slice(words, 2, F.greatest(F.lit(0), F.size(words) - 2))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("size"), w.alias("word"))))["word"]
+    q = staged(q.select("qid", "item", longest.alias("word")), "asked")
+    few = q.limit(BROADCAST_ITEMS + 1).count() <= BROADCAST_ITEMS
+    near, far = q.where("word is null").select("qid", "item"), q.where("word is not null")
+    table = docs.select(F.col("doc_id").alias("id"), folded(F.col("text")).alias("held"))
+    inside = F.contains("held", F.col("item"))
+    table = table if few else staged(table, "folded")
+    seen = table.select("id", *(["held"] if few else []), F.explode(F.array_distinct(F.split("held", " "))).alias("word"))
+    if few:  # the text stays where it is: nothing is shuffled
+        met = seen.join(F.broadcast(far), "word").where(inside).select("qid", "id")
+    else:
+        met = seen.join(far.select("qid", "word"), "word").select("qid", "id").join(table, "id").join(far.select("qid", "item"), "qid").where(inside).select("qid", "id")
+    if near.isEmpty():
+        return met
+    return met.unionByName(table.crossJoin(F.broadcast(near) if few else near).where(inside).select("qid", "id"))
 
 
 def retrieval_metrics(ranked: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:

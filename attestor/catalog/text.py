@@ -143,7 +143,7 @@ def risk_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Items and the documents that share a stretch of eight tokens with them."""
+    """Items and the documents that contain them, both folded."""
     from .retrieval import queries_of, relevant_pairs
 
     asked = queries_of(spark, d)
