@@ -1,3 +1,5 @@
+from dataclasses import dataclass
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -150,3 +152,25 @@ def test_made_once_follows_the_files(spark, tmp_path):
     before = fingerprint(spark, path)
     spark.range(4).write.mode("overwrite").parquet(path)
     assert fingerprint(spark, path) != before and made_once(spark, "x", [path], made.append) != first
+
+
+def test_writing_encodes_each_text_once(spark, tmp_path):
+    """Sampling for the ranges of the files used to run the encoder over all texts a second time."""
+
+    @dataclass(frozen=True)
+    class CountingModel(HashModel):
+        path: str = ""
+
+        def load(self):
+            encode = HashModel(self.dim).load()
+
+            def noted(texts):
+                with open(self.path, "a") as out:
+                    out.write("x" * len(texts))
+                return encode(texts)
+
+            return noted
+
+    chunks = spark.createDataFrame(CHUNKS, "chunk_id string, label_key string, top_code string, section_path string, text string")
+    LabelStore.write(chunks, str(tmp_path / "once"), CountingModel(64, str(tmp_path / "texts")))
+    assert len((tmp_path / "texts").read_text()) == len(CHUNKS)
