@@ -104,7 +104,7 @@ def ablation_overlap(spark: SparkSession, d: str) -> DataFrame:
 def routed_gather(spark: SparkSession, d: str) -> DataFrame:
     """Documents play chunks, their source the section, the item's number the kind of claim."""
     held = store_of(spark, d)
-    _, scored, _ = held.lists(queries_of(spark, d), dense=False, numbers=False)
+    _, scored, _ = held.lists(queries_of(spark, d), dense=False, numbers=False, full=True)
     hits = se.top(scored, "score", 5)
     governed = scored.withColumn("code", code_of(F.col("id")))
     governed = governed.withColumn("rank", F.row_number().over(Window.partitionBy("qid", "code").orderBy(F.desc("score"), "id"))).where("rank <= 8")
